@@ -169,7 +169,7 @@ def _(spark, sf):
     return rounded(features.add_velocity(stages.panel(spark, sf)).select("member_id", "observation_date", *features.VELOCITY_COLUMNS))
 
 
-_DELTAS = ", ".join(r6(f"coalesce(c.{c}, 0) - coalesce(p.{c}, 0)", f"d_{c}") for c in features.DELTA_COLUMNS)
+_DELTAS = ", ".join(r6(f"coalesce(c.{c}, 0) - coalesce(p.{c}, 0)", f"d_{c}", 8) for c in features.DELTA_COLUMNS)
 
 
 @query("month_over_month_deltas", sql(
@@ -177,7 +177,7 @@ _DELTAS = ", ".join(r6(f"coalesce(c.{c}, 0) - coalesce(p.{c}, 0)", f"d_{c}") for
     "ON p.member_id = c.member_id AND p.observation_date = c.observation_date - INTERVAL 1 MONTH"))
 def _(spark, sf):
     out = features.add_panel_deltas(stages.panel(spark, sf))
-    return rounded(out.select("member_id", "observation_date", *[f"d_{c}" for c in features.DELTA_COLUMNS]))
+    return rounded(out.select("member_id", "observation_date", *[f"d_{c}" for c in features.DELTA_COLUMNS]), 8)
 
 
 @query("two_month_deltas", sql(
@@ -186,7 +186,7 @@ def _(spark, sf):
 def _(spark, sf):
     panel = stages.panel(spark, sf)
     out = features.add_deltas(stages.month(panel, MONTHS[-1]), stages.month(panel, MONTHS[-2]))
-    return rounded(out.select("member_id", *[f"d_{c}" for c in features.DELTA_COLUMNS]))
+    return rounded(out.select("member_id", *[f"d_{c}" for c in features.DELTA_COLUMNS]), 8)
 
 
 @query("segment_history", sql(
