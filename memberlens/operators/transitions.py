@@ -18,7 +18,7 @@ from memberlens.operators.features import (
 from memberlens.operators.metrics import (
     balanced_weights, best_thresholds, choose_rule, class_report, confusion, macro_f1, stratified_sample, threshold_curves, weak_classes,
     with_decision)
-from memberlens.session import cut_lineage
+from memberlens.session import cut_lineage, side_by_side
 
 CONTEXT_COLUMNS = ("seg_curr", "y_curr", "month_num")
 
@@ -108,28 +108,21 @@ def _fit(train: DataFrame, columns: Sequence[str], n_classes: int, boost: Sequen
     if kind == "forest":
         estimator = RandomForestClassifier(**names, seed=42, **{"numTrees": 60, "maxDepth": 8, **params})
     else:
-        estimator = LogisticRegression(**names, family="multinomial", **{"maxIter": 60, "regParam": 1e-3, **params})
+        estimator = LogisticRegression(**names, family="multinomial", **{"maxIter": 50, "regParam": 1e-3, **params})
     return TransitionModel(list(columns), estimator.fit(matrix), n_classes, weighting="balanced + weak-class boost" if boost else "balanced")
 
 
-def fit_early_stopped(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, boost: Sequence[int] = (),
-                      strengths: Sequence[float] = (1e-3, 1e-2, 1e-1), patience: int = 1) -> TransitionModel:
-    """Fit with weakening complexity control picked on validation log-loss.
+def fit_regularised(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, boost: Sequence[int] = (),
+                    strengths: Sequence[float] = (1e-3, 1e-2, 1e-1)) -> TransitionModel:
+    """Fit with several penalties and keep the one with the lowest validation log-loss.
 
-    Candidates run from the most to the least flexible; the search stops after
-    `patience` candidates without improvement.
+    The validation month limits the model's complexity, as early stopping would.
     """
-    best, best_loss, waited = None, float("inf"), 0
-    for strength in strengths:
+    def fit(strength: float) -> tuple[float, TransitionModel]:
         model = _fit(train, columns, n_classes, boost, "linear", regParam=strength)
-        loss = log_loss(model.predict(validation)).first().log_loss
-        if loss < best_loss:
-            best, best_loss, waited = model, loss, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return best
+        return log_loss(model.predict(validation)).first().log_loss, model
+
+    return min(side_by_side(fit, strengths), key=lambda found: found[0])[1]
 
 
 def _val_f1(model: TransitionModel, validation: DataFrame) -> float:
@@ -143,7 +136,7 @@ def train_transition_model(train: DataFrame, validation: DataFrame, columns: Seq
 
     def fit(boost: Sequence[int]) -> TransitionModel:
         if kind == "linear" and not params:
-            return fit_early_stopped(train, validation, columns, n_classes, boost)
+            return fit_regularised(train, validation, columns, n_classes, boost)
         return _fit(train, columns, n_classes, boost, kind, **params)
 
     model = fit(())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(run: Callable, items: Iterable, at_once: int = 4) -> list:
+    """Submit independent fits together; each is a sequence of small jobs that leaves executors idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(run, items))
