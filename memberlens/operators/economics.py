@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.exprs import count_where, ratio
-from memberlens.functions.vectors import array_lit, array_sum, element
+from memberlens.functions.vectors import array_lit, element
 
 # Grids of the operating-point search.
 PROBABILITY_GRID = tuple(i / 100 for i in range(1, 100))
@@ -39,14 +39,14 @@ def _current(values: Sequence[float]) -> Column:
 
 
 def value_at_risk(values: Sequence[float]) -> Column:
-    """Expected loss over moves to lower-valued segments."""
+    """Expected loss over moves to lower-valued segments; one term per class, in generated code."""
     now = _current(values)
-    return array_sum(F.zip_with("proba", array_lit(values), lambda p, v: p * F.greatest(F.lit(0.0), now - v)))
+    return sum([F.element_at("proba", i + 1) * F.greatest(F.lit(0.0), now - F.lit(float(v))) for i, v in enumerate(values)], F.lit(0.0))
 
 
 def adverse_probability(values: Sequence[float]) -> Column:
     now = _current(values)
-    return array_sum(F.zip_with("proba", array_lit(values), lambda p, v: F.when(v < now, p).otherwise(F.lit(0.0))))
+    return sum([F.when(now > F.lit(float(v)), F.element_at("proba", i + 1)).otherwise(F.lit(0.0)) for i, v in enumerate(values)], F.lit(0.0))
 
 
 def realised_loss(values: Sequence[float]) -> Column:

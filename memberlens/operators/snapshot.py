@@ -151,34 +151,36 @@ def weekly_aggregates(days: int = SLOPE_DAYS) -> list[Column]:
     return aggs
 
 
-def _slope(series: Column) -> Column:
-    """Least-squares slope over 0, 1, 2, …; 0 for fewer than two points."""
-    n = F.size(series).cast("double")
-    mean_x = (n - 1) / 2.0
-    indexed = F.transform(series, lambda y, i: (i - mean_x) * y)
-    sxy = F.aggregate(indexed, F.lit(0.0), lambda acc, v: acc + v)
-    sxx = n * (n * n - 1.0) / 12.0
-    return F.when(n >= 2, sxy / sxx).otherwise(F.lit(0.0))
-
-
-def slopes_from_weeks(days: int = SLOPE_DAYS) -> tuple[Column, Column]:
-    """Spend and frequency slope over the weeks that have purchases, oldest first."""
-    order = range(_weeks(days) - 1, -1, -1)
-    weeks = F.filter(
-        F.array(*[F.struct(F.coalesce(F.col(f"_wcount_{w}"), F.lit(0)).alias("n"),
-                           F.col(f"_wspend_{w}").cast("double").alias("spend")) for w in order]),
-        lambda w: w["n"] > 0)
-    return (_slope(F.transform(weeks, lambda w: w["spend"])),
-            _slope(F.transform(weeks, lambda w: w["n"].cast("double"))))
+def with_slopes(weekly: DataFrame, days: int = SLOPE_DAYS) -> DataFrame:
+    """Least-squares slopes over the weeks that have purchases, oldest first; 0 for fewer than two weeks.
+
+    A week's place on the x axis is the number of older weeks with purchases.
+    Plain arithmetic on the week columns keeps the step in generated code.
+    """
+    oldest_first = range(_weeks(days) - 1, -1, -1)
+    active = {w: F.when(F.col(f"_wcount_{w}") > 0, 1).otherwise(0) for w in oldest_first}
+    places, seen = {}, F.lit(0)
+    for w in oldest_first:
+        places[f"_wplace_{w}"] = seen
+        seen = seen + active[w]
+    placed = weekly.withColumns({**places, "_wn": seen.cast("double")})
+    n = F.col("_wn")
+    mean_x, sxx = (n - 1) / 2.0, n * (n * n - 1.0) / 12.0
+
+    def slope(value: str) -> Column:
+        # weeks without purchases have value 0 and add nothing
+        sxy = sum([(F.col(f"_wplace_{w}") - mean_x) * F.coalesce(F.col(f"{value}_{w}").cast("double"), F.lit(0.0)) for w in oldest_first], F.lit(0.0))
+        return F.when(n >= 2, sxy / sxx).otherwise(F.lit(0.0))
+
+    out = placed.withColumns({"spend_slope_30d": slope("_wspend"), "frequency_slope_30d": slope("_wcount")})
+    return out.drop(*[c for c in out.columns if c.startswith("_w")])
 
 
 def weekly_slopes(transactions: DataFrame, dates: Sequence[str], days: int = SLOPE_DAYS) -> DataFrame:
     """Weekly spend and frequency trend per (member, date). Not restricted to activity after enrolment."""
     seen = at_dates(transactions.where(F.col("transaction_type") == "purchase"), "transaction_date", dates, days)
     weekly = with_week(seen, days).groupBy("member_id", "observation_date").agg(*weekly_aggregates(days))
-    spend, frequency = slopes_from_weeks(days)
-    return weekly.select("member_id", "observation_date", spend.alias("spend_slope_30d"),
-                         frequency.alias("frequency_slope_30d"))
+    return with_slopes(weekly, days)
 
 
 def transaction_windows(enrolled: DataFrame, dates: Sequence[str], windows: Sequence[int] = WINDOW_DAYS) -> DataFrame:
@@ -203,9 +205,7 @@ def transaction_windows(enrolled: DataFrame, dates: Sequence[str], windows: Sequ
             sum_where(_within(days, "_live"), F.col("points_earned")).alias(f"points_earned_{days}d"),
         ]
     weekly = seen.groupBy("member_id", "observation_date").agg(*aggs, *weekly_aggregates())
-    spend, frequency = slopes_from_weeks()
-    keep = [c for c in weekly.columns if not c.startswith("_w")]
-    return weekly.select(*keep, spend.alias("spend_slope_30d"), frequency.alias("frequency_slope_30d"))
+    return with_slopes(weekly)
 
 
 def transaction_diversity(enrolled: DataFrame, dates: Sequence[str], windows: Sequence[int] = WINDOW_DAYS) -> DataFrame:

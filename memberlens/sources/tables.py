@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_CSV = {"header": True, "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Empty text is written as a quoted empty field and null as \\N; an unquoted empty field would read as null.
+_CSV = {"header": True, "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -25,7 +26,7 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and a declared schema (no inference pass)."""
-    return spark.read.options(**_CSV).option("enforceSchema", False).schema(schema).csv(path)
+    return spark.read.options(**_CSV, emptyValue="", enforceSchema=False).schema(schema).csv(path)
 
 
 def write_monthly(df: DataFrame, path: str) -> None:
@@ -45,7 +46,7 @@ def read_monthly(spark: SparkSession, path: str, dates: Iterable[str] | None = N
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header. Empty text and null stay distinguishable when read back, and spaces are kept."""
-    df.write.mode("overwrite").options(**_CSV).csv(path)
+    df.write.mode("overwrite").options(**_CSV, emptyValue='""').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memberlens.operators import attribution, calibration, economics, metrics, transitions
 from memberlens.session import cut_lineage
 from workload import stages
-from workload.adapter import N_CLASSES, SEGMENT_NAMES, scored_rows
+from workload.adapter import N_CLASSES, SEGMENT_NAMES
 from workload.oracle import div
 from workload.oracle import query as sql
 from workload.q_states import fit_columns, segment_model
@@ -45,7 +45,7 @@ def _(spark, sf):
     "SELECT seg_next, n_rows, " + r6("sum(n_rows) OVER () / (count(*) OVER () * CAST(n_rows AS DOUBLE)) * CASE WHEN seg_next = 3 THEN 2 ELSE 1 END", "weight")
     + " FROM (SELECT seg_next, count(*) AS n_rows FROM scored GROUP BY 1)"))
 def _(spark, sf):
-    weighted = metrics.balanced_weights(scored_rows(spark, sf), "seg_next", boost=[3])
+    weighted = metrics.balanced_weights(stages.scored(spark, sf), "seg_next", boost=[3])
     return rounded(weighted.groupBy("seg_next").agg(F.count(F.lit(1)).alias("n_rows"), F.max("weight").alias("weight")))
 
 
@@ -165,7 +165,7 @@ _REPORT = (f"SELECT CAST(label AS BIGINT) AS label, {div('hits', 'called')} AS p
 
 
 def _decided(spark, sf):
-    return metrics.with_decision(scored_rows(spark, sf))
+    return metrics.with_decision(stages.scored(spark, sf))
 
 
 @query("confusion_matrix", sql("SELECT CAST(y AS BIGINT) AS actual, CAST(p AS BIGINT) AS predicted, n FROM cells", cells=_CELLS))
@@ -192,7 +192,7 @@ _THETA = (0.3, 0.2, 0.25, 0.35, 0.15)
 @query("threshold_ratio_decision", sql(
     f"SELECT seg_pred, count(*) AS n_rows FROM (SELECT CAST(list_position(q, list_max(q)) - 1 AS INTEGER) AS seg_pred FROM (SELECT [{', '.join(f'proba[{i + 1}] / ({t}e0 + 1e-9)' for i, t in enumerate(_THETA))}] AS q FROM scored)) GROUP BY 1"))
 def _(spark, sf):
-    return metrics.with_decision(scored_rows(spark, sf), _THETA).groupBy("seg_pred").agg(F.count(F.lit(1)).alias("n_rows"))
+    return metrics.with_decision(stages.scored(spark, sf), _THETA).groupBy("seg_pred").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 _GRID = "SELECT i AS place, 0.01e0 + i * (0.94e0 / 99) AS t FROM range(100) r(i)"
@@ -203,7 +203,7 @@ _EACH = "SELECT seg_next AS y, generate_subscripts(proba, 1) - 1 AS label, unnes
     f"SELECT CAST(label AS INTEGER) AS label, {r6('t', 'threshold')}, {r6(div('2 * count(*) FILTER (WHERE p >= t AND y = label)', 'count(*) FILTER (WHERE p >= t) + count(*) FILTER (WHERE y = label)'), 'f1')} "
     "FROM each_class, grid GROUP BY label, t", each_class=_EACH, grid=_GRID))
 def _(spark, sf):
-    return rounded(metrics.threshold_curves(scored_rows(spark, sf), N_CLASSES))
+    return rounded(metrics.threshold_curves(stages.scored(spark, sf), N_CLASSES))
 
 
 @query("best_class_thresholds", sql(
@@ -211,7 +211,7 @@ def _(spark, sf):
     f"(SELECT label, t, {div('2 * count(*) FILTER (WHERE p >= t AND y = label)', 'count(*) FILTER (WHERE p >= t) + count(*) FILTER (WHERE y = label)')} AS f1 FROM each_class, grid GROUP BY label, t)) WHERE rn = 1",
     each_class=_EACH, grid=_GRID))
 def _(spark, sf):
-    return rounded(metrics.best_thresholds(metrics.threshold_curves(scored_rows(spark, sf), N_CLASSES)))
+    return rounded(metrics.best_thresholds(metrics.threshold_curves(stages.scored(spark, sf), N_CLASSES)))
 
 
 def _f1_of(prediction: str, where: str) -> str:
@@ -226,7 +226,7 @@ _RATIO = "list_position(list_transform(proba, lambda x, i: x / ([0.3e0, 0.2e0, 0
 @query("decision_rule_choice", sql(
     f"SELECT {r6('a', 'argmax_f1')}, {r6('t', 'threshold_f1')}, CASE WHEN t > a THEN 'threshold' ELSE 'argmax' END AS rule FROM (SELECT {_f1_of(_ARGMAX, 'split = $$validation$$')} AS a, {_f1_of(_RATIO, 'split = $$validation$$')} AS t)"))
 def _(spark, sf):
-    return rounded(metrics.choose_rule(scored_rows(spark, sf).where("split = 'validation'"), _THETA))
+    return rounded(metrics.choose_rule(stages.scored(spark, sf).where("split = 'validation'"), _THETA))
 
 
 _MAJORITY = "(SELECT seg_next FROM (SELECT seg_next, count(*) AS n FROM scored WHERE split = $$validation$$ GROUP BY 1) ORDER BY n DESC, seg_next LIMIT 1)"
@@ -252,14 +252,14 @@ _NAMED = "CASE {c} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(SEG
     f"SELECT {_NAMED.format(c='seg_curr')} AS seg_curr_name, {_NAMED.format(c='seg_next')} AS seg_next_name, {_NAMED.format(c='p')} AS seg_pred_name, {big('sum(CAST(seg_next = p AS INTEGER))', 'n_correct')}, count(*) AS n_rows "
     f"FROM (SELECT *, {_ARGMAX} AS p FROM scored WHERE split = 'test') GROUP BY 1, 2, 3"))
 def _(spark, sf):
-    out = metrics.scored_table(scored_rows(spark, sf).where("split = 'test'"), SEGMENT_NAMES)
+    out = metrics.scored_table(stages.scored(spark, sf).where("split = 'test'"), SEGMENT_NAMES)
     return out.groupBy("seg_curr_name", "seg_next_name", "seg_pred_name").agg(F.sum("correct").alias("n_correct"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("stratified_subsample", sql("SELECT seg_next, CAST(floor(5000 * count(*) / CAST((SELECT count(*) FROM scored) AS DOUBLE)) AS BIGINT) AS n_rows FROM scored GROUP BY 1"))
 def _(spark, sf):
     """Exact class counts of a 5000-row sample."""
-    return metrics.stratified_sample(scored_rows(spark, sf), "seg_next", 5000).groupBy("seg_next").agg(F.count(F.lit(1)).alias("n_rows"))
+    return metrics.stratified_sample(stages.scored(spark, sf), "seg_next", 5000).groupBy("seg_next").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # --- calibration -------------------------------------------------------------------------------------
@@ -268,7 +268,7 @@ _BINS = ("SELECT label, least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) A
 
 
 def _outcomes(spark, sf):
-    return calibration.per_class(scored_rows(spark, sf))
+    return calibration.per_class(stages.scored(spark, sf))
 
 
 @query("expected_calibration_error", sql(f"SELECT CAST(label AS INTEGER) AS label, {r6('sum(abs(mean_p - rate) * n) / sum(n)', 'ece')} FROM bins GROUP BY 1", each_class=_EACH, bins=_BINS))
@@ -296,12 +296,12 @@ def _(spark, sf):
 
 @query("multiclass_log_loss", sql(f"SELECT {r6('avg(-ln(least(1, greatest(proba[seg_next + 1], 1e-9))))', 'log_loss')} FROM scored"))
 def _(spark, sf):
-    return rounded(calibration.log_loss(scored_rows(spark, sf)))
+    return rounded(calibration.log_loss(stages.scored(spark, sf)))
 
 
 @query("isotonic_calibration")
 def _(spark, sf):
-    scored = scored_rows(spark, sf)
+    scored = stages.scored(spark, sf)
     models = calibration.fit_isotonic(scored.where("split = 'validation'"), N_CLASSES)
     out = calibration.apply_isotonic(scored.where("split = 'test'"), models)
     return rounded(out.groupBy("seg_curr").agg(*[F.avg(F.element_at("proba_calibrated", c + 1)).alias(f"p{c}") for c in K]))
@@ -318,13 +318,13 @@ def _(spark, sf):
 
     cut = F.transform("proba", lambda p: F.when((p > 0.3) | (F.col("seg_curr") == 1), F.lit(0.0)).otherwise(p))
     fixed = renormalised(F.col("_cut"), F.col("proba"))
-    out = scored_rows(spark, sf).withColumn("_cut", cut).withColumn("_p", fixed)
+    out = stages.scored(spark, sf).withColumn("_cut", cut).withColumn("_p", fixed)
     return rounded(out.select("member_id", *[F.element_at("_p", i + 1).alias(f"p{i}") for i in K]))
 
 
 @query("calibration_verdict")
 def _(spark, sf):
-    report, _ = calibration.calibration_verdict(cut_lineage(scored_rows(spark, sf).where("split = 'validation'")), N_CLASSES)
+    report, _ = calibration.calibration_verdict(cut_lineage(stages.scored(spark, sf).where("split = 'validation'")), N_CLASSES)
     return rounded(report)
 
 
@@ -340,7 +340,7 @@ _WITH = {"vals": _VALUES, "risk": _RISK}
 
 def _risk(spark, sf):
     """Scored rows with risk columns; segment values come from validation rows only."""
-    scored = scored_rows(spark, sf)
+    scored = stages.scored(spark, sf)
     values = economics.collect_values(economics.segment_values(scored.where("split = 'validation'"), N_CLASSES))
     return economics.with_risk(scored, values)
 
@@ -351,7 +351,7 @@ def _stored_risk(spark, sf):
 
 @query("segment_values", sql(f"SELECT k AS seg_curr, {r6('v[k + 1]', 'segment_value')} FROM vals, range(5) r(k)", **_WITH))
 def _(spark, sf):
-    return rounded(economics.segment_values(scored_rows(spark, sf).where("split = 'validation'"), N_CLASSES))
+    return rounded(economics.segment_values(stages.scored(spark, sf).where("split = 'validation'"), N_CLASSES))
 
 
 @query("value_at_risk", sql(f"SELECT member_id, {r6('var', 'value_at_risk')} FROM risk", **_WITH))

@@ -20,7 +20,7 @@ from memberlens.operators.features import engineer_features
 from memberlens.operators.snapshot import build_snapshots
 from memberlens.operators.states import classify_states
 from memberlens.session import cut_lineage
-from workload.adapter import MONTHS, OBSERVED, SEGMENT_NAMES, SEGMENT_RULE, raw_events, raw_members, raw_transactions
+from workload.adapter import MONTHS, OBSERVED, SEGMENT_NAMES, SEGMENT_RULE, raw_events, raw_members, raw_transactions, scored_rows
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -73,5 +73,10 @@ def observed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "observed", build)
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows, the stored output of a prediction run."""
+    return stored(spark, sf_dir, "scored", lambda: scored_rows(spark, sf_dir))
+
+
 def month(df: DataFrame, date: str) -> DataFrame:
     return df.where(F.col("observation_date") == F.lit(date).cast("timestamp"))
