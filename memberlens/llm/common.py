@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,14 @@ def word_count(text: Column) -> Column:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:
+    """Bound what Spark hands to a Python worker at once: whole texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def shipped(module: str) -> None:
+    """Send the module's functions along with tasks, so that workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

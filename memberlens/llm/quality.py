@@ -18,9 +18,9 @@ MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SKETCH_DIGITS = 6
 MIN_GROUP = 200  # texts a sketch needs to be used alone
-#: Measures a text is judged by and the least distance between the middle and the fence, in their own units.
-MEASURES = {"symbol_rate": 60, "dup_line_rate": 250, "repeat_rate": 250, "word_length": 300}
-REACH = 4  # fences lie so many times the spread (95th percentile less median) from the median
+#: Measures a text is judged by and the least spread assumed for each, in its own units (rates per 1000, length in 1/100).
+MEASURES = {"symbol_rate": 15, "dup_line_rate": 75, "repeat_rate": 75, "word_length": 40}
+REACH = 4  # fences lie so many times the spread (third less first quartile) beyond the quartiles
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _ADDED = (*BASE, "kept", *MEASURES, *(f"{m}_limit" for m in MEASURES), "_words", "_lines", "_w", "_lang", "_source")
@@ -82,28 +82,28 @@ def sketches(judged: DataFrame, measures=tuple(MEASURES)) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Number of texts, 5th, 50th and 95th percentile per group from the (merged) sketch."""
+    """Number of texts, first and third quartile per group from the (merged) sketch."""
     merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*by, "measure").orderBy("bin")
     ranked = merged.withColumn("upto", F.sum("n").over(up)).withColumn("texts", F.sum("n").over(Window.partitionBy(*by, "measure")))
     at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("texts") * p, F.col("bin")))
-    return ranked.groupBy(*by, "measure").agg(F.max("texts").alias("texts"), at(5).alias("p05"), at(50).alias("p50"), at(95).alias("p95"))
+    return ranked.groupBy(*by, "measure").agg(F.max("texts").alias("texts"), at(25).alias("q1"), at(75).alias("q3"))
 
 
 def thresholds(judged: DataFrame) -> DataFrame:
     """One row per (_lang, _source) with a low and a high fence for each measure."""
     sketch = stored(sketches(judged))
     own, lang, every = quantiles(sketch, "_lang", "_source"), quantiles(sketch, "_lang"), quantiles(sketch)
-    as_struct = lambda q, name, *by: q.select(*by, "measure", F.struct("texts", "p05", "p50", "p95").alias(name))
+    as_struct = lambda q, name, *by: q.select(*by, "measure", F.struct("texts", "q1", "q3").alias(name))
     l, e = as_struct(lang, "l", F.col("_lang").alias("_l"), ), as_struct(every, "e")  # noqa: E741
     both = (as_struct(own, "o", "_lang", "_source").join(l.withColumnRenamed("measure", "_m"), F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).drop("_l", "_m")
             .join(e, "measure"))
     used = F.when(F.col("o.texts") >= MIN_GROUP, F.col("o")).when(F.col("l.texts") >= MIN_GROUP, F.col("l")).otherwise(F.col("e"))
     floor = F.element_at(F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair]), F.col("measure"))
-    spread = lambda side: F.greatest(side, floor)
+    spread = REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), floor)
     fences = both.withColumn("q", used).select(
         "_lang", "_source", "measure",
-        F.struct((F.col("q.p50") - REACH * spread(F.col("q.p50") - F.col("q.p05"))).alias("low"), (F.col("q.p50") + REACH * spread(F.col("q.p95") - F.col("q.p50"))).alias("high")).alias("fence"))
+        F.struct((F.col("q.q1") - spread).alias("low"), (F.col("q.q3") + spread).alias("high")).alias("fence"))
     return fences.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_limit") for m in MEASURES])
 
 
