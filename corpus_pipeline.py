@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memberlens.llm import exact_dedup, mixing, quality
+from memberlens.llm import exact_dedup, mixing, near_dedup, packing, quality
 from memberlens.llm.common import DOCUMENT_COLUMNS, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that break the rules of their language and source go."""
     return quality.passed(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated or left out so that sources reach their target weights."""
     return mixing.repeated(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies), ("mixing", source_mix)]
+def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the rows in token windows."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("mixing", source_mix),
+    ("packing", packed_windows),
+]
 
 #: Packing depends on a tokenizer, which SQL cannot express; tests/llm compare the stages with brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import exact_dedup, licenses, mixing, near_dedup, quality, sharding, tokens, toxicity
+from memberlens.llm import chats, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, tokens, toxicity
 from memberlens.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.collapsed(table(spark, sf_dir, "conversations"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -31,6 +35,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.grouped(table(spark, sf_dir, "documents"), size=2, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -53,8 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_license_scan": op4_license_scan,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
@@ -62,6 +73,14 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_chat_formatting": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, role, text, row_number() OVER w AS position, string_agg(role || chr(31) || text || chr(30), '') OVER w AS beginning, count(*) OVER (PARTITION BY conv_id) AS n_turns
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT min(conv_id) AS keep, count(*) AS n_logs FROM p
+      WHERE position = n_turns AND beginning NOT IN (SELECT beginning FROM p WHERE position < n_turns) GROUP BY beginning)
+SELECT conv_id, position, n_turns, n_logs, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+FROM p JOIN k ON conv_id IS NOT DISTINCT FROM keep""",
     "op8_exact_dedup": r"""
 WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
