@@ -3,10 +3,13 @@
 A text's set of word shingles is hashed once; the least hash in each of BANDS * ROWS ranges is
 its signature, and empty ranges borrow from others by optimal densification. Texts with equal
 sets form a class, and only classes are compared. Classes that agree on a band share a bucket.
-In a bucket one member is the centre and is compared with the others; later rounds take further
-centres, twice as many each time, but only against members that are not yet in the centre's
-component. So a bucket of copies costs one edge per member, a bucket of strangers is compared
-completely, and no link between bucket members is lost. Edges are confirmed on whole sets.
+Each bucket has a star: its centre is the member that meets most others in all its buckets, in a
+group of copies the original. A member is first compared with the best centre it meets. Then, in
+buckets whose members are still in several components, further centres are taken, eight times
+as many each time and those of small components first, and compared with the members outside
+their component. A bit sketch rules out most such pairs without losing any that is similar enough. So a
+bucket of copies costs an edge per member, no link between bucket members is lost, and edges
+are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80  # least similarity: shared shingles in a hundred of all
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^25 = 5e-5
 PROBES = 2048  # places an empty range tries before it takes the next filled one
+SKETCH_BITS = 4096  # of the sketch that rules out pairs without loss
 BROADCAST_ROWS = 1_000_000  # ids sent to every executor, at most; beyond, the join shuffles
 _WORDS_HELD = 300_000
 
@@ -94,6 +98,13 @@ def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The set as SKETCH_BITS bits, one for each shingle's hash."""
+    bits = np.zeros(SKETCH_BITS, dtype=np.uint8)
+    bits[(found % _U(SKETCH_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _places(bands: int, rows: int) -> np.ndarray:
     return np.random.RandomState(97).randint(0, bands * rows, (PROBES, bands * rows))
 
@@ -120,7 +131,7 @@ def described(docs: DataFrame, text: str, id_col: str, size: int, bands: int, ro
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, size: int) -> DataFrame:
-    """(key, set) of the wanted (id, text_hash) rows: whole texts are read again, not stored."""
+    """(key, set, bits) of the wanted (id, text_hash) rows: whole texts are read again, not stored."""
     few = wanted.count() <= BROADCAST_ROWS
     wanted = wanted.select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
@@ -129,11 +140,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, size: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for b in batches:
-            sets = [shingles(t, size, hashes).tobytes() for t in b.column("text").to_pylist()]
-            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+            sets = [shingles(t, size, hashes) for t in b.column("text").to_pylist()]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            bits = [sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["key", "set", "bits"])
 
-    return found.mapInArrow(run, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    return found.mapInArrow(run, "key binary, set binary, bits array<long>").groupBy("key").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,47 +169,59 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for every key of the undirected links (a, b): root is the component's least key.
 
-    Alternates large-star and small-star steps until the edges no longer change.
+    Alternates large-star and small-star steps until every key points to a root that points to nothing.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = print_of(edges)
     while True:
+        ends = edges.select(F.col("u").alias("key"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            edges.select(F.col("v").alias("key"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        loose = ends.groupBy("key").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)")
+        if loose.isEmpty():
+            own = edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
+            return stored(edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(own))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small)
-        now = print_of(edges)
-        if now == before:
-            own = edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(own)
-        before = now
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = stored(small.distinct())
 
 
 def near_links(docs: DataFrame, classes: DataFrame, text: str, id_col: str, size: int, percent: int) -> DataFrame:
     """Components (key, root) of the classes (key, id, text_hash, n, buckets) that have links."""
     members = classes.select("key", "n", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("centre"), F.min_by("n", "key").alias("n_centre")).where("size > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "key", "n", "centre", "n_centre"))
-    wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select("id", "text_hash")
-    sets = stored(_sets(docs, stored(wanted), text, id_col, size))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(members.join(shared, "bucket"))
+    # bucket mates of a member in all its buckets: the original of a group of copies has most
+    mates = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("mates"))
+    met = members.join(mates, "key")
+    centres = met.groupBy("bucket").agg(F.max(F.struct("mates", F.col("key").alias("centre"), F.col("n").alias("n_centre"))).alias("top"))
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    edges = stored(members.where(F.col("key") != F.col("centre")).where(near(F.col("n"), F.col("n_centre"))).select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    starred = members.join(centres, "bucket").where((F.col("key") != F.col("top.centre")) & near(F.col("n"), F.col("top.n_centre")))
+    star = starred.groupBy("key").agg(F.max("top").alias("top")).select(F.least("key", "top.centre").alias("a"), F.greatest("key", "top.centre").alias("b"))
+    edges = stored(star.distinct())
+    wanted = stored(classes.join(members.select("key").distinct(), "key", "left_semi").select("id", "text_hash"))
+    sets = stored(_sets(docs, wanted, text, id_col, size))
     tried, links = edges, stored(_confirmed(edges, sets, percent))
-    roots = components(links)
-    done, width = 1, 2
+    roots, width, rest = components(links), 8, members.select("bucket", "key", "n")
     while True:
-        ranked = members.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        split = ranked.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("size")).where(f"mixed and size > {done + 1}")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key")) - 1
-        left = stored(ranked.join(split.select("bucket"), "bucket", "left_semi").withColumn("rank", rank).where(F.col("rank") >= done))
-        centres = left.where(F.col("rank") < done + width).select("bucket", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_a"))
-        pairs = (left.join(centres, "bucket").where((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & near(F.col("n"), F.col("n_a")))
-                 .select("a", F.col("key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        if left.isEmpty():
+        # members that have not been a centre, of buckets in which such members still have several roots
+        rooted = rest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rooted = stored(rooted.join(mixed.select("bucket"), "bucket", "left_semi"))
+        if rooted.isEmpty():
             return roots
+        # small components first: the bucket is done when only members of its largest one are left
+        alike = F.count(F.lit(1)).over(Window.partitionBy("bucket", "root"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("alike", "root", "key"))
+        ranked = stored(rooted.withColumn("alike", alike).withColumn("rank", rank).drop("alike").join(sets.select("key", "bits"), "key"))
+        first = ranked.where(F.col("rank") <= width).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "rank", "root", "bits")])
+        # each bit in which two sketches differ stands for a shingle that only one text has: no pair above the limit fails this
+        differ = F.aggregate(F.zip_with("bits", "bits_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+        both = F.col("n") + F.col("n_a")
+        possible = (both - differ) * 100 >= (both + differ) * percent
+        pairs = (ranked.join(first, "bucket").where((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & near(F.col("n"), F.col("n_a")) & possible)
+                 .select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         edges = stored(pairs)
         if not edges.isEmpty():
             tried = tried.unionByName(edges)
@@ -205,7 +229,7 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, id_col: str, size
             if not found.isEmpty():
                 links = links.unionByName(found)
                 roots = components(links)
-        done, width = done + width, width * 2
+        rest, width = ranked.where(F.col("rank") > width).select("bucket", "key", "n"), width * 8
 
 
 def grouped(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
