@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memberlens.functions.ranking import quantiles_from_ranks, ranked_values, unpivot
 from memberlens.functions.scalars import beside
 from memberlens.operators.validate import psi_from_bins
+from memberlens.session import cut_lineage
 
 PSI_WARN, PSI_ALERT = 0.10, 0.25
 CH_DROP_ALERT = 0.20
@@ -68,7 +69,8 @@ def quantile_psi(ranked: DataFrame, bins: int = 10) -> DataFrame:
 
 def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """PSI, KS and means per feature with a status, most drifted first."""
-    ranked = ranked_pair(paired_values(reference, current, columns))
+    # stored: edges, placement, distances and means all read it
+    ranked = cut_lineage(ranked_pair(paired_values(reference, current, columns)))
     means = ranked.groupBy("feature").agg(
         (F.sum(F.col("value") * F.col("r")) / F.sum("r")).alias("ref_mean"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("cur_mean"))
     psi = F.col("psi")

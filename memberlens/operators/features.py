@@ -157,19 +157,24 @@ def _by_member():
     return Window.partitionBy("member_id").orderBy("observation_date")
 
 
+def _month_number(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
 def prior_value(column: Column, months: int = 1) -> Column:
     """Value of the row one calendar month earlier; null when that month is absent.
 
+    Months are compared by number, so the last days of months follow one another.
     A member has one row per observation date, so the window stays small.
     """
-    before = F.lag(F.col("observation_date")).over(_by_member())
-    is_prior = before == F.add_months(F.to_date("observation_date"), -months).cast("timestamp")
+    day = F.col("observation_date")
+    is_prior = _month_number(F.lag(day).over(_by_member())) == _month_number(day) - months
     return F.when(is_prior, F.lag(column).over(_by_member()))
 
 
 def next_value(column: Column) -> Column:
-    after = F.lead(F.col("observation_date")).over(_by_member())
-    is_next = after == F.add_months(F.to_date("observation_date"), 1).cast("timestamp")
+    day = F.col("observation_date")
+    is_next = _month_number(F.lead(day).over(_by_member())) == _month_number(day) + 1
     return F.when(is_next, F.lead(column).over(_by_member()))
 
 

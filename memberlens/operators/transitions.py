@@ -8,6 +8,7 @@ from itertools import product
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,16 @@ def with_split(pairs: DataFrame, train: Sequence[int] = tuple(range(2, 10)), val
     return pairs.withColumn("split", F.when(m.isin(list(train)), "train").when(m == validation, "validation").when(m == test, "test"))
 
 
-def walk_forward(pairs: DataFrame, skip_first: bool = True) -> DataFrame:
-    """The same split for a panel of any length: last month test, the one before validation, the first dropped."""
-    dates = [r.d for r in pairs.select(F.col("observation_date").alias("d")).distinct().orderBy("d").collect()]
-    train = dates[1:-2] if skip_first and len(dates) > 3 else dates[:-2]
-    day = F.col("observation_date")
-    return pairs.withColumn("split", F.when(day.isin([F.lit(d) for d in train]), "train").when(day == F.lit(dates[-2]), "validation")
-                            .when(day == F.lit(dates[-1]), "test"))
+def walk_forward(pairs: DataFrame) -> DataFrame:
+    """The same split for a panel of any length: last month test, the one before validation, every earlier one train.
+
+    Pairs that need a prior month lack the panel's first month already (`build_pairs`), so none is left out here.
+    """
+    months = [r.d for r in pairs.select(F.col("observation_date").alias("d")).distinct().orderBy(F.desc("d")).limit(2).collect()]
+    day, split = F.col("observation_date"), F.lit("train")
+    for month, part in zip(reversed(months), ("validation", "test")[-len(months):]):
+        split = F.when(day == F.lit(month), part).otherwise(split)
+    return pairs.withColumn("split", split)
 
 
 @dataclass
@@ -81,6 +85,7 @@ class TransitionModel:
     n_classes: int
     thresholds: list[float] | None = None
     weighting: str = "balanced"
+    deviations: list[float] | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds `proba` and `seg_pred` by the stored rule."""
@@ -96,7 +101,7 @@ class TransitionModel:
         if isinstance(self.classifier, RandomForestClassificationModel):
             values = self.classifier.featureImportances.toArray()
         else:
-            values = np.abs(self.classifier.coefficientMatrix.toArray()).mean(axis=0)
+            values = np.abs(self.classifier.coefficientMatrix.toArray()).mean(axis=0) * np.asarray(self.deviations)
         return sorted(zip(self.columns, [float(v) for v in values]), key=lambda p: (-p[1], p[0]))
 
 
@@ -109,7 +114,9 @@ def _fit(train: DataFrame, columns: Sequence[str], n_classes: int, boost: Sequen
         estimator = RandomForestClassifier(**names, seed=42, **{"numTrees": 60, "maxDepth": 8, **params})
     else:
         estimator = LogisticRegression(**names, family="multinomial", **{"maxIter": 50, "regParam": 1e-3, **params})
-    return TransitionModel(list(columns), estimator.fit(matrix), n_classes, weighting="balanced + weak-class boost" if boost else "balanced")
+    spread = [float(x) for x in matrix.select(Summarizer.std(F.col("_features")).alias("s")).first().s]
+    return TransitionModel(list(columns), estimator.fit(matrix), n_classes, weighting="balanced + weak-class boost" if boost else "balanced",
+                           deviations=spread)
 
 
 def fit_regularised(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, boost: Sequence[int] = (),
@@ -132,7 +139,7 @@ def _val_f1(model: TransitionModel, validation: DataFrame) -> float:
 def train_transition_model(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int,
                            kind: str = "linear", **params) -> TransitionModel:
     """Balanced weights, a boost of weak classes kept only if validation improves, and the rule picked on validation."""
-    train, validation = cut_lineage(train), cut_lineage(validation)
+    train, validation = cut_lineage(train, spread=True), cut_lineage(validation, spread=True)
 
     def fit(boost: Sequence[int]) -> TransitionModel:
         if kind == "linear" and not params:
@@ -156,8 +163,8 @@ def train_transition_model(train: DataFrame, validation: DataFrame, columns: Seq
 
 def parameter_search(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, grid: dict[str, Sequence],
                      sample_size: int = 200_000, kind: str = "linear") -> tuple[DataFrame, dict]:
-    """Search on a stratified subsample, then refit baseline and best on all rows and compare them by the same rule."""
-    small = cut_lineage(stratified_sample(train, "seg_next", sample_size))
+    """Search on a stratified sample of at most about `sample_size` labelled rows, then refit baseline and best on all rows and compare them by the same rule."""
+    small = cut_lineage(stratified_sample(train, "seg_next", sample_size), spread=True)
     rows, best = [], None
     for values in product(*grid.values()):
         params = dict(zip(grid, values))
@@ -178,7 +185,7 @@ def downstream_check(panel: DataFrame, candidates: dict, feature_columns: Sequen
     for name, model in candidates.items():
         labelled = model.assign(panel.drop("segment_id", "segment_name")).select(*[c for c in panel.columns if c != "segment_name"]
                                                                                   if "segment_id" in panel.columns else [*panel.columns, "segment_id"])
-        pairs = cut_lineage(walk_forward(build_pairs(labelled, feature_columns)))
+        pairs = cut_lineage(walk_forward(build_pairs(labelled, feature_columns)), spread=True)
         train, validation = pairs.where("split = 'train'"), pairs.where("split = 'validation'")
         k = len(model.centroids)
         fitted = _fit(train, model_columns(feature_columns), k, (), "linear")

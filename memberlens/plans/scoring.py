@@ -18,8 +18,13 @@ from memberlens.sources.tables import prior_month, write_csv, write_json
 
 
 def conformed(members: DataFrame, transactions: DataFrame, events: DataFrame, event_order: Sequence[str] = ()) -> tuple[DataFrame, ...]:
-    """(spine, transactions, events), typed, de-duplicated and stored once for all later steps."""
-    return (clean.build_spine(members), cut_lineage(clean.clean_transactions(transactions)), cut_lineage(clean.clean_events(events, event_order)))
+    """(spine, transactions, events), typed, de-duplicated and stored once for all later steps.
+
+    Facts of unknown and tagged ids end here: no later step, contact rates included, sees them.
+    """
+    spine = cut_lineage(clean.build_spine(members))
+    return (spine, cut_lineage(clean.only_ids(clean.clean_transactions(transactions), spine)),
+            cut_lineage(clean.only_ids(clean.clean_events(events, event_order), spine)))
 
 
 def feature_panel(members: DataFrame, spine: DataFrame, transactions: DataFrame, events: DataFrame, dates: Sequence[str]) -> DataFrame:
@@ -38,7 +43,7 @@ def train(panel: DataFrame, fit_date: str, k: int = 5, n_init: int = 10) -> tupl
     profiled = name_segments(profile_clusters(segments.assign(at_fit)))
     names = {r.segment_id: r.segment_name for r in profiled.collect()}  # k rows
     segments.names = [names.get(i, "Unknown") for i in range(k)]
-    pairs = cut_lineage(walk_forward(build_pairs(segments.assign(panel), columns)))
+    pairs = cut_lineage(walk_forward(build_pairs(segments.assign(panel), columns)), spread=True)
     model = train_transition_model(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), model_columns(columns), k)
     return segments, model
 
@@ -47,11 +52,12 @@ def score(members: DataFrame, transactions: DataFrame, events: DataFrame, date:
           path: str, event_order: Sequence[str] = ()) -> dict[str, DataFrame]:
     """All outputs of one scoring date, checked against their contracts and written below `path`.
 
-    The prior month is built in the same pass, since changes and segment history need it.
+    Two earlier months are built in the same pass: changes and segment history need the prior month, and
+    that month's acceleration needs the one before it, as in a training panel.
     """
     configure(members.sparkSession)
     spine, transactions, events = conformed(members, transactions, events, event_order)
-    panel = segments.assign(feature_panel(members, spine, transactions, events, [prior_month(date), date]))
+    panel = segments.assign(feature_panel(members, spine, transactions, events, [prior_month(prior_month(date)), prior_month(date), date]))
     moved = add_panel_deltas(add_velocity(panel)).withColumn("_prev", prior_value(F.col("segment_id")))
     moved = moved.withColumns({"seg_curr": F.col("segment_id"), "y_curr": F.col("state_id"), "month_num": F.month("observation_date")})
     current = cut_lineage(add_segment_history(moved, "_prev").where(F.col("observation_date") == F.lit(date).cast("timestamp")))

@@ -25,7 +25,6 @@ RUNTIME_CONF = {
 
 
 RECORDS_PER_FILE = 5_000_000
-SMALL_SHARE = 64 << 20  # bytes per core below which a table counts as small
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -56,26 +55,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    application = spark.sparkContext.applicationId
+    if application not in _private:
+        _private[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _private[application]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the result as the optimizer estimates it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_private: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the folder of this application, which can be removed as a whole when it has ended."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write `df` as a table below the checkpoint folder and read it back from there.
 
     Used where one result feeds many jobs (stage outputs, inputs of iterative
     fits): a lost executor re-reads files instead of recomputing the plan, and
-    readers still profit from column pruning and filter pushdown.
+    readers still profit from column pruning and filter pushdown. `spread` deals the
+    rows evenly to all shuffle partitions first: for the input of a fit, which would
+    otherwise stay in as few tasks as the files it was read from.
     """
-    context = df.sparkSession.sparkContext
-    if estimated_bytes(df) < context.defaultParallelism * SMALL_SHARE:
-        # a small input would otherwise stay in the one or two tasks it was read by
-        df = df.repartition(context.defaultParallelism)
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    path = stage_path(df.sparkSession)
     df.write.option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -87,3 +87,51 @@ def test_whole_run(spark, tmp_path):
     attribution.assert_additive(explained, 1e-6)
     text = attribution.top_drivers(explained, model.columns).first().evidence
     assert text.count(";") == 2 and ("raises" in text or "lowers" in text)
+
+
+def test_walk_forward_keeps_every_eligible_month(frame):
+    rows = [("A", D(2025, m, 1), float(m), m % 3, 1) for m in range(1, 8)]
+    panel = frame(rows, "member_id string, observation_date timestamp, spend_total_30d double, segment_id int, state_id int")
+    pairs = transitions.build_pairs(panel, ["spend_total_30d"], lag_columns=["spend_total_30d"])
+    # January has no prior month, July no following one
+    assert {r.month_num: r.split for r in transitions.walk_forward(pairs).collect()} == {2: "train", 3: "train", 4: "train", 5: "validation", 6: "test"}
+    assert {r.split for r in transitions.walk_forward(pairs.where("month_num = 3")).collect()} == {"test"}
+
+
+def test_month_end_panels_pair_in_both_directions(frame):
+    ends = [D(2024, 9, 30), D(2024, 10, 31), D(2024, 11, 30), D(2024, 12, 31)]
+    panel = frame([("A", d, float(i), i % 3, 1) for i, d in enumerate(ends)], "member_id string, observation_date timestamp, spend_total_30d double, segment_id int, state_id int")
+    pairs = transitions.build_pairs(panel, ["spend_total_30d"], lag_columns=["spend_total_30d"]).collect()
+    assert sorted((r.month_num, r.d_spend_total_30d, r.seg_prev, r.seg_next) for r in pairs) == [(10, 1.0, 0.0, 2), (11, 1.0, 1.0, 0)]
+
+
+def test_importance_does_not_depend_on_units(spark):
+    rows = spark.range(400).selectExpr("concat('M', id) AS member_id", "cast((id * 37) % 101 as double) AS a", "cast((id * 53) % 17 as double) AS b",
+                                       "cast((id * 37) % 101 > 50 as int) AS seg_next")
+    importance = {}
+    for unit in (1.0, 100.0):
+        scaled = rows.withColumn("a", F.col("a") * unit)
+        importance[unit] = dict(transitions._fit(scaled, ["a", "b"], 2, (), "linear").importances())
+    assert importance[1.0]["a"] > importance[1.0]["b"]
+    assert importance[1.0] == pytest.approx(importance[100.0], rel=0.02)
+
+
+def test_score_and_training_panel_agree_on_the_previous_month(spark):
+    members, txns, events = raw_members(spark, SMALL), raw_transactions(spark, SMALL), raw_events(spark, SMALL)
+    spine, txns, events = scoring.conformed(members, txns, events, ["event_no"])
+    date = MONTHS[4]
+    short = scoring.feature_panel(members, spine, txns, events, [tables.prior_month(tables.prior_month(date)), tables.prior_month(date), date])
+    long = scoring.feature_panel(members, spine, txns, events, MONTHS)
+    before = F.col("observation_date") == F.lit(MONTHS[3]).cast("timestamp")
+    pick = lambda p: sorted(map(tuple, p.where(before).select("member_id", "spend_acceleration").collect()))
+    assert pick(short) == pick(long)
+
+
+def test_facts_of_unknown_ids_do_not_reach_contact_rates(spark, frame):
+    from memberlens.operators import contact
+
+    members = raw_members(spark, SMALL)
+    spine, _, events = scoring.conformed(members, raw_transactions(spark, SMALL), raw_events(spark, SMALL), ["event_no"])
+    assert events.join(spine, "member_id", "left_anti").isEmpty()
+    history = contact.contact_history(events, MONTHS[-1])
+    assert history.join(spine, "member_id", "left_anti").isEmpty()

@@ -122,10 +122,12 @@ def ctes(dates=MONTHS) -> dict[str, str]:
         "dates": date_list(dates),
         "spine": "SELECT member_id, account_open_date FROM raw_members WHERE NOT starts_with(member_id, 'MBR_GHOST_')",
         "txn": (f"SELECT * REPLACE ({parsed('transaction_date')} AS transaction_date, lower(trim(transaction_type)) AS transaction_type, "
-                "lower(trim(channel)) AS channel, lower(trim(merchant_category)) AS merchant_category) FROM raw_transactions"),
+                "lower(trim(channel)) AS channel, lower(trim(merchant_category)) AS merchant_category) FROM raw_transactions "
+                "WHERE member_id IN (SELECT member_id FROM spine)"),
         "typed_events": (f"SELECT * REPLACE ({parsed('event_date')} AS event_date, lower(trim(event_type)) AS event_type, "
                          "lower(trim(event_channel)) AS event_channel) FROM raw_events"),
-        "evt": ("SELECT * EXCLUDE (rn) REPLACE (CASE WHEN session_duration_sec IS NOT NULL THEN least(session_duration_sec, 14400) END AS session_duration_sec) "
+        "evt": "SELECT * FROM clean_evt WHERE member_id IN (SELECT member_id FROM spine)",
+        "clean_evt": ("SELECT * EXCLUDE (rn) REPLACE (CASE WHEN session_duration_sec IS NOT NULL THEN least(session_duration_sec, 14400) END AS session_duration_sec) "
                 "FROM (SELECT *, row_number() OVER (PARTITION BY member_id, event_date, event_type ORDER BY event_no) AS rn FROM typed_events) WHERE rn = 1"),
         "enrolled_txn": "SELECT t.*, s.account_open_date FROM txn t JOIN spine s USING (member_id) WHERE t.transaction_date >= s.account_open_date",
         "enrolled_evt": "SELECT e.*, s.account_open_date FROM evt e JOIN spine s USING (member_id) WHERE e.event_date >= s.account_open_date",

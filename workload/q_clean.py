@@ -99,7 +99,7 @@ def _(spark, sf):
     return clean.normalise_text(raw_transactions(spark, sf), columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("event_dedup", sql(f"SELECT member_id, {when('event_date', 'event_date')}, event_type, event_channel, event_no, {r6('session_duration_sec', 'session_duration_sec', 3)} FROM evt"))
+@query("event_dedup", sql(f"SELECT member_id, {when('event_date', 'event_date')}, event_type, event_channel, event_no, {r6('session_duration_sec', 'session_duration_sec', 3)} FROM clean_evt"))
 def _(spark, sf):
     """Whole chain: normalise, parse, keep the first copy, cap the duration."""
     events = clean.clean_events(raw_events(spark, sf), ["event_no"])

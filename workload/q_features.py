@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memberlens.operators import features, snapshot, tier, validate
+from memberlens.operators.features import BEHAVIOURAL_FEATURES
 from workload import stages
 from workload.adapter import MONTHS, OBSERVED
 from workload.oracle import EVT_COUNTS, SESSION, SPEND, TXN_COUNTS, WINDOWS
@@ -276,11 +277,13 @@ def _(spark, sf):
     return rounded(validate.structural_pairs(validate.collinear_pairs(stages.panel(spark, sf), columns=_CORRELATED), min_months=5))
 
 
-_TRACKED = ("spend_total_30d", "recency_days", "redemption_rate", "app_open_90d", "spend_slope_30d")
+_TRACKED = BEHAVIOURAL_FEATURES
 
 
 def _long(columns, source="features"):
-    return " UNION ALL ".join(f"SELECT member_id, observation_date, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns)
+    wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return (f"SELECT member_id, observation_date, feature, value FROM (UNPIVOT INCLUDE NULLS (SELECT member_id, observation_date, {wide} FROM {source}) "
+            f"ON {', '.join(columns)} INTO NAME feature VALUE value)")
 
 
 @query("median_trajectory", sql(

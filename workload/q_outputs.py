@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memberlens.functions.exprs import lookup
 from memberlens.operators import clean, contact, drift, outputs, segments
+from memberlens.operators.features import BEHAVIOURAL_FEATURES, behavioural_features
 from memberlens.operators.states import STATES as STATE_NAMES
 from workload import stages
 from workload.adapter import MONTHS, N_CLASSES, OBSERVED, SEGMENT_NAMES, raw_members
 from workload.oracle import STATES, days, half_even
 from workload.oracle import at_observed as sql_at
 from workload.oracle import query as sql
-from workload.q_scores import _RISK, _VALUES, _scored_test, _stored_risk
+from workload.q_scores import K, _RISK, _VALUES, _scored_test, _stored_risk
 from workload.q_states import _CONFIDENCE, _EVIDENCE, segment_model
 from workload.registry import big, query, r6, rounded, when
 
@@ -142,7 +144,7 @@ def _(spark, sf):
 
 # --- drift -----------------------------------------------------------------------------------------
 
-_DRIFTING = ("spend_total_30d", "recency_days", "redemption_rate", "app_open_30d", "spend_slope_30d", "tenure_days", "tier_changes_count", "return_count_7d")
+_DRIFTING = (*behavioural_features(BEHAVIOURAL_FEATURES, "shipped"), "tenure_days", "return_count_7d")
 _REF, _CUR = MONTHS[1], MONTHS[-1]
 
 
@@ -152,7 +154,9 @@ def _two_months(spark, sf):
 
 
 def _sample(date: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM states WHERE observation_date = TIMESTAMP '{date} 00:00:00' AND {c} IS NOT NULL" for c in _DRIFTING)
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DRIFTING)
+    return (f"SELECT feature, value FROM (UNPIVOT (SELECT {columns} FROM states WHERE observation_date = TIMESTAMP '{date} 00:00:00') "
+            f"ON {', '.join(_DRIFTING)} INTO NAME feature VALUE value)")
 
 
 _QUANTILES = ("SELECT feature, list_sort(list_distinct([" + ", ".join(f"quantile_cont(value, {i / 10})" for i in range(11)) + "])) AS edges FROM ref_rows GROUP BY 1")
@@ -172,10 +176,16 @@ def _(spark, sf):
     return rounded(drift.quantile_psi(drift.ranked_pair(drift.paired_values(ref, cur, _DRIFTING))))
 
 
-@query("ks_statistic", sql(f"SELECT feature, {r6('ks', 'ks_stat')}, {big('nr', 'n_reference')}, {big('nc', 'n_current')} FROM ks_of", **_D))
+_P_VALUE = ("CASE WHEN lam < 0.2e0 THEN 1e0 ELSE least(1e0, greatest(0e0, list_sum(list_transform(range(1, 101), "
+            "lambda j: CASE WHEN j % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * j * j * lam * lam))))) END")
+
+
+@query("ks_statistic", sql(f"SELECT feature, {r6('ks', 'ks_stat')}, {big('nr', 'n_reference')}, {big('nc', 'n_current')}, {r6(_P_VALUE, 'ks_pvalue')} "
+                           "FROM (SELECT *, sqrt(CAST(nr AS DOUBLE) * nc / (nr + nc)) * ks AS lam FROM ks_of)", **_D))
 def _(spark, sf):
     ref, cur = _two_months(spark, sf)
-    return rounded(drift.ks_statistic(drift.ranked_pair(drift.paired_values(ref, cur, _DRIFTING))))
+    stats = drift.ks_statistic(drift.ranked_pair(drift.paired_values(ref, cur, _DRIFTING)))
+    return rounded(stats.withColumn("ks_pvalue", drift.ks_p_value(F.col("ks_stat"), F.col("n_reference"), F.col("n_current"))))
 
 
 _REPORT = ("SELECT feature, psi, ks, CASE WHEN psi > 0.25 THEN 'ALERT' WHEN psi > 0.10 THEN 'WARN' ELSE 'ok' END AS status, (SELECT avg(value) FROM ref_rows r WHERE r.feature = qpsi.feature) AS rm, "
@@ -226,27 +236,55 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([(a, b, (a - b) / a)], "ch_reference double, ch_current double, fractional_drop double"))
 
 
+def _rule_points(month):
+    """Rule-based segments as clusters of spend, purchases and app use."""
+    return month.select("segment_id", F.array(F.col("spend_total_30d") / 100.0, F.col("purchase_count_30d").cast("double"), F.col("app_open_30d").cast("double")).alias("point"))
+
+
+def _ch(date: str) -> str:
+    points = f"SELECT segment_id, spend_total_30d / 100e0 AS a, purchase_count_30d AS b, app_open_30d AS c FROM states WHERE observation_date = TIMESTAMP '{date} 00:00:00'"
+    return (f"SELECT (sum(n * ((ma - ga) ** 2 + (mb - gb) ** 2 + (mc - gc) ** 2)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch FROM "
+            f"(SELECT segment_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, (var_pop(a) + var_pop(b) + var_pop(c)) * count(*) AS w FROM ({points}) GROUP BY 1), "
+            f"(SELECT avg(a) AS ga, avg(b) AS gb, avg(c) AS gc FROM ({points}))")
+
+
 @query("drift_verdict", sql(
     "SELECT (SELECT feature FROM drifted ORDER BY psi DESC, feature DESC LIMIT 1) AS max_psi_feature, " + r6("(SELECT max(psi) FROM drifted)", "max_psi")
-    + ", (SELECT count(*) FROM drifted WHERE status = 'ALERT') AS n_alert, (SELECT count(*) FROM drifted WHERE status = 'WARN') AS n_warn, CAST(0.05 AS DOUBLE) AS ch_drop, " + r6("s", "segment_mix_tvd") + ", " + r6("t", "state_mix_tvd")
-    + ", CASE WHEN (SELECT count(*) FROM drifted WHERE status = 'ALERT') > 0 OR s > 0.1 THEN 'RETRAIN_RECOMMENDED' WHEN (SELECT count(*) FROM drifted WHERE status = 'WARN') > 0 OR t > 0.1 THEN 'MONITOR' ELSE 'HEALTHY' END AS verdict "
-      "FROM (SELECT sum(abs(ref_share - cur_share)) / 2 AS s FROM seg_shares), (SELECT sum(abs(ref_share - cur_share)) / 2 AS t FROM state_shares)",
-    drifted=_REPORT, seg_shares=_shares("segment_name"), state_shares=_shares("state_name"), **_D))
+    + ", (SELECT count(*) FROM drifted WHERE status = 'ALERT') AS n_alert, (SELECT count(*) FROM drifted WHERE status = 'WARN') AS n_warn, " + r6("ch_drop", "ch_drop") + ", " + r6("s", "segment_mix_tvd") + ", " + r6("t", "state_mix_tvd")
+    + ", CASE WHEN (SELECT count(*) FROM drifted WHERE status = 'ALERT') > 0 OR ch_drop > 0.2 OR s > 0.1 THEN 'RETRAIN_RECOMMENDED' WHEN (SELECT count(*) FROM drifted WHERE status = 'WARN') > 0 OR t > 0.1 THEN 'MONITOR' ELSE 'HEALTHY' END AS verdict "
+      "FROM (SELECT sum(abs(ref_share - cur_share)) / 2 AS s FROM seg_shares), (SELECT sum(abs(ref_share - cur_share)) / 2 AS t FROM state_shares), (SELECT (a.ch - b.ch) / a.ch AS ch_drop FROM ref_quality a, cur_quality b)",
+    ref_quality=_ch(_REF), cur_quality=_ch(_CUR), drifted=_REPORT, seg_shares=_shares("segment_name"), state_shares=_shares("state_name"), **_D))
 def _(spark, sf):
     ref, cur = _two_months(spark, sf)
     report = drift.feature_drift(ref, cur, _DRIFTING)
     mixes = [drift.total_variation(drift.mix_shift(ref, cur, c)) for c in ("segment_name", "state_name")]
-    return rounded(drift.drift_verdict(report, *mixes, ch_reference=100.0, ch_current=95.0))
+    qualities = [segments.quality(_rule_points(month), "segment_id")["calinski_harabasz"] for month in (ref, cur)]
+    return rounded(drift.drift_verdict(report, *mixes, *qualities))
 
 
 # --- outputs ------------------------------------------------------------------------------------------
 
+# Frozen centroids over (spend of 90 days in hundreds, months since the last purchase), one per name.
+_CENTRES = ((12.0, 0.3), (7.0, 0.6), (3.0, 1.2), (0.5, 3.5), (0.1, 33.0))
+
+
 def _assigned(spark, sf):
-    """Rule-based segments in the shape the model gives them."""
-    return stages.observed_panel(spark, sf).withColumn("segment_confidence", F.lit(0.5))
+    """Members assigned to the nearest frozen centroid."""
+    panel = stages.observed_panel(spark, sf).drop("segment_id", "segment_name")
+    point = F.array(F.col("spend_total_90d") / 100.0, F.coalesce(F.col("recency_days").cast("double"), F.lit(999.0)) / 30.0)
+    found = segments.nearest_centroid(panel.withColumn("point", point), [list(c) for c in _CENTRES])
+    return found.withColumn("segment_name", lookup(F.col("segment_id"), dict(enumerate(SEGMENT_NAMES))))
+
 
+_NEAREST = ("SELECT member_id, observation_date, arg_min(id, d) AS segment_id, list_sort(list(d)) AS ds FROM (SELECT member_id, observation_date, id, "
+            "sqrt((spend_total_90d / 100e0 - a) ** 2 + (coalesce(recency_days, 999) / 30e0 - b) ** 2) AS d FROM states, (VALUES "
+            + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_CENTRES)) + ") v(id, a, b)) GROUP BY 1, 2")
+_GAP = half_even("greatest(0, least(1, (ds[2] - ds[1]) / (ds[2] + ds[1] + 1e-9)))", 4)
 
-@query("segment_assignments", sql_at(f"SELECT member_id, {when('observation_date', 'observation_date')}, concat('S0', CAST(segment_id + 1 AS VARCHAR)) AS segment_id, segment_name, CAST(0.5 AS DOUBLE) AS segment_confidence FROM named"))
+
+@query("segment_assignments", sql_at(
+    f"SELECT member_id, {when('observation_date', 'observation_date')}, concat('S0', CAST(segment_id + 1 AS VARCHAR)) AS segment_id, {list(SEGMENT_NAMES)}[segment_id + 1] AS segment_name, "
+    f"{r6(_GAP, 'segment_confidence')} FROM nearest", nearest=_NEAREST))
 def _(spark, sf):
     return rounded(outputs.segment_assignments(_assigned(spark, sf)))
 
@@ -319,11 +357,37 @@ def _(spark, sf):
                            F.array_join("common_states", ", ").alias("common_states"), F.size("recommended_activation").alias("n_activations"))
 
 
-@query("output_contracts", sql_at("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_confidence, CAST(0 AS BIGINT) AS bad_state, CAST(0 AS BIGINT) AS bad_evidence, (SELECT count(*) FROM spine) AS n_expected, "
-                                  "count(*) = (SELECT count(*) FROM spine) AS passed FROM states"))
+_TOP = "list_position(proba, list_max(proba))"
+_CODES = ", ".join(f"'S0{c + 1}'" for c in K)
+_BAD = {
+    "segment_assignments": f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({_GAP} BETWEEN 0 AND 1)) AS bad_confidence, count(*) FILTER (WHERE segment_id NOT BETWEEN 0 AND {N_CLASSES - 1}) AS bad_id FROM nearest",
+    "state_assignments": f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({_CONFIDENCE} BETWEEN 0 AND 1)) AS bad_confidence, count(*) FILTER (WHERE state_name NOT IN {tuple(STATES)}) AS bad_id FROM states",
+    "transition_predictions": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE abs(list_sum(list_transform(proba, lambda p: round_even(p * 10000, 0) / 10000)) - 1) > 1e-3) AS bad_confidence, "
+                              f"count(*) FILTER (WHERE seg_curr NOT BETWEEN 0 AND {N_CLASSES - 1} OR {_TOP} NOT BETWEEN 1 AND {N_CLASSES}) AS bad_id FROM scored",
+}
+
+
+@query("output_contracts", sql_at(" UNION ALL ".join(
+    f"SELECT '{name}' AS output, n_rows, bad_confidence, bad_id, n_expected, n_rows = n_expected AND bad_confidence = 0 AND bad_id = 0 AS passed FROM ({checked}), "
+    f"(SELECT count(*) AS n_expected FROM {'scored' if name == 'transition_predictions' else 'spine'})" for name, checked in _BAD.items()), nearest=_NEAREST))
 def _(spark, sf):
+    """All three outputs against their contracts."""
     _, spine, _, _ = stages.facts(spark, sf)
-    return outputs.contract_check(outputs.state_assignments(stages.observed_panel(spark, sf)), spine, outputs.state_rules())
+    codes = [f"S{c + 1:02d}" for c in K]
+    scored = stages.scored(spark, sf).withColumn("seg_pred", (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
+    checks = {
+        "segment_assignments": (outputs.segment_assignments(_assigned(spark, sf)), spine, outputs.segment_rules(codes), ["confidence"]),
+        "state_assignments": (outputs.state_assignments(stages.observed_panel(spark, sf)), spine, outputs.state_rules(), ["confidence"]),
+        "transition_predictions": (outputs.transition_predictions(scored, N_CLASSES), scored, outputs.prediction_rules(codes), ["probability_sum"]),
+    }
+    out = None
+    for name, (df, expected, rules, sure) in checks.items():
+        checked = outputs.contract_check(df, expected, rules)
+        total = lambda names: sum((F.col(f"bad_{n}") for n in names), F.lit(0))
+        row = checked.select(F.lit(name).alias("output"), "n_rows", total(sure).cast("long").alias("bad_confidence"),
+                             total([n for n in rules if n not in sure]).cast("long").alias("bad_id"), "n_expected", "passed")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- questions on scored rows ------------------------------------------------------------------------------

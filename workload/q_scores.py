@@ -41,6 +41,16 @@ def _(spark, sf):
     return pairs.groupBy("month_num", F.coalesce("split", F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+@query("pair_month_split", sql(
+    "SELECT strftime(c.observation_date, '%Y-%m-%d') AS pair_month, CASE dense_rank() OVER (ORDER BY c.observation_date DESC) WHEN 1 THEN 'test' WHEN 2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n_pairs "
+    "FROM states c JOIN states n ON n.member_id = c.member_id AND n.observation_date = c.observation_date + INTERVAL 1 MONTH "
+    "JOIN states p ON p.member_id = c.member_id AND p.observation_date = c.observation_date - INTERVAL 1 MONTH GROUP BY c.observation_date"))
+def _(spark, sf):
+    """Part of every month that pairs with a prior month can be built for."""
+    pairs = transitions.walk_forward(transitions.build_pairs(stages.panel(spark, sf), _FEATURES))
+    return pairs.groupBy(F.date_format("observation_date", "yyyy-MM-dd").alias("pair_month"), "split").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 @query("balanced_class_weights", sql(
     "SELECT seg_next, n_rows, " + r6("sum(n_rows) OVER () / (count(*) OVER () * CAST(n_rows AS DOUBLE)) * CASE WHEN seg_next = 3 THEN 2 ELSE 1 END", "weight")
     + " FROM (SELECT seg_next, count(*) AS n_rows FROM scored GROUP BY 1)"))

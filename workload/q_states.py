@@ -163,7 +163,7 @@ def segment_model(spark, sf):
     key = (spark.sparkContext.applicationId, str(sf))
     if key not in _models:
         panel = stages.panel(spark, sf)
-        _models[key] = segments.fit_segments(stages.month(panel, MONTHS[3]), fit_columns(panel), n_init=3, max_iter=50, fit_date=MONTHS[3])
+        _models[key] = segments.fit_segments(stages.month(panel, MONTHS[3]), fit_columns(panel), fit_date=MONTHS[3])
     return _models[key]
 
 
@@ -220,13 +220,7 @@ def _points(spark, sf):
 
 @query("k_sweep")
 def _(spark, sf):
-    return rounded(segments.sweep_k(_points(spark, sf), ks=(5, 6, 8), n_init=1, silhouette_size=1000))
-
-
-@query("silhouette")
-def _(spark, sf):
-    labelled = segments.label_points(_points(spark, sf), segment_model(spark, sf).centroids)
-    return rounded(segments.silhouette_sample(labelled))
+    return rounded(segments.sweep_k(_points(spark, sf)))
 
 
 # Quality measures are compared on the labelled vectors of the embeddings table.
@@ -256,6 +250,16 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([(q["calinski_harabasz"],)], "calinski_harabasz double"))
 
 
+@query("silhouette", f"WITH {_VECTORS}, norms AS (SELECT vec_id, label, sum(x * x) AS sq FROM dims GROUP BY 1, 2), mean_norm AS (SELECT label, avg(sq) AS q, count(*) AS n FROM norms GROUP BY 1), "
+       "dots AS (SELECT d.vec_id, d.label, c.label AS other, sum(d.x * c.m) AS dot FROM dims d JOIN centre c ON c.i = d.i GROUP BY 1, 2, 3), "
+       "away AS (SELECT d.vec_id, d.label, d.other, greatest(0, r.sq - 2 * d.dot + q.q) AS d, q.n FROM dots d JOIN norms r USING (vec_id) JOIN mean_norm q ON q.label = d.other), "
+       "ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN d * n / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN d END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM away GROUP BY 1, 2) "
+       f"SELECT label AS cluster, count(*) AS n, {r6('avg(CASE WHEN n <= 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM ab GROUP BY ROLLUP (label)")
+def _(spark, sf):
+    """Per label and over all rows."""
+    return rounded(segments.silhouettes(_vectors(spark, sf)))
+
+
 @query("frozen_centroid_assignment", f"WITH {_VECTORS}, far AS (SELECT d.vec_id, c.label AS segment_id, sqrt(sum((x - m) * (x - m))) AS d FROM dims d JOIN centre c ON c.i = d.i GROUP BY 1, 2), "
        "two AS (SELECT vec_id, arg_min(segment_id, d) AS segment_id, list_sort(list(d)) AS ds FROM far GROUP BY 1) "
        f"SELECT vec_id, CAST(segment_id AS INTEGER) AS segment_id, {r6('(ds[2] - ds[1]) / (ds[2] + ds[1] + 1e-9)', 'segment_confidence', 4)}, {r6('1 - ds[1] / (ds[2] + 1e-9)', 'assignment_confidence', 4)} FROM two")
@@ -308,11 +312,10 @@ def _pct(c: str) -> str:
                  r6(half_even("avg(redemption_rate)", 4), "avg_redemption_rate"), r6(half_even("median(app_open_30d)", 3), "avg_app_opens_30d"),
                  r6(half_even("avg(CAST(tier_ordinal >= 2 AS INTEGER)) * 100", 2), "pct_gold_platinum"), r6(half_even("avg(spend_slope_30d)", 3), "avg_spend_slope"),
                  r6(half_even("avg(r) * 0.4e0 + (1 - avg(f)) * 0.4e0 + (1 - avg(a)) * 0.2e0", 3), "churn_risk_0_to_1")])
-    + f" FROM (SELECT *, {_pct('recency_days')} AS r, {_pct('purchase_count_30d')} AS f, {_pct('app_open_30d')} AS a FROM states) GROUP BY 1 HAVING count(r) > 0"))
+    + f" FROM (SELECT *, {_pct('recency_days')} AS r, {_pct('purchase_count_30d')} AS f, {_pct('app_open_30d')} AS a FROM states) GROUP BY 1"))
 def _(spark, sf):
-    """Segments in which nobody ever bought have no recency rank and drop out."""
-    table_ = segments.business_table(stages.observed_panel(spark, sf))
-    return rounded(table_.where(F.col("churn_risk_0_to_1").isNotNull()))
+    """A segment in which nobody ever bought has no recency rank and so a null risk."""
+    return rounded(segments.business_table(stages.observed_panel(spark, sf)))
 
 
 @query("dominant_features")
@@ -354,7 +357,7 @@ def _(spark, sf):
 @query("config_sweep")
 def _(spark, sf):
     population = segments.fit_population(stages.month(stages.panel(spark, sf), MONTHS[3]))
-    return rounded(segments.config_sweep(population, fit_columns(population), dims=(4, 8), ks=(4, 5), n_init=1, silhouette_size=500))
+    return rounded(segments.config_sweep(population, fit_columns(population)))
 
 
 _PAIR = "SELECT a.segment_id AS x, b.segment_id AS y FROM states a JOIN states b ON a.member_id = b.member_id AND b.observation_date = a.observation_date + INTERVAL 1 MONTH"
@@ -373,6 +376,6 @@ def _(spark, sf):
 
 @query("segment_stability")
 def _(spark, sf):
-    panel = stages.panel(spark, sf).where(F.col("observation_date") >= F.lit(MONTHS[3]).cast("timestamp"))
-    runs = segments.stability(panel, fit_columns(panel), MONTHS[3], seeds=(42, 1), runs=2, n_init=1, minimum_shared=100)
+    panel = stages.panel(spark, sf)
+    runs = segments.stability(panel, fit_columns(panel), MONTHS[3])
     return rounded(segments.stability_summary(runs))

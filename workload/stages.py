@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memberlens.functions.exprs import lookup
-from memberlens.operators.clean import build_spine, clean_events, clean_transactions
+from memberlens.operators.clean import build_spine, clean_events, clean_transactions, only_ids
 from memberlens.operators.features import engineer_features
 from memberlens.operators.snapshot import build_snapshots
 from memberlens.operators.states import classify_states
@@ -28,16 +28,17 @@ _stored: dict[tuple[str, str, str], DataFrame] = {}
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, str(sf_dir), name)
     if key not in _stored:
-        _stored[key] = cut_lineage(build())
+        _stored[key] = cut_lineage(build(), spread=True)
     return _stored[key]
 
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(members, spine, transactions, events), conformed and stored."""
+    """(members, spine, transactions, events), conformed and stored. Facts are those of spine members."""
     members = stored(spark, sf_dir, "members", lambda: raw_members(spark, sf_dir))
-    transactions = stored(spark, sf_dir, "transactions", lambda: clean_transactions(raw_transactions(spark, sf_dir)))
-    events = stored(spark, sf_dir, "events", lambda: clean_events(raw_events(spark, sf_dir), ["event_no"]))
-    return members, build_spine(members), transactions, events
+    spine = stored(spark, sf_dir, "spine", lambda: build_spine(members))
+    transactions = stored(spark, sf_dir, "transactions", lambda: only_ids(clean_transactions(raw_transactions(spark, sf_dir)), spine))
+    events = stored(spark, sf_dir, "events", lambda: only_ids(clean_events(raw_events(spark, sf_dir), ["event_no"]), spine))
+    return members, spine, transactions, events
 
 
 def fresh_snapshots(spark: SparkSession, sf_dir: str, dates=MONTHS) -> DataFrame:
