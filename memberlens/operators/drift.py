@@ -39,10 +39,8 @@ def ks_statistic(ranked: DataFrame) -> DataFrame:
 def ks_p_value(stat: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p-value (Kolmogorov series)."""
     lam = F.sqrt(n * m / (n + m)) * stat
-    terms = [F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam) for j in range(1, 101)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
+    sign = lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, j: acc + sign(j) * F.exp(-2.0 * j * j * lam * lam))
     # for tiny arguments the alternating series does not converge; the probability is 1
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 

@@ -282,8 +282,8 @@ _TRACKED = BEHAVIOURAL_FEATURES
 
 def _long(columns, source="features"):
     wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
-    return (f"SELECT member_id, observation_date, feature, value FROM (UNPIVOT INCLUDE NULLS (SELECT member_id, observation_date, {wide} FROM {source}) "
-            f"ON {', '.join(columns)} INTO NAME feature VALUE value)")
+    return (f"SELECT member_id, observation_date, feature, value FROM (SELECT member_id, observation_date, {wide} FROM {source}) "
+            f"UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(columns)}))")
 
 
 @query("median_trajectory", sql(
