@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memberlens.operators import attribution, calibration, economics, metrics, transitions
+from memberlens.operators import attribution, calibration, economics, metrics, segments, transitions
 from memberlens.session import cut_lineage
 from workload import stages
-from workload.adapter import N_CLASSES, SEGMENT_NAMES
+from workload.adapter import MONTHS, N_CLASSES, SEGMENT_NAMES
 from workload.oracle import div
 from workload.oracle import query as sql
 from workload.q_states import fit_columns, segment_model
@@ -106,11 +106,11 @@ def _(spark, sf):
     """Per-class F1 on validation with balanced and with boosted weights."""
     pairs = _labelled(spark, sf)
     train, validation = pairs.where("split = 'train'"), pairs.where("split = 'validation'")
-    columns = list(_FEATURES) + ["seg_curr", "y_curr"]
+    columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
     out = None
     boost: list[int] = []
     for name in ("balanced", "boosted"):
-        model = transitions._fit(train, columns, N_CLASSES, boost, "linear", maxIter=20)
+        model = transitions._fit(train, columns, N_CLASSES, boost, "linear")
         report = metrics.class_report(metrics.confusion(metrics.with_decision(model.predict(validation)), "seg_next", "seg_pred"))
         boost = metrics.weak_classes(report)
         part = report.select(F.lit(name).alias("weighting"), "label", "f1", "support")
@@ -129,7 +129,7 @@ def _(spark, sf):
     """The same task with a random forest."""
     pairs = _labelled(spark, sf)
     columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
-    model = transitions._fit(pairs.where("split = 'train'"), columns, N_CLASSES, (), "forest", numTrees=10, maxDepth=5)
+    model = transitions._fit(pairs.where("split = 'train'"), columns, N_CLASSES, (), "forest")
     scored = metrics.with_decision(model.predict(pairs.where("split = 'test'")))
     return rounded(metrics.macro_f1(scored, "seg_next", "seg_pred"))
 
@@ -144,9 +144,11 @@ def _(spark, sf):
 
 @query("downstream_segmentation_check")
 def _(spark, sf):
+    """The shipped segmentation against one with fewer segments, over all features."""
     model = segment_model(spark, sf)
     panel = stages.panel(spark, sf).drop("segment_id", "segment_name")
-    return rounded(transitions.downstream_check(panel, {"shipped": model}, list(_FEATURES)))
+    fewer = segments.fit_segments(stages.month(panel, MONTHS[3]), fit_columns(panel), k=N_CLASSES - 1, n_init=3, fit_date=MONTHS[3])
+    return rounded(transitions.downstream_check(panel, {"shipped": model, "fewer segments": fewer}, fit_columns(panel)))
 
 
 @query("linear_attribution")

@@ -220,7 +220,7 @@ def _points(spark, sf):
 
 @query("k_sweep")
 def _(spark, sf):
-    return rounded(segments.sweep_k(_points(spark, sf)))
+    return rounded(segments.sweep_k(_points(spark, sf), n_init=3))
 
 
 # Quality measures are compared on the labelled vectors of the embeddings table.
@@ -357,7 +357,7 @@ def _(spark, sf):
 @query("config_sweep")
 def _(spark, sf):
     population = segments.fit_population(stages.month(stages.panel(spark, sf), MONTHS[3]))
-    return rounded(segments.config_sweep(population, fit_columns(population)))
+    return rounded(segments.config_sweep(population, fit_columns(population), n_init=1))
 
 
 _PAIR = "SELECT a.segment_id AS x, b.segment_id AS y FROM states a JOIN states b ON a.member_id = b.member_id AND b.observation_date = a.observation_date + INTERVAL 1 MONTH"
@@ -377,5 +377,5 @@ def _(spark, sf):
 @query("segment_stability")
 def _(spark, sf):
     panel = stages.panel(spark, sf)
-    runs = segments.stability(panel, fit_columns(panel), MONTHS[3])
+    runs = segments.stability(panel, fit_columns(panel), MONTHS[3], n_init=2)
     return rounded(segments.stability_summary(runs))
