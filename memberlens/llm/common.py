@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 import uuid
 from collections.abc import Callable
 
@@ -65,3 +66,14 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) ->
 def shipped(module: str) -> None:
     """Send the module's functions along with tasks, so that workers need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def worker_cache(name: str, build: Callable):
+    """An object that lives as long as the Python worker process and serves all its tasks."""
+    kept = sys.modules.setdefault("llm_worker_cache", types.ModuleType("llm_worker_cache")).__dict__
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
+
+
+shipped(__name__)

@@ -12,7 +12,10 @@ last window is cut into windows of 1, 2, 4 ... tokens, which need no padding.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import arrow_batches, shipped, stored
+from memberlens.llm.common import arrow_batches, shipped, stored, worker_cache
 
 shipped(__name__)
 
@@ -31,7 +34,9 @@ END_ID = 1
 SHARD_DOCS = 2048
 QUERY_TERMS = 24  # the seed's terms of most weight, which form its query; every term is indexed
 K1, B = 1.2, 0.75
-_WORDS_HELD = 300_000
+WORD_END = "</w>"  # fixed value: what a piece at a word's end carries in the vocabulary
+_WORDS_HELD = 1_000_000
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")  # letters, then ASCII marks without the apostrophe
 
 
 def load_tokenizer(content: bytes):
@@ -41,18 +46,73 @@ def load_tokenizer(content: bytes):
     return Tokenizer.from_str(content.decode("utf-8"))
 
 
-def token_ids(texts: list[str | None], tokenizer, held: dict[bytes, bytes]) -> list[np.ndarray]:
-    """Ids of each text. No token crosses white space, so words are encoded once and remembered in `held`."""
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    if len(held) > _WORDS_HELD:
-        held.clear()
-    missing = list({w for words in split for w in words if w not in held})
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for at in range(0, len(missing), 4096):
-        part = missing[at:at + 4096]
-        for word, e in zip(part, encode([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-            held[word] = np.array(e.ids, dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join([held[w] for w in words]), dtype="<u4") for words in split]
+class WordIds(dict):
+    """Ids of words as bytes; words are encoded once per Python worker and remembered, up to _WORDS_HELD of them."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the words that are not known. A word of letters with marks behind it is the word, then the marks."""
+        if len(self) > _WORDS_HELD:
+            self.clear()
+        letters, marks, pairs = set(), set(), {}
+        for word in words:
+            if word in self:
+                continue
+            text = word.decode("utf-8", "surrogatepass")
+            m = _LETTERS_MARKS.fullmatch(text)
+            # letters must stay letters when the tokenizer normalises them
+            if m and unicodedata.normalize("NFC", m[1]).lower().isalpha():
+                pairs[word] = m.groups()
+                if not m[1].isascii():
+                    letters.add(m[1])
+                if m[2]:
+                    marks.add(m[2])
+            else:
+                marks.add(text)
+        parts = self._encoded(sorted(marks)) | self._joined(sorted(letters))
+        for text in marks:
+            self[text.encode("utf-8", "surrogatepass")] = parts[text]
+        for word, (first, last) in pairs.items():
+            # nothing is normalised in lower-case ASCII letters, so the model can take the word as it is
+            ids = parts.get(first) or array("I", [t.id for t in self.model.tokenize(first.lower())]).tobytes()
+            self[word] = ids + parts[last] if last else ids
+
+    def _encoded(self, texts: list[str]) -> dict[str, bytes]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return {t: np.array(e.ids, dtype="<u4").tobytes() for t, e in zip(texts, encode(texts, add_special_tokens=False), strict=True)} if texts else {}
+
+    def _joined(self, texts: list[str]) -> dict[str, bytes]:
+        """Words of letters encoded many at a time and told apart by the pieces that end a word."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(texts), 1000):
+            part = texts[at:at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):  # a letter that the tokenizer sees otherwise than Unicode's classes
+                out |= self._encoded(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for text, end in zip(part, (4 * cuts).tolist(), strict=True):
+                out[text] = data[start:end]
+                start = end
+        return out
+
+
+def token_ids(texts: list[str | None], held: WordIds) -> list[np.ndarray]:
+    """Ids of each text, by its words: no token crosses white space, and letter case does not matter."""
+    split = []
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        # written in lower case a special token's name would become one
+        split.append((raw if b"<|" in raw else raw.lower()).split())
+    held.learn(set().union(*split))
+    return [np.frombuffer(b"".join(map(held.__getitem__, words)), dtype="<u4") for words in split]
 
 
 def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str, end_id: int = END_ID) -> DataFrame:
@@ -60,10 +120,10 @@ def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str, end_id: i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, held = load_tokenizer(content), {}
-        width = id_width(tokenizer)
+        held = worker_cache(f"words-{zlib.crc32(content)}", lambda: WordIds(load_tokenizer(content)))
+        width = id_width(held.tokenizer)
         for b in batches:
-            ids = [x.astype(width).tobytes() for x in token_ids(b.column("text").to_pylist(), tokenizer, held)]
+            ids = [x.astype(width).tobytes() for x in token_ids(b.column("text").to_pylist(), held)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
