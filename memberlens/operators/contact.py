@@ -173,8 +173,8 @@ def contact_eligibility(members: DataFrame, events: DataFrame, states: DataFrame
                         base_rate: float = BASE_RECOVERY_RATE) -> DataFrame:
     """Per scored member: eligibility, consent, history, recovery rate and recommendation.
 
-    Without history a member has 0 contacts, the population's rate and multiplier 1.
-    A scored member without a member row cannot be shown to have consented.
+    Nobody contacted yet: 0 contacts, the rate of everybody, multiplier 1. Ids that the member
+    table lacks keep their row, with every permission off and the reason `not_in_member_file`.
     """
     history = contact_history(events, date)
     rated = response_propensity(history).drop("population_rate")

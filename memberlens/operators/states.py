@@ -62,6 +62,7 @@ def state_conditions() -> dict[str, Column]:
         (bought >= 1) & (app == 0) & (email == 0) & (push == 0),
         slope.between(-2, 5) & (bought >= 1),
     )
+    # The limits above, in the order of STATES.
     return dict(zip(STATES, rules))
 
 

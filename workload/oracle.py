@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import re
 
+from memberlens.schema import EVENT_TYPES
 from workload.adapter import MONTHS, OBSERVED, RAW_CTES, SEGMENT_NAMES, SEGMENT_RULE
 
-EVENT_TYPES = (
-    "app_open email_open email_click push_open push_dismiss point_balance_check reward_browse reward_redemption "
-    "tier_status_check support_contact social_share referral_sent survey_completed profile_update").split()
 WINDOWS = (7, 30, 90, 180)
 
 
