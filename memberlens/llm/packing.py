@@ -115,7 +115,7 @@ def token_ids(texts: list[str | None], held: WordIds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(map(held.__getitem__, words)), dtype="<u4") for words in split]
 
 
-def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str, end_id: int = END_ID) -> DataFrame:
+def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str) -> DataFrame:
     """(id, ids) per row; ids as little-endian 16-bit numbers where the vocabulary permits, else 32-bit, without the end."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -249,7 +249,7 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
     arrow_batches(docs.sparkSession)
     content = Path(tokenizer_path).read_bytes()  # the driver's file; tasks get its content
     width = id_width(load_tokenizer(content))
-    rows = stored(tokenised(docs, content, text, id_col, end_id))
+    rows = stored(tokenised(docs, content, text, id_col))
     n, mean, df = document_frequencies(rows, width, window)
     # texts that contain a term in more than half of the cases say nothing about it: weight 0
     idf = docs.sparkSession.sparkContext.broadcast((np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0) * (df > 0), mean))
