@@ -2,8 +2,10 @@
 
 Terms are lower-case words and word beginnings, hashed to 32 bits. Besides a weight each term
 has a short vector, and the product of two vectors adds to the score, so pairs such as an
-insult with a group name count beyond their parts. Fitted on a bounded sample of labelled
-rows; every text is scored whole, in parallel, by a model of bounded size.
+insult with a group name count beyond their parts. No term is chosen by its own link with the
+label: weights are fitted alone first, then with the vectors, under penalties that follow the
+noise of each term. Fitted on a bounded sample of labelled rows; every text is scored whole, in
+parallel, by a model of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ shipped(__name__)
 
 TRAIN_ROWS = 20_000  # bound of the labelled sample
 MIN_TEXTS = 4  # sampled texts that must contain a term of the model
-LEAST_CHI2 = 12.0  # association with the label that a term of the model must show
+WEIGHT_PENALTY = 2.5  # in standard errors of a term's gradient without any link; falls with the weight
+VECTOR_PENALTY = 0.3  # the same for vectors, squared
+WEIGHTS_ALONE = 0.1  # share of the passes that fit weights only
 PREFIX = 4  # letters of a word beginning
 FACTORS = 4
 UPDATES = 3_000  # mini-batches of the fit; at least three passes
@@ -71,53 +75,55 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _raw(ids, starts, weights, vectors):
+    """Sums of weights and of products of vectors, these over the root of the number of terms: long texts have many pairs."""
     v = vectors[ids]
     s = _sums(v, starts)
-    return _sums(weights[ids], starts) + 0.5 * (s**2 - _sums(v**2, starts)).sum(axis=1), v, s
+    part = 1.0 / np.sqrt(np.maximum(np.diff(starts), 1))
+    return _sums(weights[ids], starts) + 0.5 * part * (s**2 - _sums(v**2, starts)).sum(axis=1), v, s, part
 
 
-def _chi2(found: np.ndarray, counts: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Chi-square of each term's presence against the label."""
-    n, positive = len(rows), float(labels.sum())
-    hits = [r for r, y in zip(rows, labels, strict=True) if y]
-    with_term = np.bincount(np.searchsorted(found, np.concatenate(hits)), minlength=len(found)) if hits else np.zeros(len(found))
-    below = positive * (n - positive) * counts * (n - counts)
-    return n * (with_term * n - counts * positive) ** 2 / np.where(below > 0, below, np.inf)
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, updates: int = UPDATES, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> Machine:
-    """Logistic loss by AdaGrad over shuffled mini-batches. Without both labels the model is their mean alone."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, updates: int = UPDATES, rate: float = 0.3, seed: int = 11) -> Machine:
+    """Logistic loss by proximal AdaGrad over shuffled mini-batches. Without both labels the model is their mean alone."""
     rng = np.random.default_rng(seed)
     mean = float(labels.mean()) if len(labels) else 0.0
     flat = np.concatenate(rows) if rows else np.array([], dtype=np.uint32)
     found, counts = np.unique(flat, return_counts=True)
-    keys = found[(counts >= MIN_TEXTS) & (_chi2(found, counts, rows, labels) >= LEAST_CHI2)]
+    keys, share = found[counts >= MIN_TEXTS], counts[counts >= MIN_TEXTS] / max(len(rows), 1)
     if not 0 < mean < 1 or not len(keys):
         return Machine(keys[:0], np.zeros(0, np.float32), np.zeros((0, factors), np.float32), float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))))
     encoded = []
     for r in rows:
         at = np.minimum(np.searchsorted(keys, r), len(keys) - 1)
         encoded.append(at[keys[at] == r])
-    w, v = np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), factors))
+    noise = np.sqrt(np.maximum(share * (1 - share), len(rows) ** -2.0) * mean * (1 - mean) / len(rows))
+    w, v = np.zeros(len(keys)), rng.normal(0, 0.05, (len(keys), factors))
     bias, gw, gv, gb = float(np.log(mean / (1 - mean))), np.full(len(keys), 1e-2), np.full((len(keys), factors), 1e-2), 1e-2
-    for _ in range(max(3, -(-updates * 128 // len(rows)))):
+    passes = max(3, -(-updates * 128 // len(rows)))
+    for k in range(passes):
+        alone = k < WEIGHTS_ALONE * passes
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             batch = order[at:at + 128]
             ids = np.concatenate([encoded[i] for i in batch])
             sizes = np.array([len(encoded[i]) for i in batch])
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            raw, vi, s = _raw(ids, starts, w, v)
+            if alone:
+                raw = _sums(w[ids], starts)
+            else:
+                raw, vi, s, part = _raw(ids, starts, w, v)
             error = 1.0 / (1.0 + np.exp(-np.clip(raw + bias, -30, 30))) - labels[batch]
             each = np.repeat(error, sizes)
-            used, where = np.unique(ids, return_inverse=True)
-            dw = np.bincount(where, each, len(used)) / len(batch) + decay * w[used]
-            pull = each[:, None] * (np.repeat(s, sizes, axis=0) - vi)
-            dv = np.stack([np.bincount(where, pull[:, f], len(used)) for f in range(factors)], axis=1) / len(batch) + decay * v[used]
-            gw[used] += dw**2
-            gv[used] += dv**2
-            w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+            dw = np.bincount(ids, each, len(keys)) / len(batch)
+            gw += dw**2
+            step = rate / np.sqrt(gw)
+            w -= step * dw
+            w = np.sign(w) * np.maximum(np.abs(w) - step * WEIGHT_PENALTY * noise / (1 + 20 * np.abs(w)), 0)
+            if not alone:
+                pull = (each * np.repeat(part, sizes))[:, None] * (np.repeat(s, sizes, axis=0) - vi)
+                dv = np.stack([np.bincount(ids, pull[:, f], len(keys)) for f in range(factors)], axis=1) / len(batch)
+                gv += dv**2
+                step = 0.3 * rate / np.sqrt(gv)
+                v = (v - step * dv) / (1 + step * VECTOR_PENALTY * noise[:, None])
             db = error.mean()
             gb += db**2
             bias -= rate * db / np.sqrt(gb)

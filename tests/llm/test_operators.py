@@ -402,3 +402,17 @@ def test_pairs_of_terms_count():
     assert score(1, 2) > 0.5 > max(score(1), score(2))
     both = np.searchsorted(machine.keys, [1, 2])
     assert machine.vectors[both[0]] @ machine.vectors[both[1]] > 0.3
+
+
+def test_terms_without_a_link_of_their_own():
+    # toxic with both words or neither: each alone is as frequent in toxic as in clean texts
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.unique(np.array([1] * a + [2] * b + list(rng.integers(10, 110, 20)), dtype=np.uint32)))
+        labels.append(float(a == b))
+    machine = toxicity.fit(rows[:1500], np.array(labels[:1500]), updates=1500)
+    ids = [np.searchsorted(machine.keys, r[np.isin(r, machine.keys)]) for r in rows[1500:]]
+    found = machine.scores(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])) >= 0.5
+    assert (found == np.array(labels[1500:])).mean() > 0.95
