@@ -135,3 +135,29 @@ def test_facts_of_unknown_ids_do_not_reach_contact_rates(spark, frame):
     assert events.join(spine, "member_id", "left_anti").isEmpty()
     history = contact.contact_history(events, MONTHS[-1])
     assert history.join(spine, "member_id", "left_anti").isEmpty()
+
+
+def test_segment_profiles_rank_every_feature(spark):
+    import json
+    import statistics
+
+    from memberlens.operators.features import BEHAVIOURAL_FEATURES
+    from memberlens.session import configure
+    from workload import q_outputs
+    from workload.catalog import QUERIES
+
+    configure(spark)
+    rows = q_outputs._combined(spark, SMALL).select("segment_id", *BEHAVIOURAL_FEATURES).collect()
+    z = {}
+    for c in BEHAVIOURAL_FEATURES:
+        known = [(r.segment_id, float(r[c])) for r in rows if r[c] is not None]
+        if not known:
+            continue
+        every = [v for _, v in known]
+        spread = (statistics.stdev(every) if len(every) > 1 else 0.0) or 1.0
+        for s in {s for s, _ in known}:
+            z[s, c] = abs(statistics.fmean(v for k, v in known if k == s) - statistics.fmean(every)) / spread
+    found = {r.segment_id: [t["feature"] for t in json.loads(r.key_characteristics)] for r in QUERIES["segment_profiles"](spark, SMALL).collect() if r.key_characteristics}
+    assert set(found) == {s for s, _ in z}
+    for s, best in found.items():
+        assert [z[s, c] for c in best] == pytest.approx(sorted((x for (k, _), x in z.items() if k == s), reverse=True)[:5])

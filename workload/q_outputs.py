@@ -352,7 +352,7 @@ def _(spark, sf):
 
 @query("segment_profiles")
 def _(spark, sf):
-    profiles = outputs.segment_profiles(_combined(spark, sf), _PROFILED, SEGMENT_NAMES)
+    profiles = outputs.segment_profiles(_combined(spark, sf), BEHAVIOURAL_FEATURES, SEGMENT_NAMES)
     return profiles.select("segment_id", "segment_name", "n_members", "pct", F.to_json("key_characteristics").alias("key_characteristics"),
                            F.array_join("common_states", ", ").alias("common_states"), F.size("recommended_activation").alias("n_activations"))
 
