@@ -29,6 +29,7 @@ ROWS = 2  # rows of the sketch
 CELL_BITS = 27  # cells of a row, as a power of two: both rows are 32 MB as bitmaps, whatever the input
 BLOCK_BITS = 16  # cells of a row are merged in blocks of this size, as a power of two
 FLUSH = 1 << 20  # windows or anchors a task holds before it passes them on
+RUN = 1 << 20  # consecutive starts told by one number, at most: the first times RUN, plus those that follow
 PART_WINDOWS = 2_000_000  # windows grouped together in memory, at most about
 
 _RESULT = "n_words long, n_removed long, kept_text binary, kept_sha256 string"
@@ -168,7 +169,7 @@ def repeated_windows(rows: DataFrame, sketch, window: int, seed: int, parts: int
         def flushed() -> pa.RecordBatch:
             k1, k2, anchor, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
             first = _earliest(k1, k2, _ranked(ids, hashes)[doc], start)
-            part = ((anchor[first] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            part = anchor[first] % np.uint64(parts)  # low bits: the high ones of a least hash are mostly 0
             order = np.lexsort((start[first], doc[first], part))
             first, part, out = first[order], part[order], []
             used, at = np.unique(part, return_index=True)
@@ -201,7 +202,7 @@ def repeated_windows(rows: DataFrame, sketch, window: int, seed: int, parts: int
 
 
 def earliest_windows(pieces: DataFrame, parts: int) -> DataFrame:
-    """(_id, _hash, starts): windows of a document that no earlier window equals, in pieces; a part at a time in memory."""
+    """(_id, _hash, run): windows of a document that no earlier window equals, as runs of starts; a part at a time in memory."""
     id_kind = pieces.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +218,14 @@ def earliest_windows(pieces: DataFrame, parts: int) -> DataFrame:
             r, start = rank[doc[first]], start[first]
             order = np.lexsort((start, r))
             r, start, of = r[order], start[order], doc[first][order]
-            cut = np.concatenate([np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), [len(r)]])
-            for lo in range(0, len(cut) - 1, 10_000):
-                c = cut[lo:lo + 10_001].tolist()
-                docs = of[c[:-1]].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in docs], id_type), pa.array([hashes[d] for d in docs], pa.int64()),
-                                                  pa.array([start[a:b].tobytes() for a, b in zip(c, c[1:], strict=False)], pa.binary())], ["_id", "_hash", "starts"])
+            at = np.arange(len(r))
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (start[1:] != start[:-1] + 1)])
+            new |= (at - at[new][np.cumsum(new) - 1]) % RUN == 0
+            cut = np.flatnonzero(new)
+            run = (start[cut].astype(np.int64) * RUN) + np.diff(np.concatenate([cut, [len(r)]])) - 1
+            for lo in range(0, len(cut), 100_000):
+                docs = of[cut[lo:lo + 100_000]].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in docs], id_type), pa.array([hashes[d] for d in docs], pa.int64()), pa.array(run[lo:lo + 100_000])], ["_id", "_hash", "run"])
             held.clear(), ids.clear(), hashes.clear()
 
         for b in batches:
@@ -238,7 +241,7 @@ def earliest_windows(pieces: DataFrame, parts: int) -> DataFrame:
             yield from flushed()
 
     dealt = pieces.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, f"_id {id_kind}, _hash long, starts binary")
+    return dealt.mapInArrow(run, f"_id {id_kind}, _hash long, run long")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -250,7 +253,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _cut(rows: DataFrame, sketch, window: int, seed: int) -> DataFrame:
-    """Documents with their earliest windows (`_starts`, pieces) as (_row, n_words, n_removed, kept_text, kept_sha256)."""
+    """Documents with their earliest windows (`_starts`, runs) as (_row, n_words, n_removed, kept_text, kept_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
@@ -261,7 +264,9 @@ def _cut(rows: DataFrame, sketch, window: int, seed: int) -> DataFrame:
             for i, pieces in enumerate(b.column("_starts").to_pylist()):
                 own, gone = at[bounds[i]:bounds[i + 1]] - words.firsts[i], None
                 if len(own):
-                    first = np.concatenate([np.frombuffer(p, "<u4") for p in pieces]) if pieces else np.empty(0, np.uint32)
+                    runs = np.array(pieces or [], np.int64)
+                    size = runs % RUN + 1
+                    first = np.repeat(runs // RUN - np.cumsum(size) + size, size) + np.arange(size.sum())
                     gone = covered(int(words.counts[i]), own[~np.isin(own, first)], window)
                 removed.append(0 if gone is None else int(gone.sum()))
                 texts.append(words.joined(i, None if gone is None else ~gone))
@@ -292,7 +297,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sketch = spark.sparkContext.broadcast(merged_sketch(partition_sketches(docs, text, window, seed)))  # 2^CELL_BITS bits a row
     parts = part_count(spark, docs, text)
     firsts = earliest_windows(repeated_windows(rows, sketch, window, seed, parts), parts)
-    firsts = firsts.groupBy("_id", "_hash").agg(F.collect_list("starts").alias("_starts")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
+    firsts = firsts.groupBy("_id", "_hash").agg(F.collect_list("run").alias("_starts")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
     met = rows.join(firsts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").select("_row", "_text", "_starts")
     return _cut(met, sketch, window, seed).select("_row.*", "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text"), "kept_sha256")
 
