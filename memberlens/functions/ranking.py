@@ -2,10 +2,9 @@
 
 A window over the whole table would put every row into one task. Here equal
 values are first collapsed by a map-side combined count, so a value that makes
-up a third of the table becomes one row. The distinct values are then cut into
-slices at approximate quantiles (the cut points decide only the balance, never
-the result), each slice is ordered on its own, and the rows in earlier slices
-are added as an offset.
+up a third of the table becomes one row. The distinct values are then exchanged by range of
+group and value: every partition is a slice that is ordered on its own, and the rows in earlier
+slices of the group are added as an offset. The slices are as many as the data fills.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from memberlens.session import cut_lineage, small_side
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature",
@@ -26,37 +25,36 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), nam
 
 
 def ranked_values(df: DataFrame, value: str, groups: Sequence[str] = (),
-                  weights: dict[str, Column] | None = None, slices: int = SLICES) -> DataFrame:
+                  weights: dict[str, Column] | None = None, slices: int | None = None, previous: str | None = None) -> DataFrame:
     """One row per distinct non-null value of each group.
 
     Adds for every weight (default: `n`, the row count) the weight of the value
-    itself, `<w>_below` for all smaller values and `<w>_total` for the group.
+    itself, `<w>_below` for all smaller values and `<w>_total` for the group; and the next smaller value as `previous`, if
+    it is named. `slices` fixes the number of slices; without it they follow the size of the distinct values.
     """
     weights = weights or {"n": F.count(F.lit(1))}
     keys = list(groups) or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(1))
     counted = (source.where(F.col(value).isNotNull())
                .groupBy(*keys, value).agg(*[w.alias(n) for n, w in weights.items()]))
+    ranges = [*([slices] if slices else []), *keys, value]
+    sliced = cut_lineage(counted.repartitionByRange(*ranges).withColumn("_slice", F.spark_partition_id()))
 
-    marks = [i / slices for i in range(1, slices)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))
-    # one row per group, each with a fixed number of cut points
-    sliced = (counted.join(F.broadcast(cuts), keys)
-              .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-              .drop("_cuts"))
-
+    # a row per group and slice that holds some of it
+    edges = sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_{n}") for n in weights], F.max(value).alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = (sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_{n}") for n in weights])
-               .select(*keys, "_slice",
-                       *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in weights],
-                       *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in weights]))
-
-    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    # at most `slices` rows per group
-    ranked = sliced.join(F.broadcast(offsets), [*keys, "_slice"])
+    offsets = small_side(edges.select(
+        *keys, "_slice", F.max("_last").over(earlier).alias("_last"),
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in weights],
+        *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in weights]))
+
+    order = Window.partitionBy(*keys, "_slice").orderBy(value)
+    inside = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.join(offsets, [*keys, "_slice"])
     below = [(F.col(f"_{n}_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in weights]
-    return ranked.select(*groups, value, *weights, *below, *[f"{n}_total" for n in weights])
+    before = [F.coalesce(F.lag(value).over(order), F.col("_last")).alias(previous)] if previous else []
+    return ranked.select(*groups, value, *weights, *below, *[f"{n}_total" for n in weights], *before)
 
 
 def quantiles_from_ranks(ranked: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,27 +14,56 @@ from memberlens.functions.ranking import exact_quantiles
 from memberlens.functions.scalars import beside
 from memberlens.operators.clean import duplicate_keys
 from memberlens.schema import EVENT_KEY, TIER_HISTORY
+from memberlens.session import cut_lineage, small_side
 
 
-def table_profile(df: DataFrame, examples: int = 6) -> DataFrame:
-    """Per column: type, row count, null count, approximate distinct count and a few sample values.
+EXAMPLES = 6
+_SPAN = float(2**64)
 
-    One aggregation. Samples are the smallest values by hash, so the buffer stays small.
+
+def column_sketches(df: DataFrame, by: Sequence[str] = (), examples: int = EXAMPLES) -> DataFrame:
+    """A mergeable profile of every column, per group: column, type, n_rows, n_null, smallest, largest, distinct, samples.
+
+    `distinct` is an HLL sketch; `samples` are the values of least hash with their hashes. A first pass counts, a second one collects
+    only values whose hash lies so low that about sixteen times the wanted number of them are expected, so buffers stay small.
     """
+    fields = [f for f in df.schema.fields if f.name not in by]
+    text = {f.name: F.col(f.name).cast("string") for f in fields}
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, f in enumerate(df.schema.fields):
-        aggs.append(F.count(F.col(f.name)).alias(f"_c{i}"))
-        aggs.append(F.approx_count_distinct(F.col(f.name).cast("string")).alias(f"_d{i}"))
-        aggs.append(F.min(F.col(f.name).cast("string")).alias(f"_lo{i}"))
-        aggs.append(F.max(F.col(f.name).cast("string")).alias(f"_hi{i}"))
-    one = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-                 F.col("_rows").alias("n_rows"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null"),
-                 F.col(f"_d{i}").alias("approx_distinct"),
-                 F.col(f"_lo{i}").alias("smallest"), F.col(f"_hi{i}").alias("largest"))
-        for i, f in enumerate(df.schema.fields)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    for i, f in enumerate(fields):
+        v = text[f.name]
+        aggs += [F.count(v).alias(f"_c{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.hll_sketch_agg(v).alias(f"_d{i}")]
+    counted = cut_lineage(df.groupBy(*by).agg(*aggs))
+    share = [F.lit(16.0 * examples) / F.greatest(F.hll_sketch_estimate(f"_d{i}"), F.lit(1)) for i in range(len(fields))]
+    limits = [F.when(x < 1, (F.lit(-_SPAN / 2) + x * F.lit(_SPAN))).otherwise(F.lit(_SPAN / 2)).alias(f"_t{i}") for i, x in enumerate(share)]
+    limited = counted.select(*by, *limits)
+    keys = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    renamed = small_side(limited.withColumnsRenamed({c: f"_by_{c}" for c in by})) if by else limited
+    rows = df.join(renamed, reduce(lambda a, b: a & b, keys)) if by else beside(df, renamed)
+    picked = [F.slice(F.sort_array(F.collect_set(F.when(text[f.name].isNotNull() & (F.xxhash64(text[f.name]) <= F.col(f"_t{i}")),
+                                                        F.struct(F.xxhash64(text[f.name]).alias("hash"), text[f.name].alias("value"))))), 1, examples).alias(f"_s{i}") for i, f in enumerate(fields)]
+    sampled = rows.groupBy(*by).agg(*picked)
+    both = counted.join(sampled.withColumnsRenamed({c: f"_by_{c}" for c in by}), reduce(lambda a, b: a & b, keys)) if by else beside(counted, sampled)
+    each = F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_rows").alias("n_rows"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null"),
+                 F.col(f"_lo{i}").alias("smallest"), F.col(f"_hi{i}").alias("largest"), F.col(f"_d{i}").alias("distinct"), F.col(f"_s{i}").alias("samples"))
+        for i, f in enumerate(fields)])
+    return both.select(*by, F.explode(each).alias("r")).select(*by, "r.*")
+
+
+def merged_profile(sketches: DataFrame, by: Sequence[str] = (), examples: int = EXAMPLES) -> DataFrame:
+    """Profiles of any groups merged per column (and `by`): counts, extremes, approximate distinct count and sample values."""
+    whole = sketches.groupBy(*by, "column", "type").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_distinct"),
+        F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.collect_list("samples").alias("_s"))
+    # `examples` values for each group that was merged
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten("_s"))), 1, examples)
+    return whole.withColumn("samples", F.transform(least, lambda x: x["value"])).drop("_s")
+
+
+def table_profile(df: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """Per column: type, row count, null count, approximate distinct count, smallest and largest value and a few sample values."""
+    return merged_profile(column_sketches(df, examples=examples), examples=examples)
 
 
 def row_counts(tables: dict[str, tuple[DataFrame, int]], tolerance_pct: float = 5.0) -> DataFrame:
@@ -125,5 +155,5 @@ def category_distribution(df: DataFrame, column: str = "transaction_type") -> Da
         raw.groupBy(F.lower(F.trim("category")).alias("category")).agg(F.sum("n_rows").alias("n_rows"))
         .withColumn("stage", F.lit("normalised")))
     total = both.groupBy("stage").agg(F.sum("n_rows").alias("_n"))
-    return (both.join(F.broadcast(total), "stage")
+    return (both.join(small_side(total), "stage")
             .select("stage", "category", "n_rows", (F.col("n_rows") / F.col("_n")).alias("share")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.exprs import count_where, ratio
+from memberlens.functions.ranking import ranked_values
 from memberlens.functions.vectors import array_lit, element
 
 # Grids of the operating-point search.
@@ -174,25 +175,24 @@ def recovery_sensitivity(validation: DataFrame, test: DataFrame, rates: Sequence
     return out
 
 
-def break_even_rates(df: DataFrame, cost: float = CONTACT_COST, k: float = 1.0, points: int = 1000) -> DataFrame:
-    """All recovery rates of an even grid on (0, 1] at which profit turns from loss to gain or back.
+def break_even_rates(df: DataFrame, cost: float = CONTACT_COST, k: float = 1.0) -> DataFrame:
+    """All recovery rates on (0, 1] at which profit turns from loss to gain or back: recovery_rate, contacted, profit, change.
 
-    At rate r the rule contacts value_at_risk >= cost k / r, i.e. k cost / value_at_risk <= r,
-    so one pass over levels of that ratio gives the profit at every rate.
+    At rate r the rule contacts value_at_risk >= cost k / r, i.e. rows whose level k cost / value_at_risk is at most r. Between two
+    levels profit is a line in r, so it changes its sign at the line's root or by the jump at a level; both are exact. Levels are
+    summed by ranked slices, never in one task.
     """
     needed = F.try_divide(F.lit(float(cost) * float(k)), F.col("value_at_risk"))
-    level = F.ceil(needed * F.lit(float(points)))
-    adverse = F.col("actually_adverse")
-    counted = (df.where(needed <= 1.0).groupBy(level.cast("long").alias("_level"))
-               .agg(F.count(F.lit(1)).alias("_c"), F.coalesce(F.sum(F.when(adverse, F.col("realised_loss"))), F.lit(0.0)).alias("_l")))
-    steps = df.sparkSession.range(1, points + 1).withColumnRenamed("id", "_level")
-    # at most `points` rows
-    up = Window.orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
-    curve = (steps.join(counted, "_level", "left").na.fill(0, ["_c"]).na.fill(0.0, ["_l"])
-             .select((F.col("_level") / F.lit(float(points))).alias("recovery_rate"), F.sum("_c").over(up).alias("contacted"),
-                     F.sum("_l").over(up).alias("_loss"))
-             .withColumn("profit", F.col("_loss") * F.col("recovery_rate") - F.col("contacted") * F.lit(float(cost))))
-    before = F.lag("profit", 1, 0.0).over(Window.orderBy("recovery_rate"))
-    gains, gained = F.col("profit") > 0, F.col("_before") > 0
-    return (curve.withColumn("_before", before).where(gains != gained)
-            .select("recovery_rate", "contacted", "profit", F.when(gains, "becomes_profitable").otherwise("becomes_unprofitable").alias("change")))
+    adverse, one = F.col("actually_adverse"), F.lit(1).cast("long")
+    levels = df.where(F.col("value_at_risk") > 0).where(needed <= 1.0).select(needed.alias("level"), one.alias("n"), F.coalesce(F.when(adverse, F.col("realised_loss")), F.lit(0.0)).alias("loss"))
+    # rate 1 ends the last line also where no row has that level
+    end = df.sparkSession.range(1).select(F.lit(1.0).alias("level"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("loss"))
+    ranked = ranked_values(levels.unionByName(end), "level", weights={"n": F.sum("n"), "loss": F.sum("loss")}, previous="earlier")
+    level, price = F.col("level"), F.lit(float(cost))
+    profit = lambda loss, n, rate: loss * rate - n * price
+    before, after = profit(F.col("loss_below"), F.col("n_below"), level), profit(F.col("loss_below") + F.col("loss"), F.col("n_below") + F.col("n"), level)
+    root = F.when((F.col("loss_below") > 0) & (before > 0) & (profit(F.col("loss_below"), F.col("n_below"), F.col("earlier")) <= 0), price * F.col("n_below") / F.col("loss_below"))
+    change = lambda gains: F.when(gains, "becomes_profitable").otherwise("becomes_unprofitable")
+    on_line = F.struct(root.alias("recovery_rate"), F.col("n_below").alias("contacted"), F.lit(0.0).alias("profit"), change(F.lit(True)).alias("change"))
+    at_level = F.struct(F.when((before > 0) != (after > 0), level).alias("recovery_rate"), (F.col("n_below") + F.col("n")).alias("contacted"), after.alias("profit"), change(after > 0).alias("change"))
+    return ranked.select(F.explode(F.array(on_line, at_level)).alias("r")).select("r.*").where(F.col("recovery_rate").isNotNull())

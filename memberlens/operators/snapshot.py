@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.exprs import MICROS_PER_DAY, count_where, elapsed_days, sum_where, ts
+from memberlens.functions.exprs import MICROS_PER_DAY, count_where, elapsed_days, half_even, sum_where, ts
 from memberlens.operators.tier import parsed_history, tier_columns
 from memberlens.schema import EVENT_TYPES, WINDOW_DAYS
 
@@ -170,7 +170,8 @@ def with_slopes(weekly: DataFrame, days: int = SLOPE_DAYS) -> DataFrame:
     def slope(value: str) -> Column:
         # weeks without purchases have value 0 and add nothing
         sxy = sum([(F.col(f"_wplace_{w}") - mean_x) * F.coalesce(F.col(f"{value}_{w}").cast("double"), F.lit(0.0)) for w in oldest_first], F.lit(0.0))
-        return F.when(n >= 2, sxy / sxx).otherwise(F.lit(0.0))
+        # sums of amounts differ in the last bits with the order of rows: rounded, equal slopes are equal numbers
+        return F.when(n >= 2, half_even(sxy / sxx, 9)).otherwise(F.lit(0.0))
 
     out = placed.withColumns({"spend_slope_30d": slope("_wspend"), "frequency_slope_30d": slope("_wcount")})
     return out.drop(*[c for c in out.columns if c.startswith("_w")])

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.functions.vectors import renormalised
 from memberlens.operators.calibration import log_loss
 from memberlens.operators.features import (
     DELTA_COLUMNS, SEGMENT_HISTORY_COLUMNS, VELOCITY_COLUMNS, add_panel_deltas, add_segment_history, add_velocity, model_matrix,
@@ -132,27 +135,83 @@ def fit_regularised(train: DataFrame, validation: DataFrame, columns: Sequence[s
     return min(side_by_side(fit, strengths), key=lambda found: found[0])[1]
 
 
+@dataclass
+class BoostedModel:
+    """One ensemble of boosted trees per class; their probabilities are scaled to one row."""
+
+    columns: list[str]
+    classifiers: list[GBTClassificationModel]
+    #: per class the trees that were kept, and the most that were allowed
+    stops: list[tuple[int, int]]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds `proba`."""
+        out = model_matrix(df, self.columns, "_features")
+        for c, model in enumerate(self.classifiers):
+            out = model.transform(out).withColumn(f"_p{c}", vector_to_array("_prob")[1]).drop("_raw", "_prob", "_pred")
+        parts = [f"_p{c}" for c in range(len(self.classifiers))]
+        return out.withColumn("proba", renormalised(F.array(*[F.col(p) for p in parts]))).drop("_features", *parts)
+
+
+def fit_boosted(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, max_trees: int = 20, depth: int = 3,
+                rate: float = 0.3, tolerance: float = 0.01) -> BoostedModel:
+    """Boosted trees for each class against the others, with balanced weights.
+
+    The validation rows take no part in the fit: a class's boosting ends when the loss on them no longer falls by `tolerance`
+    (relative to the loss, absolute below 0.01), and keeps the trees up to the best loss.
+    """
+    both = (balanced_weights(train, "seg_next").withColumn("_validation", F.lit(False))
+            .unionByName(balanced_weights(validation, "seg_next").withColumn("_validation", F.lit(True))))
+    matrix = cut_lineage(model_matrix(both, columns, "_features", keep=["seg_next", "weight", "_validation"]), spread=True)
+
+    def fit(c: int) -> GBTClassificationModel:
+        estimator = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred",
+                                  validationIndicatorCol="_validation", validationTol=tolerance, maxIter=max_trees, maxDepth=depth, stepSize=rate, seed=42)
+        return estimator.fit(matrix.withColumn("_label", (F.col("seg_next") == c).cast("double")))
+
+    models = side_by_side(fit, range(n_classes))
+    return BoostedModel(list(columns), models, [(m.getNumTrees, max_trees) for m in models])
+
+
 def _val_f1(model: TransitionModel, validation: DataFrame) -> float:
     return macro_f1(with_decision(model.predict(validation)), "seg_next", "seg_pred").first().macro_f1
 
 
+def weak_class_fits(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, kind: str = "linear",
+                    **params) -> list[tuple[TransitionModel, DataFrame, bool]]:
+    """The balanced fit and, if it has weak classes, one with these boosted: model, per-class report on validation, whether it is kept.
+
+    The boosted fit is kept only if its macro F1 on validation is higher.
+    """
+    def fit(boost: Sequence[int]) -> tuple[TransitionModel, DataFrame]:
+        if kind == "linear" and not params:
+            model = fit_regularised(train, validation, columns, n_classes, boost)
+        else:
+            model = _fit(train, columns, n_classes, boost, kind, **params)
+        return model, cut_lineage(class_report(confusion(with_decision(model.predict(validation)), "seg_next", "seg_pred")))
+
+    model, report = fit(())
+    weak = weak_classes(report)
+    if not weak:
+        return [(model, report, True)]
+    boosted, boosted_report = fit(weak)
+    better = _val_f1(boosted, validation) > _val_f1(model, validation)
+    return [(model, report, not better), (boosted, boosted_report, better)]
+
+
+def boost_report(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, kind: str = "linear", **params) -> DataFrame:
+    """Per-class F1 of every fit of `weak_class_fits`: weighting, kept, label, f1, support."""
+    parts = [report.select(F.lit(model.weighting).alias("weighting"), F.lit(kept).alias("kept"), "label", "f1", "support")
+             for model, report, kept in weak_class_fits(train, validation, columns, n_classes, kind, **params)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train_transition_model(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int,
                            kind: str = "linear", **params) -> TransitionModel:
     """Balanced weights, a boost of weak classes kept only if validation improves, and the rule picked on validation."""
-    train, validation = cut_lineage(train, spread=True), cut_lineage(validation, spread=True)
-
-    def fit(boost: Sequence[int]) -> TransitionModel:
-        if kind == "linear" and not params:
-            return fit_regularised(train, validation, columns, n_classes, boost)
-        return _fit(train, columns, n_classes, boost, kind, **params)
-
-    model = fit(())
-    first = with_decision(model.predict(validation))
-    weak = weak_classes(class_report(confusion(first, "seg_next", "seg_pred")))
-    if weak:
-        boosted = fit(weak)
-        if _val_f1(boosted, validation) > _val_f1(model, validation):
-            model = boosted
+    validation = cut_lineage(validation, spread=True)
+    fits = weak_class_fits(cut_lineage(train, spread=True), validation, columns, n_classes, kind, **params)
+    model = next(m for m, _, kept in fits if kept)
     scored = cut_lineage(model.predict(validation).select("member_id", "seg_next", "proba"))
     limits = {int(r.label): float(r.threshold) for r in best_thresholds(threshold_curves(scored, n_classes)).collect()}
     thresholds = [limits.get(c, 0.5) for c in range(n_classes)]

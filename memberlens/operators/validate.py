@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memberlens.functions.exprs import count_where
+from memberlens.functions.exprs import count_where, half_even
 from memberlens.functions.ranking import exact_quantiles, unpivot
 from memberlens.functions.scalars import beside
+from memberlens.session import shipped, small_side
+
+shipped(__name__)
 
 # Domain bounds of the checked features.
 RANGES = {
@@ -89,31 +94,71 @@ def business_rules(panel: DataFrame, by: Sequence[str] = ("observation_date",))
     return _long(one, by, rows)
 
 
+def pair_moments(values: np.ndarray) -> np.ndarray:
+    """Of all pairs of columns, over the rows where both are known: rows, sums of the first, of its square, and of the product."""
+    known = ~np.isnan(values)
+    x, m = np.where(known, values, 0.0), known.astype(float)
+    return np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+
+
+def correlations(moments: np.ndarray) -> np.ndarray:
+    """Pearson's r of all pairs from their moments; NaN where a column is constant."""
+    n, sx, sxx, sxy = moments
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = n * sxx - sx * sx
+        spread[spread <= 1e-12 * n * sxx] = np.nan
+        return (n * sxy - sx * sx.T) / np.sqrt(spread * spread.T)
+
+
 def collinear_pairs(panel: DataFrame, threshold: float = 0.90, columns: Sequence[str] | None = None,
                     by: Sequence[str] = ("observation_date",)) -> DataFrame:
-    """Feature pairs with |r| above the threshold, nulls dropped per pair.
+    """Feature pairs with |r| above the threshold, nulls dropped per pair; default: all numeric columns.
 
-    One aggregation computes the moments of all pairs; a constant column has no correlation.
+    One pass: tasks add up the products of values and of their null masks, a block matrix per group from which the moments of all
+    pairs follow. A constant column has no correlation.
     """
-    columns = list(columns or numeric_columns(panel, NOT_CORRELATED))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    found = None
-    # several aggregations of bounded width keep the generated code small
-    for start in range(0, len(pairs), 400):
-        part = pairs[start:start + 400]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            xs, ys = F.when(both, x), F.when(both, y)
-            scale = F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
-            aggs.append((F.covar_pop(x, y) / scale).alias(f"_r{i}"))
-        one = panel.groupBy(*by).agg(*aggs)
-        rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(F.col(f"_r{i}")).alias("r"))
-                for i, (a, b) in enumerate(part)]
-        piece = _long(one, by, rows).where(F.col("r") > threshold)
-        found = piece if found is None else found.union(piece)
-    return found
+    columns, by = list(columns or numeric_columns(panel, NOT_CORRELATED)), list(by)
+    if not columns:
+        raise ValueError("there are no numeric columns")
+    numbers = panel.select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    # correlations do not change under a shift; near the values of some row sums of squares stay small
+    some = numbers.limit(1).collect()
+    shift = np.array([0.0 if not some or v is None else v for v in (some[0][len(by):] if some else [0.0] * len(columns))])
+    size = len(columns)
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbers.select(*by).schema)
+
+    def grouped(b: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        names = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
+        number = {k: i for i, k in enumerate(dict.fromkeys(names))}
+        yield from ((k, np.flatnonzero(np.fromiter((number[x] for x in names), np.int64, len(names)) == i)) for k, i in number.items())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for b in batches:
+            kinds = [b.column(c).type for c in by]
+            values = np.stack([b.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(size)], axis=1) - shift
+            for key, rows in grouped(b):
+                total[key] = total.get(key, 0.0) + pair_moments(values[rows])
+        for key, m in total.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(key, kinds, strict=True)], pa.array([m.tobytes()], pa.binary())], [*by, "_m"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for b in batches:
+            kinds = [b.column(c).type for c in by]
+            for *key, m in zip(*(b.column(c).to_pylist() for c in [*by, "_m"]), strict=True):
+                total[tuple(key)] = total.get(tuple(key), 0.0) + np.frombuffer(m).reshape(4, size, size)
+        for key, m in total.items():
+            r = np.abs(np.triu(correlations(m), 1))
+            i, j = np.nonzero(np.nan_to_num(r) > threshold)
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(i), t) for v, t in zip(key, kinds, strict=True)], pa.array([columns[k] for k in i], pa.string()), pa.array([columns[k] for k in j], pa.string()),
+                                              pa.array(np.minimum(r[i, j], 1.0))], [*by, "feature_a", "feature_b", "r"])
+
+    parts = numbers.mapInArrow(added, ", ".join(filter(None, [keys, "_m binary"])))
+    dealt = parts.repartition(*by) if by else parts.repartition(1)
+    return dealt.mapInArrow(merged, ", ".join(filter(None, [keys, "feature_a string, feature_b string, r double"])))
 
 
 def structural_pairs(pairs: DataFrame, min_months: int = 8) -> DataFrame:
@@ -149,34 +194,31 @@ def psi_from_bins(counts: DataFrame, keys: Sequence[str], floor: float = 1e-6) -
     return share.groupBy(*keys).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("psi"))
 
 
-def side_by_side(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Row counts per (keys, value) of both samples. Nulls are dropped, equal values collapse."""
-    zero = F.lit(0).cast("long")
-    e = expected.select(*keys, "value", F.lit(1).cast("long").alias("n_expected"), zero.alias("n_actual"))
-    a = actual.select(*keys, "value", zero.alias("n_expected"), F.lit(1).cast("long").alias("n_actual"))
-    return (e.unionByName(a).where(F.col("value").isNotNull()).groupBy(*keys, "value")
-            .agg(F.sum("n_expected").alias("n_expected"), F.sum("n_actual").alias("n_actual")))
+EDGE_DIGITS = 9  # decimals that values and bin edges are compared by
 
 
 def equal_width_psi(expected: DataFrame, actual: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """PSI over equal-width bins of the expected sample, per key.
 
     Both inputs have the keys and a `value`. Actual values beyond the expected
-    range fall into no bin but stay in the denominator.
+    range fall into no bin but stay in the denominator. Values and edges are rounded to EDGE_DIGITS decimals, so that a
+    value on an edge falls on the same side however its sums were formed. Rows are counted by bin in the tasks: only counts shuffle.
     """
-    values = side_by_side(expected, actual, keys)
-    known = F.when(F.col("n_expected") > 0, F.col("value"))
-    span = values.groupBy(*keys).agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"))
+    known = lambda df: df.where(F.col("value").isNotNull()).withColumn("value", half_even(F.col("value"), EDGE_DIGITS))
+    span = known(expected).groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     # a constant sample gets a unit-wide range around its value
     flat = F.col("_lo") == F.col("_hi")
     span = span.select(*keys, F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
                        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    v, low, high = F.col("value"), F.col("_lo"), F.col("_hi")
-    step = (high - low) / F.lit(float(bins))
-    place = sum([F.when(v >= low + step * F.lit(float(i)), 1).otherwise(0) for i in range(1, bins)], F.lit(0))
-    # one row per key
-    binned = values.join(F.broadcast(span), list(keys)).groupBy(*keys, F.when(v.between(low, high), place).alias("bin"))
-    return psi_from_bins(binned.agg(F.sum("n_expected").alias("n_expected"), F.sum("n_actual").alias("n_actual")), keys)
+    low, high = F.col("_lo"), F.col("_hi")
+    edges = F.array(*[half_even(low + (high - low) / F.lit(float(bins)) * F.lit(float(i)), EDGE_DIGITS) for i in range(1, bins)])
+    span = small_side(span.withColumn("_edges", edges))
+    v = F.col("value")
+    place = F.when(v.between(low, high), F.size(F.filter("_edges", lambda e: e <= v)))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = known(expected).select(*keys, "value", one.alias("_e"), none.alias("_a")).unionByName(known(actual).select(*keys, "value", none.alias("_e"), one.alias("_a")))
+    binned = both.join(span, list(keys)).groupBy(*keys, place.alias("bin"))
+    return psi_from_bins(binned.agg(F.sum("_e").alias("n_expected"), F.sum("_a").alias("n_actual")), keys)
 
 
 def monthly_psi(panel: DataFrame, columns: Sequence[str], minimum: float = 0.1) -> DataFrame:
@@ -186,9 +228,9 @@ def monthly_psi(panel: DataFrame, columns: Sequence[str], minimum: float = 0.1)
     """
     dates = panel.select("observation_date").distinct()
     order = Window.orderBy("observation_date")  # one row per date
-    pairs = dates.select("observation_date", F.lead("observation_date").over(order).alias("_next"))
+    pairs = small_side(dates.select("observation_date", F.lead("observation_date").over(order).alias("_next")))
     long = unpivot(panel, columns, ["observation_date"])
-    expected = (long.join(F.broadcast(pairs.where(F.col("_next").isNotNull())), "observation_date")
+    expected = (long.join(pairs.where(F.col("_next").isNotNull()), "observation_date")
                 .select(F.col("_next").alias("observation_date"), "feature", "value"))
     first = dates.agg(F.min("observation_date").alias("_first"))
     actual = beside(long, first).where(F.col("observation_date") > F.col("_first")).drop("_first")

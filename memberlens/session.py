@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on. All of them can be changed on a live session.
 RUNTIME_CONF = {
@@ -89,3 +92,17 @@ def side_by_side(run: Callable, items: Iterable, at_once: int = 4) -> list:
     """Submit independent fits together; each is a sequence of small jobs that leaves executors idle."""
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(run, items))
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Store an aggregated side of a join and have it broadcast if it has at most `rows` rows; else Spark chooses the join."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+def shipped(module: str) -> None:
+    """Send the module's functions along with tasks, so that Python workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

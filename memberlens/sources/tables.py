@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memberlens.session import RECORDS_PER_FILE
 
 # Empty text is written as a quoted empty field and null as \\N; an unquoted empty field would read as null.
 _CSV = {"header": True, "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -30,10 +33,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_monthly(df: DataFrame, path: str) -> None:
-    """One partition per observation date; only the dates present in `df` are replaced."""
+    """One folder per observation date; only the dates present in `df` are replaced.
+
+    Files follow the rows: rebalancing splits large months and joins the parts of small ones by their size.
+    """
     (df.withColumn("observation_date", F.to_date("observation_date"))
-     .repartition("observation_date", F.pmod(F.xxhash64("member_id"), F.lit(64)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .hint("rebalance", "observation_date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", RECORDS_PER_FILE)
      .partitionBy("observation_date").parquet(path))
 
 
@@ -58,29 +64,91 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | None = No
     return reader.json(path)
 
 
+_MONTH = "observation_date="
+_MARKERS = "_manifest"
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    """Hadoop's file system of a path, and the path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
 def built_dates(spark: SparkSession, path: str) -> set[str]:
     """Observation dates already present below `path` (listing of partition folders only)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, root = _files(spark, path)
     if not fs.exists(root):
         return set()
     names = [status.getPath().getName() for status in fs.listStatus(root) if status.isDirectory()]
-    prefix = "observation_date="
-    return {n[len(prefix):] for n in names if n.startswith(prefix)}
+    return {n[len(_MONTH):] for n in names if n.startswith(_MONTH)}
+
+
+def file_state(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of all files below a path; none if it does not exist."""
+    fs, root = _files(spark, path)
+    if not fs.exists(root):
+        return []
+    found, base = [], len(fs.makeQualified(root).toString())
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString()[base:], f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def fingerprint(spark: SparkSession, inputs: Sequence[str], version: str = "") -> str:
+    """Hash of names, sizes and times of all input files, and of the version of the code that reads them."""
+    state = [version, *[(p, file_state(spark, p)) for p in inputs]]
+    return hashlib.sha256(json.dumps(state).encode()).hexdigest()
+
+
+def _marker(path: str, date: str) -> str:
+    return f"{path}/{_MARKERS}/{_MONTH}{date}"
+
+
+def _stored_files(spark: SparkSession, path: str, date: str) -> list[list]:
+    return [[n, size] for n, size, _ in file_state(spark, f"{path}/{_MONTH}{date}") if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def valid_dates(spark: SparkSession, path: str, dates: Sequence[str], mark: str) -> set[str]:
+    """Dates whose marker carries the fingerprint and lists exactly the files that are there."""
+    out = set()
+    for date in dates:
+        fs, where = _files(spark, _marker(path, date))
+        if fs.exists(where):
+            stream = fs.open(where)
+            try:
+                told = json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+            if told == {"fingerprint": mark, "files": _stored_files(spark, path, date)}:
+                out.add(date)
+    return out
 
 
 def build_missing(spark: SparkSession, path: str, dates: Sequence[str],
-                  build: Callable[[list[str]], DataFrame]) -> DataFrame:
-    """Build and store only the observation dates that are not stored yet, then read all of them.
+                  build: Callable[[list[str]], DataFrame], inputs: Sequence[str] = (), version: str = "") -> DataFrame:
+    """Build and store the observation dates that are not stored as they should be, then read all of them.
 
-    `path` must identify the inputs too: stored dates are reused without looking
-    at the data they were built from.
+    A date counts as stored if its marker says so: it is removed before the date is written and written after it, with the
+    fingerprint of the input files and the files stored. Dates that were half written, changed, or built from other inputs are
+    built again. Without `inputs`, `path` must identify them.
     """
-    present = built_dates(spark, path)
-    missing = [d for d in dates if d not in present]
+    mark = fingerprint(spark, inputs, version)
+    valid = valid_dates(spark, path, dates, mark)
+    missing = [d for d in dates if d not in valid]
     if missing:
+        for d in missing:
+            fs, where = _files(spark, _marker(path, d))
+            fs.delete(where, False)
         write_monthly(build(missing), path)
+        for d in missing:
+            fs, where = _files(spark, _marker(path, d))
+            stream = fs.create(where, True)
+            try:
+                stream.write(bytearray(json.dumps({"fingerprint": mark, "files": _stored_files(spark, path, d)}).encode()))
+            finally:
+                stream.close()
     return read_monthly(spark, path, dates)
 
 

@@ -93,3 +93,20 @@ def test_json_null_is_not_a_failure(frame):
 def test_profile_counts(frame):
     rows = {r["column"]: r for r in audit.table_profile(frame([("a", 1), (None, 2)], "s string, n int")).collect()}
     assert rows["s"].n_null == 1 and rows["n"].n_rows == 2 and rows["n"].type == "int"
+
+
+def test_merged_months_equal_the_whole_profile(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("month"), F.concat(F.lit("v"), F.col("id") % 977).alias("s"), F.when(F.col("id") % 5 > 0, F.col("id") / 4).alias("n"), F.lit(None).cast("string").alias("none"))
+    monthly = audit.column_sketches(df, by=["month"])
+    merged = {r["column"]: r for r in audit.merged_profile(monthly).collect()}
+    whole = {r["column"]: r for r in audit.table_profile(df.drop("month")).collect()}
+    assert merged == whole and set(whole) == {"s", "n", "none"}
+    least = sorted({r.s: r.h for r in df.select("s", F.xxhash64("s").alias("h")).collect()}.items(), key=lambda x: x[1])[:audit.EXAMPLES]
+    assert whole["s"].samples == [v for v, _ in least] and whole["none"].samples == [] and whole["n"].n_null == 1000
+    assert abs(whole["s"].approx_distinct - 977) < 50
+
+
+def test_profile_samples_of_few_values(frame):
+    rows = {r["column"]: r for r in audit.table_profile(frame([("a", 1), ("b", 2), (None, 2)], "s string, n int")).collect()}
+    assert sorted(rows["s"].samples) == ["a", "b"] and sorted(rows["n"].samples) == ["1", "2"]
+    assert all(r.n_rows == 0 and r.samples == [] for r in audit.table_profile(frame([], "s string, n int")).collect())

@@ -33,8 +33,43 @@ def test_monthly_sink_replaces_only_its_dates(frame, spark, tmp_path):
         calls.append(dates)
         return frame([("A", D.fromisoformat(d), 7) for d in dates], schema)
 
+    # the first two months have no marker: nobody says that they are whole
+    out = tables.build_missing(spark, path, ["2025-02-01"], build)
+    assert calls == [["2025-02-01"]] and [r.v for r in out.collect()] == [7]
     out = tables.build_missing(spark, path, ["2025-02-01", "2025-03-01"], build)
-    assert calls == [["2025-03-01"]] and sorted(r.v for r in out.collect()) == [7, 9]
+    assert calls[1:] == [["2025-03-01"]] and sorted(r.v for r in out.collect()) == [7, 7]
+
+
+def test_stale_and_half_written_months_are_built_again(frame, spark, tmp_path):
+    path, source = str(tmp_path / "monthly"), tmp_path / "input.txt"
+    source.write_text("one")
+    schema = "member_id string, observation_date timestamp, v int"
+    calls = []
+
+    def build(dates):
+        calls.append(list(dates))
+        return frame([("A", D.fromisoformat(d), len(calls)) for d in dates], schema)
+
+    def get(*dates):
+        return sorted(r.v for r in tables.build_missing(spark, path, dates, build, [str(source)]).collect())
+
+    months = ("2025-01-01", "2025-02-01")
+    assert get(*months) == [1, 1] and get(*months) == [1, 1] and len(calls) == 1
+    source.write_text("another input")
+    assert get(*months) == [2, 2] and calls[1] == list(months)
+
+    def killed(dates):
+        calls.append(list(dates))
+        tables.write_monthly(frame([("A", D.fromisoformat(d), 99) for d in dates], schema), path)
+        raise RuntimeError("killed")
+
+    source.write_text("a third input, longer")
+    with pytest.raises(RuntimeError):
+        tables.build_missing(spark, path, months, killed, [str(source)])
+    assert get(*months) == [4, 4]
+    # a file that came later, or one that is lost, makes a month suspect
+    tables.write_monthly(frame([("B", D(2025, 2, 1), 50)], schema), path)
+    assert get(*months) == [4, 5] and calls[-1] == ["2025-02-01"]
 
 
 def test_prior_month_clamps():

@@ -50,7 +50,32 @@ def test_break_even_reports_every_change(frame):
     df = frame(rows, "value_at_risk double, actually_adverse boolean, realised_loss double")
     found = [(r.recovery_rate, r.change) for r in economics.break_even_rates(df, cost=5.0).orderBy("recovery_rate").collect()]
     # one adverse case pays off above 5%; at 50% thirty useless contacts join and profit turns negative
-    assert found == [(0.051, "becomes_profitable"), (0.5, "becomes_unprofitable")]
+    assert found == [(pytest.approx(0.05, abs=1e-9), "becomes_profitable"), (0.5, "becomes_unprofitable")]
+
+
+@pytest.mark.parametrize("seed,share,changes", [(12, 0.25, 1), (3, 0.25, 5), (5, 0.15, 11), (8, 0.0, 0)])
+def test_break_even_rates_equal_bisection(frame, seed, share, changes):
+    rng = np.random.default_rng(seed)
+    rows = [(float(v), bool(a), float(l)) for v, a, l in zip(rng.gamma(1.5, 40, 300), rng.random(300) < share, rng.gamma(1.2, 50, 300))] + [(0.0, True, 9.0), (-3.0, True, 9.0)]
+    df = frame(rows, "value_at_risk double, actually_adverse boolean, realised_loss double")
+
+    def profit(r):
+        hit = [(a, l) for v, a, l in rows if v > 0 and 5.0 / v <= r]
+        return sum(l for a, l in hit if a) * r - 5.0 * len(hit)
+
+    expected = []
+    levels = sorted({5.0 / v for v, _, _ in rows if v > 0 and 5.0 / v <= 1} | {1.0})
+    for low, high in zip(levels, levels[1:]):
+        a, b = low, np.nextafter(high, 0)
+        if (profit(a) > 0) != (profit(b) > 0):
+            while b - a > 1e-13:
+                m = (a + b) / 2
+                a, b = (m, b) if (profit(m) > 0) == (profit(a) > 0) else (a, m)
+            expected.append(b)
+        if (profit(np.nextafter(high, 0)) > 0) != (profit(high) > 0):
+            expected.append(high)
+    found = sorted(r.recovery_rate for r in economics.break_even_rates(df).collect())
+    assert len(found) == changes and found == pytest.approx(expected, abs=1e-9)
 
 
 def _outcomes(frame, pairs):
@@ -119,10 +144,43 @@ def test_bootstrap_covers_the_estimate(scored):
 
 def test_isotonic_rows_sum_to_one(scored):
     _, _, df = scored
-    models = calibration.fit_isotonic(df, 3)
-    out = calibration.apply_isotonic(df, models).select(F.aggregate("proba_calibrated", F.lit(0.0), lambda a, x: a + x).alias("s"))
-    assert out.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
-    assert calibration.expected_calibration_error(calibration.per_class(calibration.apply_isotonic(df, models), proba="proba_calibrated")).agg(F.max("ece")).first()[0] < 0.1
+    blocks = calibration.fit_isotonic(df, 3)
+    out = calibration.apply_isotonic(df, blocks, 3)
+    assert out.where(F.abs(F.aggregate("proba_calibrated", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).count() == 0
+    assert calibration.expected_calibration_error(calibration.per_class(out, proba="proba_calibrated")).agg(F.max("ece")).first()[0] < 0.1
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 2, 9])
+def test_isotonic_blocks_equal_the_library_fit(spark, scored, ranges):
+    from pyspark.ml.regression import IsotonicRegression
+
+    _, _, df = scored
+    blocks = calibration.fit_isotonic(df, 3, ranges=ranges)
+    probe = spark.range(0, 2001).select((F.col("id") / 2000.0).alias("x"))
+    for c in range(3):
+        points = df.groupBy(F.element_at("proba", c + 1).alias("p")).agg(F.avg((F.col("seg_next") == c).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        library = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(points).setFeaturesCol("x").setPredictionCol("v")
+        expected = {r.x: r.v for r in library.transform(probe).collect()}
+        found = {r.x: r.q for r in calibration.with_isotonic(probe, blocks, c, F.col("x"), "q").collect()}
+        assert found == pytest.approx(expected, abs=1e-9) and len(set(found.values())) > 3
+        rising = blocks.where(F.col("label") == c).orderBy("lo").collect()
+        assert all(a.value < b.value and a.hi < b.lo and a.next_lo == b.lo and a.next_value == b.value for a, b in zip(rising, rising[1:]))
+
+
+def test_isotonic_blocks_keep_the_mean_and_pool_across_ranges(spark):
+    # falling hit rates: everything is one block, whatever the ranges
+    rows = spark.range(0, 500).select(F.lit(0).alias("label"), (F.col("id") / 500.0).alias("p"), (500 - F.col("id")).cast("double").alias("hits"), F.lit(500.0).alias("weight"))
+    for ranges in (1, 4, 7):
+        b = calibration.pooled_blocks(rows, ranges).collect()
+        assert [(x.lo, x.hi, x.hits, x.weight) for x in b] == [(0.0, 0.998, 125250.0, 250000.0)]
+
+
+def test_isotonic_edges(spark, frame):
+    blocks = calibration.fit_isotonic(frame([([0.2, 0.8], 0), ([0.6, 0.4], 0), ([None, 0.5], 1)], "proba array<double>, seg_next int"), 2)
+    df = frame([(None,), (0.0,), (0.4,), (1.0,)], "p double")
+    assert [r.q for r in calibration.with_isotonic(df, blocks, 0, F.col("p"), "q").collect()] == [None, 1.0, 1.0, 1.0]
+    assert [r.q for r in calibration.with_isotonic(df, blocks, 7, F.col("p"), "q").collect()] == [None, 0.0, 0.4, 1.0]
+    assert calibration.fit_isotonic(frame([], "proba array<double>, seg_next int"), 2).count() == 0
 
 
 def test_sample_is_exact_and_repeatable(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memberlens.functions.ranking import average_rank_share, exact_quantiles, ranked_values
-from memberlens.operators import drift, segments, validate
+from memberlens.operators import drift, lloyd, segments, validate
 
 
 def _values(spark, arrays, column="value"):
@@ -174,3 +174,113 @@ def test_seeds_share_no_start():
 
     starts = [zlib.crc32(f"{seed}:{start}".encode()) for seed in (11, 23, 37, 53, 71, 97) for start in range(10)]
     assert len(set(starts)) == len(starts)
+
+
+@pytest.mark.parametrize("slices", [None, 3, 300])
+def test_ranks_do_not_depend_on_slices(spark, slices):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in "ab" for v in np.round(rng.exponential(20, 3000), 1)] + [("a", 0.0)] * 2000 + [("b", None)] * 5 + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = {(r.g, r.v): (r.n, r.n_below, r.n_total, r.prior) for r in ranked_values(df, "v", ["g"], slices=slices, previous="prior").collect()}
+    expected = {}
+    for g in "abc":
+        values = sorted(v for x, v in rows if x == g and v is not None)
+        below, before = 0, None
+        for v in sorted(set(values)):
+            expected[g, v] = (values.count(v), below, len(values), before)
+            below, before = below + values.count(v), v
+    assert found == expected
+
+
+def test_slices_are_even(spark):
+    from memberlens.session import cut_lineage
+
+    df = cut_lineage(spark.range(0, 60_000).select((F.col("id") * F.col("id") / 7.0).alias("v")))
+    sizes = sorted(r["count"] for r in df.repartitionByRange(12, "v").groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 12 and sizes[-1] <= 2 * sizes[6]
+
+
+def _cloud(spark, n=900):
+    rng = np.random.default_rng(4)
+    points = [[float(x) for x in rng.normal(c, 0.6, 3)] for c in ((0, 0, 0), (6, 0, 1), (0, 7, 2)) for _ in range(n // 3)]
+    return points, spark.createDataFrame([(p,) for p in points], "point array<double>").repartition(5)
+
+
+def test_many_fits_equal_single_fits_and_direct_sums(spark):
+    points, df = _cloud(spark)
+    x = np.array(points)
+    specs = [lloyd.Spec(3), lloyd.Spec(5, 2, 7), lloyd.Spec(1)]
+    fits = lloyd.fit_many(df, specs, n_init=4)
+    for f in fits:
+        y = x[:, :f.spec.dims] if f.spec.dims else x
+        d = ((y[:, None, :] - f.centres[None]) ** 2).sum(axis=2)
+        label = d.argmin(axis=1)
+        assert f.inertia == pytest.approx(d.min(axis=1).sum(), rel=1e-6)
+        # a fit has ended: centres are the means of their rows
+        for c in range(f.spec.k):
+            assert np.abs(y[label == c].mean(axis=0) - f.centres[c]).max() < 2e-3
+    alone = lloyd.fit_many(df, [specs[1]], n_init=4)[0]
+    assert alone.inertia == pytest.approx(fits[1].inertia, rel=0.05)
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    library = min(KMeans(k=3, seed=s).fit(df.select(array_to_vector("point").alias("features"))).summary.trainingCost for s in range(3))
+    assert fits[0].inertia <= library * 1.001
+
+
+def test_quality_of_many_models(spark):
+    points, df = _cloud(spark, 300)
+    fits = lloyd.fit_many(df, [lloyd.Spec(3), lloyd.Spec(4)], n_init=2)
+    for f, q in zip(fits, lloyd.measure_many(df, [f.centres for f in fits])):
+        labelled = segments.label_points(df, f.centroids)
+        single = segments.quality(labelled)
+        s = segments.silhouettes(labelled).where(F.col("cluster").isNull()).first().silhouette
+        assert q["silhouette"] == pytest.approx(s) and {k: v for k, v in q.items() if k != "silhouette"} == pytest.approx(single)
+
+
+def test_start_from_a_bounded_sample_covers_all_rows(spark, monkeypatch):
+    points, df = _cloud(spark)
+    monkeypatch.setattr(lloyd, "SAMPLE_ROWS", 60)
+    f = lloyd.fit_many(df, [lloyd.Spec(3)], n_init=3)[0]
+    x = np.array(points)
+    assert f.inertia == pytest.approx(((x[:, None, :] - f.centres[None]) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-6)
+    assert sorted(np.bincount(((x[:, None, :] - f.centres[None]) ** 2).sum(axis=2).argmin(axis=1))) == [300, 300, 300]
+
+
+def test_collinear_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "d", "e", "flat"]
+    rows = []
+    for m in ("2024-01", "2024-02"):
+        for _ in range(200):
+            base = rng.normal(1e6, 1.0)
+            v = [base, 2 * base + rng.normal(0, 0.3), rng.normal(), -base + rng.normal(0, 0.2), rng.normal() if rng.random() < 0.5 else None, 7.25]
+            rows.append((m, *[None if x is None or rng.random() < 0.1 else float(x) for x in v]))
+    df = spark.createDataFrame(rows, "observation_date string, " + ", ".join(f"{n} double" for n in names)).repartition(6)
+    for threshold in (0.05, 0.9):
+        expected = {}
+        for m in ("2024-01", "2024-02"):
+            t = np.array([[np.nan if x is None else x for x in r[1:]] for r in rows if r[0] == m])
+            for i in range(6):
+                for j in range(i + 1, 6):
+                    both = ~np.isnan(t[:, i]) & ~np.isnan(t[:, j])
+                    if t[both, i].std() > 0 and t[both, j].std() > 0:
+                        r = abs(np.corrcoef(t[both, i], t[both, j])[0, 1])
+                        if r > threshold:
+                            expected[m, names[i], names[j]] = pytest.approx(r, abs=1e-9)
+        found = {(r.observation_date, r.feature_a, r.feature_b): r.r for r in validate.collinear_pairs(df, threshold).collect()}
+        assert found == expected and len(found) >= 6
+    assert validate.collinear_pairs(df.limit(0)).collect() == []
+    assert {(r.feature_a, r.feature_b) for r in validate.collinear_pairs(df, by=[]).collect()} == {("a", "b"), ("a", "d"), ("b", "d")}
+
+
+def test_stability_index_does_not_depend_on_partitions(spark):
+    # sums of tenths, whose last bits depend on the order of addition, on and beside bin edges
+    rows = [(i % 40, 0.1 * (i % 7)) for i in range(4000)]
+    parts = spark.createDataFrame(rows, "k int, x double")
+
+    def psi(n):
+        sums = parts.repartition(n, F.rand(n)).groupBy("k").agg(F.sum("x").alias("value")).withColumn("feature", F.lit("f"))
+        return validate.equal_width_psi(sums, sums.where("k % 3 > 0"), ["feature"]).first().psi
+
+    assert psi(1) == psi(64)

@@ -134,8 +134,8 @@ def ctes(dates=MONTHS) -> dict[str, str]:
         "weeks": ("SELECT t.member_id, d.observation_date, date_trunc('week', t.transaction_date) AS week, sum(t.transaction_amount) AS spend, count(*) AS n "
                   "FROM txn t JOIN spine USING (member_id) JOIN dates d ON t.transaction_date BETWEEN d.observation_date - INTERVAL 30 DAY AND d.observation_date "
                   "WHERE t.transaction_type = 'purchase' GROUP BY 1, 2, 3"),
-        "slopes": ("SELECT member_id, observation_date, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(spend, x) END AS spend_slope_30d, "
-                   "CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(n, x) END AS frequency_slope_30d "
+        "slopes": ("SELECT member_id, observation_date, CASE WHEN count(*) < 2 THEN 0 ELSE " + half_even("regr_slope(spend, x)", 9) + " END AS spend_slope_30d, "
+                   "CASE WHEN count(*) < 2 THEN 0 ELSE " + half_even("regr_slope(n, x)", 9) + " END AS frequency_slope_30d "
                    "FROM (SELECT *, row_number() OVER (PARTITION BY member_id, observation_date ORDER BY week) - 1 AS x FROM weeks) GROUP BY 1, 2"),
         "tier_lists": ("SELECT member_id, CASE WHEN tier_history IS NULL THEN [] WHEN json_valid(tier_history) THEN "
                        "from_json(tier_history, '[{\"tier\":\"VARCHAR\",\"date\":\"VARCHAR\"}]') END AS entries FROM raw_members"),

@@ -12,7 +12,7 @@ from memberlens.operators.outputs import segment_assignments
 from memberlens.session import checkpoint_dir
 from memberlens.sources import tables
 from workload import stages
-from workload.adapter import OBSERVED, raw_events, raw_members, raw_transactions, table
+from workload.adapter import DUCK, OBSERVED, members, raw_events, raw_members, raw_transactions, table
 from workload.oracle import parsed
 from workload.oracle import query as sql
 from workload.registry import big, query, r6, rounded, when
@@ -78,8 +78,9 @@ def _(spark, sf):
     def build(dates):
         return stages.fresh_snapshots(spark, sf, dates).select("member_id", "observation_date", "purchase_count_30d")
 
-    tables.build_missing(spark, path, [tables.prior_month(OBSERVED)], build)
-    both = tables.build_missing(spark, path, [tables.prior_month(OBSERVED), OBSERVED], build)
+    inputs = [f"{sf}/{t}.parquet" for t in ("customer", "orders", "events")]
+    tables.build_missing(spark, path, [tables.prior_month(OBSERVED)], build, inputs)
+    both = tables.build_missing(spark, path, [tables.prior_month(OBSERVED), OBSERVED], build, inputs)
     return both.groupBy(F.date_format("observation_date", "yyyy-MM-dd").alias("observation_date")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("purchase_count_30d").alias("purchases"))
 
@@ -207,7 +208,15 @@ def _(spark, sf):
 
 @query("table_profile")
 def _(spark, sf):
-    return audit.table_profile(raw_members(spark, sf))
+    return audit.table_profile(raw_members(spark, sf)).withColumn("samples", F.array_join("samples", " | "))
+
+
+@query("monthly_profile_merge")
+def _(spark, sf):
+    """Sketches of the transactions of every month, merged to the profile of the whole table."""
+    parsed = clean.parse_timestamps(raw_transactions(spark, sf), ["transaction_date"])
+    monthly = audit.column_sketches(parsed.withColumn("month", F.date_format("transaction_date", "yyyy-MM")), by=["month"])
+    return audit.merged_profile(monthly).withColumn("samples", F.array_join("samples", " | "))
 
 
 @query("row_counts", "SELECT table_name, actual, " + big("expected", "expected") + ", " + r6("pct", "pct_diff")
@@ -226,14 +235,14 @@ def _(spark, sf):
     return rounded(audit.id_masks(raw_transactions(spark, sf)))
 
 
-_AUDITED = ("member_id", "account_open_date", "fraud_flag", "opt_in_email", "credit_line", "tier_history")
+_AUDITED = tuple(members(DUCK))
 
 
 @query("null_rates", sql(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, {r6(f'(count(*) - count({c})) / CAST(count(*) AS DOUBLE) * 100', 'null_pct')} FROM raw_members"
     for c in _AUDITED)))
 def _(spark, sf):
-    return rounded(audit.null_rates(raw_members(spark, sf), _AUDITED))
+    return rounded(audit.null_rates(raw_members(spark, sf)))
 
 
 @query("date_format_census", sql(

@@ -8,7 +8,7 @@ from memberlens.operators import features, snapshot, tier, validate
 from memberlens.operators.features import BEHAVIOURAL_FEATURES
 from workload import stages
 from workload.adapter import MONTHS, OBSERVED
-from workload.oracle import EVT_COUNTS, SESSION, SPEND, TXN_COUNTS, WINDOWS
+from workload.oracle import EVT_COUNTS, SESSION, SPEND, TXN_COUNTS, WINDOWS, half_even
 from workload.oracle import at_observed as sql_at
 from workload.oracle import query as sql
 from workload.registry import big, query, r6, rounded, when
@@ -211,19 +211,31 @@ def _(spark, sf):
 
 # --- validation --------------------------------------------------------------------------------
 
-_CHECKED = ("tenure_days", "spend_total_30d", "redemption_rate", "spend_acceleration")
+# Every column of the panel except states and segments, in its order.
+_SNAPSHOT = [*TXN_COUNTS, *EVT_COUNTS, *SPEND, *SESSION, "points_earned_lifetime", "points_clawed_back_lifetime", "points_redeemed_lifetime", "current_point_balance_reconstructed",
+             "last_transaction_date", "recency_days", "current_tier", "tier_changes_count", "months_since_last_tier_change", "tier_trajectory_direction", "tenure_days",
+             "spend_slope_30d", "frequency_slope_30d"]
+_DERIVED = ["avg_order_value_30d", "spend_per_purchase_90d", "redemption_rate", "hoarding_ratio", "email_open_rate_30d", "email_click_rate_30d", "browse_to_purchase_ratio_30d",
+            "browsed_but_never_purchased_30d", *[f"{k}_diversity_{w}d" for w in WINDOWS for k in ("category", "channel")], "tier_ordinal", "feature_complete", "spend_acceleration"]
+_FEATURES = [*_SNAPSHOT, *_DERIVED]
+_CHECKED = [c for c in _FEATURES if c not in validate.NULLABLE]
 
 
-@query("missing_features", sql(" UNION ALL ".join(
-    f"SELECT {when('observation_date', 'observation_date')}, '{c}' AS feature, {r6(f'(count(*) - count({c})) / CAST(count(*) AS DOUBLE)', 'null_rate')} "
-    f"FROM broken GROUP BY observation_date HAVING (count(*) - count({c})) / CAST(count(*) AS DOUBLE) > 0.05" for c in _CHECKED),
-    broken="SELECT observation_date, tenure_days, CASE WHEN spend_total_30d = 0 THEN NULL ELSE spend_total_30d END AS spend_total_30d, redemption_rate, "
-           "CASE WHEN tenure_days % 10 = 0 THEN NULL ELSE spend_acceleration END AS spend_acceleration FROM features"))
+def _all_features(spark, sf):
+    panel = stages.panel(spark, sf).drop("state_id", "state_name", "segment_id", "segment_name")
+    assert set(panel.columns) == {"member_id", "account_open_date", "observation_date", *_FEATURES}
+    return panel.select("member_id", "account_open_date", "observation_date", *_FEATURES)
+
+
+@query("missing_features", sql(
+    f"SELECT {when('observation_date', 'observation_date')}, feature, {r6('(n_rows - n) / CAST(n_rows AS DOUBLE)', 'null_rate')} FROM "
+    f"(SELECT observation_date, count(*) AS n_rows, {', '.join(f'count({c}) AS {c}' for c in _CHECKED)} FROM broken GROUP BY 1) UNPIVOT (n FOR feature IN ({', '.join(_CHECKED)})) "
+    "WHERE (n_rows - n) / CAST(n_rows AS DOUBLE) > 0.05",
+    broken="SELECT * REPLACE (CASE WHEN spend_total_30d = 0 THEN NULL ELSE spend_total_30d END AS spend_total_30d, CASE WHEN tenure_days % 10 = 0 THEN NULL ELSE spend_acceleration END AS spend_acceleration) FROM features"))
 def _(spark, sf):
     """Zero spend and every tenth tenure read as missing here, so that there is something to find."""
-    panel = stages.panel(spark, sf).select(
-        "member_id", "observation_date", "tenure_days", F.when(F.col("spend_total_30d") != 0, F.col("spend_total_30d")).alias("spend_total_30d"),
-        "redemption_rate", F.when(F.col("tenure_days") % 10 != 0, F.col("spend_acceleration")).alias("spend_acceleration"))
+    panel = _all_features(spark, sf).withColumns({"spend_total_30d": F.when(F.col("spend_total_30d") != 0, F.col("spend_total_30d")),
+                                                  "spend_acceleration": F.when(F.col("tenure_days") % 10 != 0, F.col("spend_acceleration"))})
     return rounded(validate.missing_features(panel))
 
 
@@ -256,36 +268,37 @@ def _(spark, sf):
     return rounded(validate.business_rules(stages.panel(spark, sf)))
 
 
-_CORRELATED = ("spend_total_30d", "purchase_count_30d", "spend_total_90d", "purchase_count_90d", "recency_days", "redemption_rate", "hoarding_ratio",
-               "points_earned_90d", "app_open_30d", "months_since_last_tier_change")
-_PAIRS = [(a, b) for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1:]]
-_COLLINEAR = " UNION ALL ".join(
-    f"SELECT observation_date, '{a}' AS feature_a, '{b}' AS feature_b, abs(corr({a}, {b})) AS r FROM features GROUP BY observation_date HAVING stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 AND abs(corr({a}, {b})) > 0.9"
-    for a, b in _PAIRS)
+_CORRELATED = [c for c in _FEATURES if c not in validate.NOT_CORRELATED]
+
+
+def _long(columns, source="features"):
+    wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return (f"SELECT member_id, observation_date, feature, value FROM (SELECT member_id, observation_date, {wide} FROM {source}) "
+            f"UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(columns)}))")
+
+
+_COLLINEAR = {
+    "correlated": f"SELECT *, list_position({_CORRELATED}, feature) AS place FROM correlated_values WHERE value IS NOT NULL", "correlated_values": _long(_CORRELATED),
+    "pairs": "SELECT observation_date, a.feature AS feature_a, b.feature AS feature_b, abs(corr(a.value, b.value)) AS r FROM correlated a JOIN correlated b USING (member_id, observation_date) "
+             "WHERE a.place < b.place GROUP BY 1, 2, 3 HAVING stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 AND abs(corr(a.value, b.value)) > 0.9"}
 
 
-@query("collinear_pairs", sql(f"SELECT {when('observation_date', 'observation_date')}, feature_a, feature_b, {r6('r', 'r')} FROM pairs", pairs=_COLLINEAR))
+@query("collinear_pairs", sql(f"SELECT {when('observation_date', 'observation_date')}, feature_a, feature_b, {r6('r', 'r')} FROM pairs", **_COLLINEAR))
 def _(spark, sf):
-    return rounded(validate.collinear_pairs(stages.panel(spark, sf), columns=_CORRELATED))
+    return rounded(validate.collinear_pairs(_all_features(spark, sf)))
 
 
 @query("structural_collinearity", sql(
     f"SELECT least(feature_a, feature_b) AS feature_a, greatest(feature_a, feature_b) AS feature_b, count(DISTINCT observation_date) AS n_months, {r6('avg(r)', 'avg_r')} "
-    "FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT observation_date) >= 5", pairs=_COLLINEAR))
+    "FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT observation_date) >= 5", **_COLLINEAR))
 def _(spark, sf):
     """Seven months here, so five months take the place of eight out of twelve."""
-    return rounded(validate.structural_pairs(validate.collinear_pairs(stages.panel(spark, sf), columns=_CORRELATED), min_months=5))
+    return rounded(validate.structural_pairs(validate.collinear_pairs(_all_features(spark, sf)), min_months=5))
 
 
 _TRACKED = BEHAVIOURAL_FEATURES
 
 
-def _long(columns, source="features"):
-    wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
-    return (f"SELECT member_id, observation_date, feature, value FROM (SELECT member_id, observation_date, {wide} FROM {source}) "
-            f"UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(columns)}))")
-
-
 @query("median_trajectory", sql(
     f"SELECT {when('observation_date', 'observation_date')}, feature, {r6('m', 'median_value')}, {r6('change', 'change')}, "
     "coalesce(change > 0.5, false) OR coalesce(before = 0 AND m <> 0, false) AS is_jump FROM (SELECT *, CASE WHEN before <> 0 THEN abs((m - before) / before) END AS change FROM "
@@ -296,8 +309,8 @@ def _(spark, sf):
 
 
 def _edges(column: str) -> str:
-    """Lower bounds of the ten equal-width bins, as a count of interior edges at or below the value."""
-    return " + ".join(f"CASE WHEN value >= lo + (hi - lo) / 10e0 * {i} THEN 1 ELSE 0 END" for i in range(1, 10))
+    """Lower bounds of the ten equal-width bins, as a count of interior edges at or below the value; both with nine decimals."""
+    return " + ".join(f"CASE WHEN value >= {half_even(f'lo + (hi - lo) / 10e0 * {i}', 9)} THEN 1 ELSE 0 END" for i in range(1, 10))
 
 
 _PSI_EQUAL = f"""
@@ -316,8 +329,8 @@ _PSI_EQUAL = f"""
 def _monthly_psi_sql(minimum: float) -> str:
     base = sql("SELECT 1 FROM long", long=_long(_TRACKED))
     head = base[: base.rindex("SELECT 1 FROM long")].rstrip()
-    return (head + ",\n expected AS (SELECT member_id, observation_date + INTERVAL 1 MONTH AS observation_date, feature, value FROM long),"
-            "\n actual AS (SELECT * FROM long WHERE observation_date > (SELECT min(observation_date) FROM long))," + _PSI_EQUAL +
+    return (head + f",\n expected AS (SELECT member_id, observation_date + INTERVAL 1 MONTH AS observation_date, feature, {half_even('value', 9)} AS value FROM long),"
+            f"\n actual AS (SELECT member_id, observation_date, feature, {half_even('value', 9)} AS value FROM long WHERE observation_date > (SELECT min(observation_date) FROM long))," + _PSI_EQUAL +
             f"\nSELECT {when('observation_date', 'observation_date')}, feature, {r6('sum((pe - pa) * ln(pe / pa))', 'psi')} FROM shares "
             f"GROUP BY observation_date, feature HAVING sum((pe - pa) * ln(pe / pa)) > {minimum}")
 

@@ -302,15 +302,12 @@ def _(spark, sf):
     return outputs.transition_predictions(_scored_test(spark, sf), N_CLASSES)
 
 
-_PROFILED = ("spend_total_30d", "spend_total_90d", "purchase_count_30d", "recency_days", "redemption_rate", "app_open_30d", "category_diversity_90d", "tier_ordinal", "months_since_last_tier_change")
-
-
 def _combined(spark, sf):
     cards = clean.cardholder_flags(raw_members(spark, sf))
     return stages.observed_panel(spark, sf).join(cards, "member_id", "left").na.fill(0, ["is_cardholder"])
 
 
-_LONG = " UNION ALL ".join(f"SELECT segment_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM named WHERE {c} IS NOT NULL" for c in _PROFILED)
+_LONG = " UNION ALL ".join(f"SELECT segment_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM named WHERE {c} IS NOT NULL" for c in BEHAVIOURAL_FEATURES)
 _Z = ("SELECT s.segment_id, feature, s.m, s.med, abs((s.m - o.m) / CASE WHEN o.sd IS NULL OR o.sd = 0 THEN 1 ELSE o.sd END) AS z FROM (SELECT segment_id, feature, avg(value) AS m, median(value) AS med FROM lng GROUP BY 1, 2) s "
       "JOIN (SELECT feature, avg(value) AS m, stddev_samp(value) AS sd FROM lng GROUP BY 1) o USING (feature)")
 
@@ -319,7 +316,7 @@ _Z = ("SELECT s.segment_id, feature, s.m, s.med, abs((s.m - o.m) / CASE WHEN o.s
     f"SELECT CAST(segment_id AS INTEGER) AS segment_id, CAST(rk AS INTEGER) AS rank, feature, {r6(half_even('m', 4), 'mean')}, {r6(half_even('med', 4), 'median')} FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY z DESC, feature) AS rk FROM zs) WHERE rk <= 5",
     lng=_LONG, zs=_Z))
 def _(spark, sf):
-    return rounded(outputs.key_characteristics(_combined(spark, sf), _PROFILED))
+    return rounded(outputs.key_characteristics(_combined(spark, sf), BEHAVIOURAL_FEATURES))
 
 
 _CARD = "SELECT n.*, coalesce(CAST(m.credit_line IS NOT NULL AS INTEGER), 0) AS is_cardholder FROM named n LEFT JOIN raw_members m USING (member_id)"

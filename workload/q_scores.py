@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memberlens.operators import attribution, calibration, economics, metrics, segments, transitions
+from memberlens.functions import exprs
+from memberlens.functions.scalars import beside
+from memberlens.operators import attribution, calibration, economics, features, metrics, segments, transitions
+from memberlens.operators.features import BEHAVIOURAL_FEATURES
 from memberlens.session import cut_lineage
 from workload import stages
 from workload.adapter import MONTHS, N_CLASSES, SEGMENT_NAMES
-from workload.oracle import div
+from workload.oracle import div, half_even
 from workload.oracle import query as sql
 from workload.q_states import fit_columns, segment_model
 from workload.registry import big, query, r6, rounded, when
@@ -17,19 +20,21 @@ K = range(N_CLASSES)
 
 # --- pairs ---------------------------------------------------------------------------------------
 
-_FEATURES = ("spend_total_30d", "purchase_count_30d", "recency_days", "redemption_rate")
+_FEATURES = BEHAVIOURAL_FEATURES
+_PAIRED = [*_FEATURES, *[f"d_{c}" for c in features.DELTA_COLUMNS]]
 
 
 @query("transition_pairs", sql(
-    f"SELECT c.member_id, {when('c.observation_date', 'observation_date')}, {r6('c.spend_total_30d', 'spend_total_30d')}, {big('coalesce(c.recency_days, 0)', 'recency_days')}, "
-    f"{r6('c.spend_total_30d - p.spend_total_30d', 'd_spend_total_30d')}, c.segment_id AS seg_curr, n.segment_id AS seg_next, CAST(c.state_id AS BIGINT) AS y_curr, "
+    f"SELECT c.member_id, {when('c.observation_date', 'observation_date')}, " + ", ".join(r6(half_even(f"coalesce(CAST(c.{c} AS DOUBLE), 0)", 6), c) for c in _FEATURES) + ", "
+    + ", ".join(r6(half_even(f"coalesce(CAST(c.{c} AS DOUBLE), 0) - coalesce(CAST(p.{c} AS DOUBLE), 0)", 6), f"d_{c}") for c in features.DELTA_COLUMNS)
+    + ", c.segment_id AS seg_curr, n.segment_id AS seg_next, CAST(c.state_id AS BIGINT) AS y_curr, "
     "CAST(p.segment_id AS DOUBLE) AS seg_prev, CAST(p.segment_id <> c.segment_id AS BIGINT) AS seg_changed, CAST(month(c.observation_date) AS INTEGER) AS month_num, "
     "strftime(c.observation_date, '%b') || '->' || strftime(n.observation_date, '%b') AS pair_str FROM states c "
     "JOIN states n ON n.member_id = c.member_id AND n.observation_date = c.observation_date + INTERVAL 1 MONTH "
     "JOIN states p ON p.member_id = c.member_id AND p.observation_date = c.observation_date - INTERVAL 1 MONTH"))
 def _(spark, sf):
     pairs = transitions.build_pairs(stages.panel(spark, sf), _FEATURES)
-    return rounded(pairs.select("member_id", "observation_date", "spend_total_30d", "recency_days", "d_spend_total_30d", "seg_curr", "seg_next", "y_curr",
+    return rounded(pairs.select("member_id", "observation_date", *[exprs.half_even(F.col(c).cast("double"), 6).alias(c) for c in _PAIRED], "seg_curr", "seg_next", "y_curr",
                                 "seg_prev", "seg_changed", "month_num", "pair_str"))
 
 
@@ -103,19 +108,10 @@ def _(spark, sf):
 
 @query("weak_class_boost")
 def _(spark, sf):
-    """Per-class F1 on validation with balanced and with boosted weights."""
+    """Per-class F1 on validation with balanced and with boosted weights, and which of the two was kept."""
     pairs = _labelled(spark, sf)
-    train, validation = pairs.where("split = 'train'"), pairs.where("split = 'validation'")
     columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
-    out = None
-    boost: list[int] = []
-    for name in ("balanced", "boosted"):
-        model = transitions._fit(train, columns, N_CLASSES, boost, "linear")
-        report = metrics.class_report(metrics.confusion(metrics.with_decision(model.predict(validation)), "seg_next", "seg_pred"))
-        boost = metrics.weak_classes(report)
-        part = report.select(F.lit(name).alias("weighting"), "label", "f1", "support")
-        out = part if out is None else out.union(part)
-    return rounded(out)
+    return rounded(transitions.boost_report(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), columns, N_CLASSES))
 
 
 @query("feature_importance")
@@ -129,16 +125,27 @@ def _(spark, sf):
     """The same task with a random forest."""
     pairs = _labelled(spark, sf)
     columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
-    model = transitions._fit(pairs.where("split = 'train'"), columns, N_CLASSES, (), "forest")
-    scored = metrics.with_decision(model.predict(pairs.where("split = 'test'")))
-    return rounded(metrics.macro_f1(scored, "seg_next", "seg_pred"))
+    model = transitions.train_transition_model(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), columns, N_CLASSES, kind="forest")
+    return rounded(metrics.macro_f1(model.predict(pairs.where("split = 'test'")), "seg_next", "seg_pred"))
+
+
+@query("boosted_transition_model")
+def _(spark, sf):
+    """The same task with boosted trees per class, each stopped when the validation month no longer improves."""
+    pairs = _labelled(spark, sf)
+    columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
+    model = transitions.fit_boosted(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), columns, N_CLASSES)
+    f1 = metrics.macro_f1(metrics.with_decision(model.predict(pairs.where("split = 'test'"))), "seg_next", "seg_pred")
+    stops = spark.createDataFrame([(c, m, t) for c, (m, t) in enumerate(model.stops)], "label int, n_trees int, most_trees int")
+    return rounded(beside(stops, f1.select("macro_f1")))
 
 
 @query("parameter_search")
 def _(spark, sf):
     pairs = _labelled(spark, sf)
-    table, _ = transitions.parameter_search(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), [*_FEATURES, "seg_curr", "y_curr"], N_CLASSES,
-                                            {"regParam": (1e-3, 1e-1), "maxIter": (15,)}, sample_size=2000)
+    columns = transitions.model_columns(fit_columns(stages.panel(spark, sf)))
+    table, _ = transitions.parameter_search(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), columns, N_CLASSES,
+                                            {"regParam": (1e-4, 1e-3, 1e-2, 1e-1), "elasticNetParam": (0.0, 0.5)})
     return rounded(table)
 
 
@@ -147,7 +154,7 @@ def _(spark, sf):
     """The shipped segmentation against one with fewer segments, over all features."""
     model = segment_model(spark, sf)
     panel = stages.panel(spark, sf).drop("segment_id", "segment_name")
-    fewer = segments.fit_segments(stages.month(panel, MONTHS[3]), fit_columns(panel), k=N_CLASSES - 1, n_init=3, fit_date=MONTHS[3])
+    fewer = segments.fit_segments(stages.month(panel, MONTHS[3]), fit_columns(panel), k=N_CLASSES - 1, fit_date=MONTHS[3])
     return rounded(transitions.downstream_check(panel, {"shipped": model, "fewer segments": fewer}, fit_columns(panel)))
 
 
@@ -314,8 +321,8 @@ def _(spark, sf):
 @query("isotonic_calibration")
 def _(spark, sf):
     scored = stages.scored(spark, sf)
-    models = calibration.fit_isotonic(scored.where("split = 'validation'"), N_CLASSES)
-    out = calibration.apply_isotonic(scored.where("split = 'test'"), models)
+    blocks = calibration.fit_isotonic(scored.where("split = 'validation'"), N_CLASSES)
+    out = calibration.apply_isotonic(scored.where("split = 'test'"), blocks, N_CLASSES)
     return rounded(out.groupBy("seg_curr").agg(*[F.avg(F.element_at("proba_calibrated", c + 1)).alias(f"p{c}") for c in K]))
 
 
@@ -456,9 +463,15 @@ def _(spark, sf):
     return _money(economics.recovery_sensitivity(risk.where("split = 'validation'"), risk.where("split = 'test'")))
 
 
+_LEVELS = ("SELECT *, lag(level) OVER (ORDER BY level) AS earlier, coalesce(sum(n) OVER u, 0) AS n0, coalesce(sum(loss) OVER u, 0) AS l0 FROM (SELECT level, sum(n) AS n, sum(loss) AS loss FROM "
+           "(SELECT 5e0 * 1e0 / var AS level, 1 AS n, CASE WHEN adverse THEN loss ELSE 0 END AS loss FROM risk WHERE split = 'test' AND var > 0 AND 5e0 * 1e0 / var <= 1 UNION ALL SELECT 1e0, 0, 0e0) GROUP BY level) "
+           "WINDOW u AS (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+
+
 @query("break_even_recovery_rates", sql(
-    f"SELECT {r6('rate', 'recovery_rate')}, contacted, {r6('profit', 'profit', 4)}, CASE WHEN profit > 0 THEN 'becomes_profitable' ELSE 'becomes_unprofitable' END AS change FROM "
-    "(SELECT *, coalesce(lag(profit) OVER (ORDER BY rate), 0) AS before FROM (SELECT (i + 1) / 1000e0 AS rate, count(lvl) AS contacted, coalesce(sum(loss) FILTER (WHERE adverse AND lvl IS NOT NULL), 0) * ((i + 1) / 1000e0) "
-    "- count(lvl) * 5e0 AS profit FROM range(1000) r(i) LEFT JOIN (SELECT loss, adverse, ceil(5e0 * 1e0 / var * 1000e0) AS lvl FROM risk WHERE split = 'test' AND var > 0) q ON q.lvl <= i + 1 GROUP BY i)) WHERE (profit > 0) <> (before > 0)", **_WITH))
+    f"SELECT {r6('rate', 'recovery_rate')}, {big('contacted', 'contacted')}, {r6('profit', 'profit', 4)}, CASE WHEN gains THEN 'becomes_profitable' ELSE 'becomes_unprofitable' END AS change FROM "
+    "(SELECT n0 * 5e0 / l0 AS rate, n0 AS contacted, 0e0 AS profit, true AS gains FROM levels WHERE l0 > 0 AND l0 * level - n0 * 5e0 > 0 AND l0 * earlier - n0 * 5e0 <= 0 "
+    "UNION ALL SELECT level, n0 + n, (l0 + loss) * level - (n0 + n) * 5e0, (l0 + loss) * level - (n0 + n) * 5e0 > 0 FROM levels WHERE (l0 * level - n0 * 5e0 > 0) <> ((l0 + loss) * level - (n0 + n) * 5e0 > 0))",
+    **_WITH, levels=_LEVELS))
 def _(spark, sf):
     return _money(economics.break_even_rates(_stored_risk(spark, sf).where("split = 'test'")))
