@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.ranking import quantiles_from_ranks, ranked_values, unpivot
 from memberlens.functions.scalars import beside
 from memberlens.operators.validate import psi_from_bins
-from memberlens.session import cut_lineage
+from memberlens.session import cut_lineage, small_side
 
 PSI_WARN, PSI_ALERT = 0.10, 0.25
 CH_DROP_ALERT = 0.20
@@ -57,7 +57,7 @@ def quantile_psi(ranked: DataFrame, bins: int = 10) -> DataFrame:
     edges = quantiles_from_ranks(as_reference, "value", probs, ["feature"]).select(
         "feature", F.array_sort(F.array_distinct(F.array(*list(probs)))).alias("_edges"))
     # one row of at most bins + 1 edges per feature
-    placed = ranked.join(F.broadcast(edges), "feature", "left")
+    placed = ranked.join(small_side(edges), "feature", "left")
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     enough = F.size("_edges") >= 3
     place = F.when(enough, F.size(F.filter(inner, lambda e: e <= F.col("value")))).otherwise(F.lit(0))
@@ -93,6 +93,13 @@ def total_variation(shares: DataFrame) -> DataFrame:
     return shares.agg((F.sum(F.abs(F.col("ref_share") - F.col("cur_share"))) / 2.0).alias("tvd"))
 
 
+def quality_drop(spark: SparkSession, ch_reference: float, ch_current: float, limit: float = CH_DROP_ALERT) -> DataFrame:
+    """Calinski-Harabasz of both months under the frozen centroids, its relative fall, and whether that exceeds the limit."""
+    fall = (ch_reference - ch_current) / ch_reference if ch_reference else 0.0
+    return spark.createDataFrame([(float(ch_reference), float(ch_current), float(fall), fall > limit)],
+                                 "ch_reference double, ch_current double, fractional_drop double, is_alert boolean")
+
+
 def drift_verdict(features: DataFrame, segment_tvd: DataFrame, state_tvd: DataFrame, ch_reference: float, ch_current: float) -> DataFrame:
     """One row: alerts, warnings and HEALTHY / MONITOR / RETRAIN_RECOMMENDED."""
     drop = (ch_reference - ch_current) / ch_reference if ch_reference else 0.0

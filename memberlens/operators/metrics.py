@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memberlens.functions.exprs import count_where, ratio
 from memberlens.functions.scalars import beside
 from memberlens.functions.vectors import argmax, array_lit, element
+from memberlens.session import small_side
 
 # Grid of the per-class threshold search.
 THRESHOLD_GRID = tuple(0.01 + i * (0.94 / 99) for i in range(100))
@@ -112,7 +113,7 @@ def balanced_weights(df: DataFrame, label: str, boost: Sequence[int] = (), facto
     table = beside(counts, one).select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))
                 * F.when(F.col(label).isin([int(b) for b in boost]), F.lit(float(factor))).otherwise(F.lit(1.0))).alias(output))
-    return df.join(F.broadcast(table), label)  # one row per class
+    return df.join(small_side(table), label)  # one row per class
 
 
 def weak_classes(report: DataFrame, below: float = WEAK_F1) -> list[int]:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.exprs import count_where, half_even, lookup
 from memberlens.functions.ranking import exact_quantiles, unpivot
 from memberlens.functions.vectors import array_sum, element
 from memberlens.operators.states import STATES, state_confidence, state_column, supporting_evidence
+from memberlens.session import small_side
+from memberlens.sources.tables import replace_folder, write_csv
 
 # Activation text per state.
 ACTIVATIONS = {
@@ -73,6 +75,22 @@ def contract_check(output: DataFrame, spine: DataFrame, rules: dict) -> DataFram
     return checked.withColumn("n_expected", expected.scalar()).withColumn("passed", ok)
 
 
+def write_checked(output: DataFrame, path: str, n_expected: int, rules: dict, write: Callable[[DataFrame, str], None] = write_csv) -> dict[str, int]:
+    """Write an output and check its contract in the same pass: rows and broken rules are observed while they are written.
+
+    The output goes to a folder beside `path` and takes its place only if the contract holds; else the check fails and what `path` held before stays.
+    """
+    seen = Observation()
+    metrics = [count_where(~F.coalesce(r, F.lit(False))).alias(f"bad_{n}") for n, r in rules.items()]
+    beside = f"{path.rstrip('/')}.unchecked"
+    write(output.observe(seen, F.count(F.lit(1)).alias("n_rows"), *metrics), beside)
+    found = {"n_rows": 0, **{f"bad_{n}": 0 for n in rules}, **seen.get}
+    if found["n_rows"] != n_expected or any(found[f"bad_{n}"] for n in rules):
+        raise AssertionError(f"output contract broken: {found}, {n_expected} rows expected")
+    replace_folder(output.sparkSession, beside, path)
+    return found
+
+
 def segment_rules(valid: Sequence[str]) -> dict:
     return {"confidence": F.col("segment_confidence").between(0, 1), "segment_id": F.col("segment_id").isin(list(valid))}
 
@@ -106,11 +124,12 @@ def key_characteristics(combined: DataFrame, columns: Sequence[str], top: int =
     overall = long.groupBy("feature").agg(*moments).select(
         "feature", F.col("mean").alias("_mean"), F.when((F.col("std") == 0) | F.col("std").isNull(), F.lit(1.0)).otherwise(F.col("std")).alias("_std"))
     inside = long.groupBy("segment_id", "feature").agg(F.avg("value").alias("mean"))
-    medians = exact_quantiles(long, "value", {"median": .5}, ["segment_id", "feature"])
-    # segments x features rows from here on
-    z = inside.join(F.broadcast(overall), "feature").withColumn("z", F.abs((F.col("mean") - F.col("_mean")) / F.col("_std")))
+    # segments x features rows from here on; medians, which need ranks, are taken of the winners only
+    z = inside.join(small_side(overall), "feature").withColumn("z", F.abs((F.col("mean") - F.col("_mean")) / F.col("_std")))
     rank = F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("z"), "feature"))
-    best = z.withColumn("rank", rank).where(F.col("rank") <= top)
+    best = small_side(z.withColumn("rank", rank).where(F.col("rank") <= top))
+    winners = long.join(best.select("segment_id", "feature"), ["segment_id", "feature"], "left_semi")
+    medians = exact_quantiles(winners, "value", {"median": .5}, ["segment_id", "feature"])
     return best.join(medians, ["segment_id", "feature"]).select(
         "segment_id", "rank", "feature", half_even(F.col("mean"), 4).alias("mean"), half_even(F.col("median"), 4).alias("median"))
 
@@ -209,8 +228,8 @@ def review_sample(scored: DataFrame, members: int = 400, seed: int = 42) -> Data
     w = Window.partitionBy("segment_name", "state_name")
     ranked = scored.withColumn("_value_rank", F.row_number().over(w.orderBy(F.desc("value_at_risk"), "member_id")))
     top = ranked.where(F.col("_value_rank") <= head).drop("_value_rank").withColumn("picked_by", F.lit("value"))
-    known = top.select("member_id")
-    rest = scored.join(F.broadcast(known), "member_id", "left_anti").withColumn("_hash_rank", F.row_number().over(w.orderBy(place, "member_id")))
+    known = small_side(top.select("member_id"))
+    rest = scored.join(known, "member_id", "left_anti").withColumn("_hash_rank", F.row_number().over(w.orderBy(place, "member_id")))
     others = rest.where(F.col("_hash_rank") <= per_group - head).drop("_hash_rank").withColumn("picked_by", F.lit("hash"))
     return top.unionByName(others)
 
@@ -221,5 +240,17 @@ def targeting_totals(eligibility: DataFrame) -> DataFrame:
     return eligibility.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("members"))
 
 
+def targeting_value(eligibility: DataFrame, risk: DataFrame) -> DataFrame:
+    """Members and their value at risk per suppression reason, with the share of all value; `risk` has member_id and value_at_risk.
+
+    Members without a risk row count with 0.
+    """
+    reason = F.when(F.col("suppression_reason") == "", "targetable").otherwise(F.col("suppression_reason"))
+    valued = eligibility.select("member_id", reason.alias("reason")).join(risk.select("member_id", "value_at_risk"), "member_id", "left")
+    totals = valued.groupBy("reason").agg(F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("value_at_risk"), F.lit(0.0)).alias("value_at_risk"))
+    whole = F.sum("value_at_risk").over(Window.partitionBy(F.lit(1)))  # one row per reason
+    return totals.withColumn("value_share", F.coalesce(F.try_divide(F.col("value_at_risk"), whole), F.lit(0.0)))
+
+
 def recovery_percentiles(eligibility: DataFrame) -> DataFrame:
     return exact_quantiles(eligibility.select(F.col("effective_recovery_rate").alias("value")), "value", {"p10": .1, "median": .5, "p90": .9})

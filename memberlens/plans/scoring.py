@@ -50,7 +50,7 @@ def train(panel: DataFrame, fit_date: str, k: int = 5, n_init: int = 10) -> tupl
 
 def score(members: DataFrame, transactions: DataFrame, events: DataFrame, date: str, segments: SegmentModel, transition: TransitionModel,
           path: str, event_order: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All outputs of one scoring date, checked against their contracts and written below `path`.
+    """All outputs of one scoring date, checked against their contracts while they are written below `path`.
 
     Two earlier months are built in the same pass: changes and segment history need the prior month, and
     that month's acceleration needs the one before it, as in a training panel.
@@ -72,10 +72,12 @@ def score(members: DataFrame, transactions: DataFrame, events: DataFrame, date:
     }
     rules = {"segment_assignments": outputs.segment_rules(codes), "state_assignments": outputs.state_rules(),
              "transition_predictions": outputs.prediction_rules(codes)}
-    for name, rule in rules.items():
-        outputs.require_contract(outputs.contract_check(result[name], spine, rule))
+    n_members = spine.count()
     for name, df in result.items():
-        write_csv(df, f"{path}/{name}")
+        if name in rules:
+            outputs.write_checked(df, f"{path}/{name}", n_members, rules[name])
+        else:
+            write_csv(df, f"{path}/{name}")
     combined = current.join(clean.cardholder_flags(members), "member_id", "left").na.fill(0, ["is_cardholder"])
     result["segment_profiles"] = outputs.segment_profiles(combined, segments.columns, segments.names)
     write_json(result["segment_profiles"], f"{path}/segment_profiles")

@@ -59,6 +59,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished folder in the place of another one."""
+    fs, new = _files(spark, source)
+    _, old = _files(spark, target)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{source} cannot take the place of {target}")
+
+
 def read_report(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.json(path)

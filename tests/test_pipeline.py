@@ -196,3 +196,16 @@ def test_segment_profiles_rank_every_feature(spark):
     assert set(found) == {s for s, _ in z}
     for s, best in found.items():
         assert [z[s, c] for c in best] == pytest.approx(sorted((x for (k, _), x in z.items() if k == s), reverse=True)[:5])
+
+
+def test_contract_is_checked_in_the_write(frame, spark, tmp_path):
+    path, schema = str(tmp_path / "out"), "member_id string, segment_id string, segment_confidence double"
+    rules = outputs.segment_rules(["S01", "S02"])
+    good = frame([("A", "S01", 0.5), ("B", "S02", 1.0)], schema)
+    assert outputs.write_checked(good, path, 2, rules) == {"n_rows": 2, "bad_confidence": 0, "bad_segment_id": 0}
+    for rows, n in (([("A", "S03", 0.5), ("B", "S02", None)], 2), ([("A", "S01", 0.5)], 2), ([], 1)):
+        with pytest.raises(AssertionError):
+            outputs.write_checked(frame(rows, schema), path, n, rules)
+    assert sorted(r.member_id for r in spark.read.option("header", True).csv(path).collect()) == ["A", "B"]
+    outputs.write_checked(frame([("C", "S01", 0.1)], schema), path, 1, rules)
+    assert [r.member_id for r in spark.read.option("header", True).csv(path).collect()] == ["C"]

@@ -145,16 +145,30 @@ def _(spark, sf):
     return rounded(snapshot.weekly_slopes(mine, MONTHS))
 
 
-@query("behavioural_profiles", "SELECT * FROM (VALUES ('source', CAST(45 AS BIGINT)), ('shipped', CAST(40 AS BIGINT))) v(profile, n_features)")
+def _matrix_sql(columns, source, keep):
+    """Width of the rows and the sum of their values, each times its place: differs if a column is missing, doubled or moved."""
+    total = " + ".join(f"{i + 1} * coalesce(CAST({c} AS DOUBLE), 0)" for i, c in enumerate(columns))
+    return f"SELECT {keep}, CAST({len(columns)} AS BIGINT) AS n_features, {total} AS placed FROM {source}"
+
+
+_PROFILES = {p: features.behavioural_features(BEHAVIOURAL_FEATURES, p) for p in ("source", "shipped")}
+
+
+@query("behavioural_profiles", sql(" UNION ALL ".join(
+    f"SELECT '{p}' AS profile, count(*) AS n_rows, max(n_features) AS n_features, {r6('sum(placed)', 'placed', 3)} FROM ({_matrix_sql(c, 'features', 'member_id')})" for p, c in _PROFILES.items())))
 def _(spark, sf):
-    """Width of the feature matrix under both allowlists, counted over the stored panel's columns."""
-    panel = stages.panel(spark, sf)
-    parts = []
-    for profile in ("source", "shipped"):
-        columns = features.behavioural_features(panel.columns, profile)
-        width = F.size(F.array(*[F.col(c).cast("double") for c in columns])).cast("long")
-        parts.append(panel.agg(F.lit(profile).alias("profile"), F.max(width).alias("n_features")))
-    return parts[0].union(parts[1])
+    """The assembled matrix of the stored panel under both allowlists."""
+    from pyspark.ml.functions import vector_to_array
+
+    panel, parts = stages.panel(spark, sf), []
+    for profile in _PROFILES:
+        rows = features.model_matrix(panel, features.behavioural_features(panel.columns, profile)).select(vector_to_array("features").alias("x"))
+        parts.append(rows.agg(F.lit(profile).alias("profile"), F.count(F.lit(1)).alias("n_rows"), F.max(F.size("x")).cast("long").alias("n_features"), F.sum(_placed("x")).alias("placed")))
+    return rounded(parts[0].union(parts[1]), 3)
+
+
+def _placed(x):
+    return F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v)
 
 
 _VELOCITY = f"""SELECT {_KEY},
@@ -199,14 +213,13 @@ def _(spark, sf):
     return rounded(features.add_segment_history(panel, "_prev", "segment_id").select("member_id", "observation_date", "seg_prev", "seg_changed"))
 
 
-@query("model_matrix")
+@query("model_matrix", sql_at(f"SELECT member_id, n_features, {r6('placed', 'placed')} FROM ({_matrix_sql(_PROFILES['source'], 'features', 'member_id')})"))
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     panel = stages.observed_panel(spark, sf)
-    columns = features.behavioural_features(panel.columns)
-    matrix = features.model_matrix(panel, columns, keep=["member_id"])
-    return matrix.select("member_id", vector_to_array("features").alias("features"))
+    matrix = features.model_matrix(panel, features.behavioural_features(panel.columns), keep=["member_id"])
+    return rounded(matrix.select("member_id", vector_to_array("features").alias("x")).select("member_id", F.size("x").cast("long").alias("n_features"), _placed("x").alias("placed")))
 
 
 # --- validation --------------------------------------------------------------------------------

@@ -136,6 +136,15 @@ def _(spark, sf):
     return outputs.targeting_totals(_eligibility(spark, sf))
 
 
+@query("targeting_value_totals", sql_at(
+    f"SELECT reason, members, {r6('value', 'value_at_risk', 4)}, {r6('coalesce(value / nullif(sum(value) OVER (), 0), 0)', 'value_share')} FROM (SELECT CASE suppression_reason WHEN '' THEN 'targetable' ELSE suppression_reason END AS reason, "
+    "count(*) AS members, coalesce(sum(f.spend_total_180d), 0) / 10e0 AS value FROM recommended LEFT JOIN features f USING (member_id) GROUP BY 1)", **_E))
+def _(spark, sf):
+    """A tenth of the half-year's spend stands for the value at risk."""
+    risk = stages.observed_panel(spark, sf).select("member_id", (F.col("spend_total_180d") / 10.0).alias("value_at_risk"))
+    return rounded(rounded(outputs.targeting_value(_eligibility(spark, sf), risk).withColumn("value_at_risk", F.round("value_at_risk", 4))))
+
+
 @query("recovery_rate_percentiles", sql_at(
     "SELECT " + ", ".join(r6(f"quantile_cont({half_even(_EFFECTIVE, 4)}, {q})", n) for n, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))) + " FROM recommended", **_E))
 def _(spark, sf):
@@ -233,7 +242,7 @@ def _frozen_quality(spark, sf, date: str) -> float:
 def _(spark, sf):
     """Calinski-Harabasz of both months under the frozen centroids."""
     a, b = _frozen_quality(spark, sf, MONTHS[3]), _frozen_quality(spark, sf, _CUR)
-    return rounded(spark.createDataFrame([(a, b, (a - b) / a)], "ch_reference double, ch_current double, fractional_drop double"))
+    return rounded(drift.quality_drop(spark, a, b))
 
 
 def _rule_points(month):

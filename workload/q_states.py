@@ -326,9 +326,10 @@ def _(spark, sf):
 
 @query("monthly_segment_scoring")
 def _(spark, sf):
-    """All months under the frozen model."""
-    assigned = segment_model(spark, sf).assign(stages.panel(spark, sf).drop("segment_id", "segment_name"))
-    return rounded(segments.monthly_distribution(assigned))
+    """All months under the frozen model; `is_frozen` says that the model that scored is the one that was fitted, by its identity."""
+    model = segment_model(spark, sf)
+    out = segments.score_months(stages.panel(spark, sf).drop("segment_id", "segment_name"), model)
+    return rounded(out.withColumn("is_frozen", F.col("model_id") == model.identity()).drop("model_id"))
 
 
 _HEAVY = ("spend_total_30d", "spend_total_90d", "purchase_count_30d", "recency_days", "app_open_30d", "total_session_sec_30d", "spend_slope_30d")
