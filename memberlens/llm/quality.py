@@ -2,8 +2,10 @@
 
 Each measure of a text is an integer. Its sketch is a histogram over values cut to their six
 leading binary digits (at most 3 % off), so sketches merge by adding counts, in any order
-and with the same result: a small group is judged by the merged sketch of its language, a
-small language by that of all texts. DataFrame functions only.
+and with the same result. A group's sketch is merged with that of its language, which counts as PRIOR_TEXTS
+texts, and this one with that of all texts in the same way: the fewer texts a group has, the more it is
+judged like its language. Fences lie so many times the distance of the outer quantiles from the median away from
+the median. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 SKETCH_DIGITS = 6
-MIN_GROUP = 200  # texts a sketch needs to be used alone
-#: Measures a text is judged by and the least spread assumed for each, in its own units (rates per 1000, length in 1/100).
-MEASURES = {"symbol_rate": 15, "dup_line_rate": 75, "repeat_rate": 75, "word_length": 40}
-REACH = 4  # fences lie so many times the spread (third less first quartile) beyond the quartiles
+PRIOR_TEXTS = 50  # texts that the next larger sketch counts for
+#: Measures a text is judged by and the least distance of a fence from the median, in its own units (rates per 1000, length in 1/100):
+#: one bin of the sketch, but for repeated lines, which are rare in any group and ordinary in lists and verse.
+MEASURES = {"symbol_rate": 1, "dup_line_rate": 300, "repeat_rate": 1, "word_length": 1}
+LOW, HIGH = 10, 90  # percent: the outer quantiles
+REACH = 6  # fences lie so many times the distance of an outer quantile from the median away from it
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _ADDED = (*BASE, "kept", *MEASURES, *(f"{m}_limit" for m in MEASURES), "_words", "_lines", "_w", "_lang", "_source")
@@ -81,29 +85,38 @@ def sketches(judged: DataFrame, measures=tuple(MEASURES)) -> DataFrame:
             .groupBy("_lang", "_source", "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Number of texts, first and third quartile per group from the (merged) sketch."""
-    merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
-    up = Window.partitionBy(*by, "measure").orderBy("bin")
-    ranked = merged.withColumn("upto", F.sum("n").over(up)).withColumn("texts", F.sum("n").over(Window.partitionBy(*by, "measure")))
-    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("texts") * p, F.col("bin")))
-    return ranked.groupBy(*by, "measure").agg(F.max("texts").alias("texts"), at(25).alias("q1"), at(75).alias("q3"))
+def shrunk(sketch: DataFrame) -> DataFrame:
+    """Weight of every bin per (_lang, _source, measure): the group's own counts and PRIOR_TEXTS texts spread like its language."""
+    sketch = sketch.groupBy("_lang", "_source", "measure", "bin").agg(F.sum("n").alias("n"))
+    per = lambda *by: sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n")).withColumn("texts", F.sum("n").over(Window.partitionBy(*by, "measure")))
+    every = per().select(F.col("measure").alias("_m"), F.col("bin").alias("_b"), (F.col("n") / F.col("texts")).alias("share"))
+    lang = per("_lang")
+    langs = lang.select("_lang", "measure", "texts").distinct().join(every, F.col("measure") == F.col("_m")).drop("_m")
+    own = lang.select(F.col("_lang").alias("_l"), F.col("measure").alias("_m"), F.col("bin").alias("_bin"), F.col("n").alias("_n"))
+    langs = langs.join(own, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m")) & (F.col("_b") == F.col("_bin")), "left")
+    langs = stored(langs.select(F.col("_lang").alias("_l"), F.col("measure").alias("_m"), F.col("_b"), ((F.coalesce("_n", F.lit(0)) + F.col("share") * PRIOR_TEXTS) / (F.col("texts") + PRIOR_TEXTS)).alias("share")))
+    groups = sketch.select("_lang", "_source", "measure").distinct().join(langs, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).drop("_l", "_m")
+    counts = sketch.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.col("measure").alias("_m"), F.col("bin").alias("_bin"), F.col("n").alias("_n"))
+    both = groups.join(counts, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("measure") == F.col("_m")) & (F.col("_b") == F.col("_bin")), "left")
+    return both.select("_lang", "_source", "measure", F.col("_b").alias("bin"), (F.coalesce("_n", F.lit(0)) + F.col("share") * PRIOR_TEXTS).alias("weight"))
+
+
+def quantiles(weighted: DataFrame) -> DataFrame:
+    """Median and outer quantiles per (_lang, _source, measure); a group's bins are a few hundred at most."""
+    by = ("_lang", "_source", "measure")
+    up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = weighted.withColumns({"upto": F.sum("weight").over(up), "texts": F.sum("weight").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # sums of shares: a quantile is reached also where rounding leaves it short
+    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("texts") * p - 1e-6, F.col("bin")))
+    return ranked.groupBy(*by).agg(at(LOW).alias("low"), at(50).alias("middle"), at(HIGH).alias("high"))
 
 
 def thresholds(judged: DataFrame) -> DataFrame:
     """One row per (_lang, _source) with a low and a high fence for each measure."""
-    sketch = stored(sketches(judged))
-    own, lang, every = quantiles(sketch, "_lang", "_source"), quantiles(sketch, "_lang"), quantiles(sketch)
-    as_struct = lambda q, name, *by: q.select(*by, "measure", F.struct("texts", "q1", "q3").alias(name))
-    l, e = as_struct(lang, "l", F.col("_lang").alias("_l"), ), as_struct(every, "e")  # noqa: E741
-    both = (as_struct(own, "o", "_lang", "_source").join(l.withColumnRenamed("measure", "_m"), F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).drop("_l", "_m")
-            .join(e, "measure"))
-    used = F.when(F.col("o.texts") >= MIN_GROUP, F.col("o")).when(F.col("l.texts") >= MIN_GROUP, F.col("l")).otherwise(F.col("e"))
+    q = quantiles(shrunk(stored(sketches(judged))))
     floor = F.element_at(F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair]), F.col("measure"))
-    spread = REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), floor)
-    fences = both.withColumn("q", used).select(
-        "_lang", "_source", "measure",
-        F.struct((F.col("q.q1") - spread).alias("low"), (F.col("q.q3") + spread).alias("high")).alias("fence"))
+    below, above = F.greatest(REACH * (F.col("middle") - F.col("low")), floor), F.greatest(REACH * (F.col("high") - F.col("middle")), floor)
+    fences = q.select("_lang", "_source", "measure", F.struct((F.col("middle") - below).alias("low"), (F.col("middle") + above).alias("high")).alias("fence"))
     return fences.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_limit") for m in MEASURES])
 
 

@@ -127,9 +127,53 @@ def test_quality_fences_follow_the_group(spark):
 
 def test_sketches_merge(docs):
     judged = quality.measured(docs).selectExpr("*", "lang AS _lang", "source AS _source")
-    whole = quality.quantiles(quality.sketches(judged)).collect()
+    whole = quality.quantiles(quality.shrunk(quality.sketches(judged))).collect()
     parts = quality.sketches(judged.where("doc_id % 2 = 0")).union(quality.sketches(judged.where("doc_id % 2 <> 0 or doc_id is null")))
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, quality.quantiles(parts).collect()))
+    assert sorted(map(str, whole)) == sorted(map(str, quality.quantiles(quality.shrunk(parts)).collect()))
+
+
+def brute_kept(rows):
+    """Verdicts of (lang, source, base_failed, measures): quantiles of weighted bins, from the rules as they are stated."""
+    def cut(v):
+        drop = max(v.bit_length() - 6, 0)
+        return v >> drop << drop
+
+    passed = [r for r in rows if not r[2]]
+    out = []
+    for lang, source, failed, values in rows:
+        keep = not failed
+        for m, (name, floor) in enumerate(quality.MEASURES.items()):
+            every = Counter(cut(r[3][m]) for r in passed)
+            own_lang = Counter(cut(r[3][m]) for r in passed if r[0] == lang)
+            own = Counter(cut(r[3][m]) for r in passed if r[:2] == (lang, source))
+            if failed or not own:
+                keep = False
+                break
+            total = sum(every.values())
+            shares = {b: (own_lang[b] + quality.PRIOR_TEXTS * n / total) / (sum(own_lang.values()) + quality.PRIOR_TEXTS) for b, n in every.items()}
+            weights = sorted((b, own[b] + quality.PRIOR_TEXTS * x) for b, x in shares.items())
+            whole = sum(w for _, w in weights)
+            at = lambda p: next(b for i, (b, _) in enumerate(weights) if sum(w for _, w in weights[:i + 1]) * 100 >= whole * p - 1e-6)
+            low, middle, high = at(10), at(50), at(90)
+            keep = keep and middle - max(6 * (middle - low), floor) <= values[m] <= middle + max(6 * (high - middle), floor)
+        out.append(keep)
+    return out
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(500):
+        lang, source = rng.choice(("en", "en", "de", None)), rng.choice(("a", "b", None))
+        n = rng.choice((20, 60, 90, 140))
+        words = [("#" * (rng.random() < (0.3 if i % 17 == 0 else 0.01)) + rng.choice("abcdefgh") * rng.randint(1, 9 if source == "a" else 5) + str(rng.randint(0, 99))) for _ in range(n)]
+        words += words[:rng.choice((0, 0, 4, 20))]
+        rows.append((i, "".join(w + rng.choice((" ", " ", "\n")) for w in words), lang, source, 1))
+    found = quality.judged_quality(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    expected = brute_kept([(r.lang, r.source, r.base_failed, [r[m] for m in quality.MEASURES]) for r in found])
+    assert [r.kept for r in found] == expected and 0 < sum(expected) < sum(not r.base_failed for r in found)
+    fences = {(r.lang, r.source): r.word_length_limit for r in found}
+    assert len({f.high for f in fences.values() if f}) > 3
 
 
 def brute_components(texts, size, percent):
@@ -263,25 +307,46 @@ def test_license_words_and_places():
     text = "MIT-License x the Mit license. GNU General  Public\nLicense é apache license2 Apache License"
     row = licenses.scan(text, licenses._automaton())
     assert row[:6] == (15, 4, 0, 13, "apache,gpl,mit", "apache,gpl,mit")
-    assert licenses.scan(None, licenses._automaton()) == (0, 0, None, None, "", "", 0.0, [], None)
-
-
-@pytest.mark.parametrize(("text", "tokens_", "labels", "free"), [
-    ("MIT", ["MIT"], {"mit"}, True),
-    ("MIT OR GPL-2.0 AND Apache-2.0", ["MIT", "GPL-2.0", "Apache-2.0", "and", "or"], {"mit", "gpl", "apache"}, True),
-    ("(MIT or GPL-2.0) and LGPL-2.1 */", ["MIT", "GPL-2.0", "or", "LGPL-2.1", "and"], {"mit", "gpl", "lgpl"}, False),
-    ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later", "Classpath-exception-2.0", "with"], {"gpl"}, False),
-    ("MIT AND", None, None, None), ("(MIT", None, None, None), ("", None, None, None), ("OR MIT", None, None, None)])
-def test_license_expressions(text, tokens_, labels, free):
+    assert licenses.scan(None, licenses._automaton()) == (0, 0, None, None, "", "", 0.0, [], "", None)
+
+
+@pytest.mark.parametrize(("text", "tokens_", "labels", "binding", "free"), [
+    ("MIT", ["MIT"], {"mit"}, {"mit"}, True),
+    ("MIT OR GPL-2.0 AND Apache-2.0", ["MIT", "GPL-2.0", "Apache-2.0", "and", "or"], {"mit", "gpl", "apache"}, {"mit"}, True),
+    ("(MIT or GPL-2.0) and LGPL-2.1 */", ["MIT", "GPL-2.0", "or", "LGPL-2.1", "and"], {"mit", "gpl", "lgpl"}, {"mit", "lgpl"}, False),
+    ("GPL-2.0 OR MPL-2.0 AND EPL-2.0", ["GPL-2.0", "MPL-2.0", "EPL-2.0", "and", "or"], {"gpl", "mpl", "epl"}, {"gpl"}, False),
+    ("Foo-1.0 OR GPL-2.0", ["Foo-1.0", "GPL-2.0", "or"], {"unknown", "gpl"}, {"gpl"}, False),
+    ("mitigation OR iscsi", ["mitigation", "iscsi", "or"], {"unknown"}, {"unknown"}, False),
+    ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later", "Classpath-exception-2.0", "with"], {"gpl"}, {"gpl"}, False),
+    ("MIT AND", None, None, None, None), ("(MIT", None, None, None, None), ("", None, None, None, None), ("OR MIT", None, None, None, None)])
+def test_license_expressions(text, tokens_, labels, binding, free):
     assert licenses.postfix(text) == tokens_
     if tokens_:
-        assert licenses.evaluate(tokens_) == (labels, free)
+        assert licenses.evaluate(tokens_) == (labels, binding, free)
 
 
 def test_license_scan_of_tags(spark):
-    docs = spark.createDataFrame([(1, "# SPDX-License-Identifier: (MIT OR GPL-3.0-only)\ncode"), (2, "// SPDX-License-Identifier: AND\n"), (None, None)], "doc_id long, text string")
-    found = {r.doc_id: (r.labels, r.base_labels, r.score, r.permissive, r.expressions) for r in licenses.license_scan(docs).collect()}
-    assert found == {1: ("gpl,mit", "", 0.75, True, ["MIT GPL-3.0-only or"]), 2: ("", "", 0.0, None, []), None: ("", "", 0.0, None, [])}
+    texts = [(1, "# SPDX-License-Identifier: (MIT OR GPL-3.0-only)\ncode"), (2, "// SPDX-License-Identifier: AND\n"), (3, "SPDX-License-Identifier: see below"),
+             (4, "spdx-license-identifier: LicenseRef-Own AND bsd-3-clause; Eclipse Public License"), (None, None)]
+    found = {r.doc_id: (r.labels, r.base_labels, r.score, r.binding, r.permissive, r.expressions) for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == {1: ("gpl,mit", "", 0.75, "mit", True, ["MIT GPL-3.0-only or"]), 2: ("", "", 0.0, "", None, []), 3: ("", "", 0.0, "", None, []),
+                     4: ("bsd,epl,unknown", "", 0.875, "bsd,epl,unknown", False, ["LicenseRef-Own bsd-3-clause and"]), None: ("", "", 0.0, "", None, [])}
+
+
+def test_license_places_by_brute_force(spark):
+    word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(4)
+    parts = ["MIT License", "mit", "license", "Apache-License", "GNU general public license", "general", "public\nlicense", "Ämit license", "cc by sa", "x2"]
+    rows += [(10_000 + i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id", "text")).collect():
+        words = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        hits = [(i, label) for phrase, label in licenses.BASE_PHRASES.items() for i in range(len(words)) if words[i:i + len(phrase.split())] == phrase.split()]
+        notices = {label for phrase, label in licenses.NOTICE_PHRASES.items() if any(words[i:i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(hits), ",".join(sorted({x for _, x in hits})))
+        assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
+        if not r.expressions:
+            assert r.labels == ",".join(sorted({x for _, x in hits} | notices))
 
 
 def test_token_counts(docs):
@@ -341,16 +406,44 @@ def test_packing_round_trip(docs, shard_docs):
         assert ids == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1] and total == len(ids)
 
 
+def as_piece(doc, ids, first=0):
+    return (doc, len(ids)), first, ids[first:], *np.unique(ids, return_counts=True), len(ids)
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(1)
     topics = [rng.choice(np.arange(t * 100, t * 100 + 60), 40) for t in (0, 1, 2) for _ in range(10)]
     order = rng.permutation(30)
-    pieces = [((int(i), 40), 0, topics[i]) for i in order]
-    shard = packing.Shard(pieces, np.ones(400), 40.0, 400)
+    shard = packing.Shard([as_piece(int(i), topics[i]) for i in order], np.ones(400, np.float32), 40.0, 400)
     for w in shard.windows():
         assert len({doc // 10 for (doc, _), _, _ in w}) == 1
 
 
+def test_neighbours_in_bm25_order_of_whole_documents():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 60, rng.integers(1, 80)) for _ in range(50)]
+    idf, mean = rng.random(60).astype(np.float32) * (rng.random(60) > 0.2), 37.5
+    shard = packing.Shard([as_piece(i, t, len(t) // 2) for i, t in enumerate(texts)], idf, mean, 400)
+    used = {3, 9, 11}
+    shard.unused[list(used)] = False
+    for seed, q in enumerate(texts):
+        score = [sum(idf[t] * d.tolist().count(t) * 2.2 / (d.tolist().count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q.tolist())) for d in texts]
+        found = shard.neighbours(seed).tolist()
+        assert sorted(found) == [i for i in range(50) if i not in used]
+        assert all(score[a] >= score[b] - 1e-4 for a, b in zip(found, found[1:]))
+
+
+def test_packing_routes_like_texts_together(spark):
+    rng = random.Random(8)
+    themes = [[f"{chr(97 + t)}{chr(97 + k)}word" for k in range(26)] for t in range(12)]
+    rows = [(i, " ".join(rng.choice(themes[i % 12]) for _ in range(30))) for i in range(360)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), public_tokenizers.path("word_bpe_49k.json"), window=512, shard_docs=30).collect()
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p.sequence_id][p.doc_id % 12] += p.length
+    assert sum(max(w.values()) for w in windows.values()) > 0.6 * sum(p.length for p in pieces)  # in reading order a twelfth
+
+
 def test_chats(spark):
     turns = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     rows = [(c, t, *turns[t]) for c, n in ((1, 1), (2, 3), (3, 4), (7, 4), (5, 2)) for t in range(n)]
