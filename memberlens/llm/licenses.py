@@ -42,14 +42,16 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-#: Identifier beginnings, longest first where one begins another, with label and whether reuse is free of conditions on derived work.
+#: Identifier families: an identifier is the family's name, or begins with it and a hyphen. With label and whether reuse is free of conditions on
+#: derived work; longer names come first where one begins another.
 FAMILIES = (
     ("agpl", "agpl", False), ("lgpl", "lgpl", False), ("gpl", "gpl", False), ("mpl", "mpl", False), ("epl", "epl", False),
     ("apache", "apache", True), ("mit", "mit", True), ("bsd", "bsd", True), ("isc", "isc", True), ("unlicense", "unlicense", True),
     ("cc0", "cc0", True), ("cc-by-nc", "cc-by-nc", False), ("cc-by-nd", "cc-by-nd", False), ("cc-by-sa", "cc-by-sa", False), ("cc-by", "cc-by", True))
+UNKNOWN = "unknown"
 
 SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-          "expressions array<string>, permissive boolean")
+          "expressions array<string>, binding string, permissive boolean")
 _ADDED = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -93,25 +95,32 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(tokens: list[str]) -> tuple[set[str], bool]:
-    """Labels named by a postfix expression, and whether it can be met by permissive licences alone.
+def family(identifier: str) -> tuple[str, bool]:
+    """Label of an identifier and whether its licence is permissive; `unknown` if it belongs to no family."""
+    name = identifier.lower()
+    return next(((label, free) for start, label, free in FAMILIES if name == start or name.startswith(f"{start}-")), (UNKNOWN, False))
 
-    OR lets the user choose, AND binds to both, WITH grants an exception to its left side.
+
+def evaluate(tokens: list[str]) -> tuple[set[str], set[str], bool]:
+    """Of a postfix expression: the labels it names, those that bind a careful user, and whether these are all permissive.
+
+    AND binds to both sides. OR lets the user choose: a permissive side before one that is not, a known one before an unknown one, then the one with fewer
+    labels, then the first in alphabetical order. WITH grants an exception to its left side.
     """
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[tuple[set[str], set[str], bool]] = []
     for token in tokens:
         if token in _RANK:
             right, left = stack.pop(), stack.pop()
             if token == "or":
-                stack.append((left[0] | right[0], left[1] or right[1]))
+                _, binding, free = min(left, right, key=lambda x: (not x[2], UNKNOWN in x[1], len(x[1]), sorted(x[1])))
+                stack.append((left[0] | right[0], binding, free))
             elif token == "and":
-                stack.append((left[0] | right[0], left[1] and right[1]))
+                stack.append((left[0] | right[0], left[1] | right[1], left[2] and right[2]))
             else:
                 stack.append(left)
         else:
-            name = token.lower()
-            _, label, free = next((f for f in FAMILIES if name.startswith(f[0])), ("", name, False))
-            stack.append(({label}, free))
+            label, free = family(token)
+            stack.append(({label}, {label}, free))
     return stack[0]
 
 
@@ -146,24 +155,26 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple:
             base.add(label)
             first = position if first is None else min(first, position)
             last = position if last is None else max(last, position)
-    expressions = []
+    expressions, binding = [], set(labels)
     if tags:
         for m in _TAGGED.finditer(text):
             tokens = postfix(m[1])
-            if tokens:
-                named, permissive = evaluate(tokens)
+            named, bound, permissive = evaluate(tokens) if tokens else (set(), set(), False)
+            if named - {UNKNOWN}:  # words behind a tag that name no licence are no expression
                 labels |= named
+                binding |= bound
                 free.append(permissive)
                 expressions.append(" ".join(tokens))
                 evidence += 2
     known = {f[1]: f[2] for f in FAMILIES}
     permissive = all(free) if free else all(known.get(x, False) for x in labels) if labels else None
-    return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - 0.5**min(evidence, 50), expressions, permissive)
+    return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - 0.5**min(evidence, 50), expressions, ",".join(sorted(binding)), permissive)
 
 
 def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns `keep` (default: all but the text) of `docs` plus those of SCHEMA.
 
+    `binding` has the labels of notices and of what expressions bind to, `permissive` the verdict: of the expressions if there are any, else of the notices.
     A null text counts as empty: no words, empty labels, score 0, no verdict. The score is
     1 - 2^-(evidence): a phrase counts 1, a parsed expression 2. Every row is scanned whole and
     on its own, so ties, repeated rows and hot keys do not matter. Input columns named like an
@@ -181,7 +192,7 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | No
         for b in batches:
             rows = [scan(t, automaton) for t in b.column("_text").to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _ADDED]
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.bool_()]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column("_row"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["_row", *_ADDED])
 
     return packed.mapInArrow(run, schema).select("_row.*", *_ADDED)

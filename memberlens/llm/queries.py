@@ -27,7 +27,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                      F.array_join("expressions", "; ").alias("expressions"), "binding", "permissive")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
