@@ -1,9 +1,10 @@
 """Packing documents into token windows with their lexical neighbours.
 
 Texts are tokenised once into a stored table. Document frequencies of all texts give the
-weights of a BM25 inverted index, which is built shard by shard: a task reads its texts in
-order and closes a shard after SHARD_DOCS of them. A text longer than a window fills whole windows by
-itself; what is left of it is indexed. Each seed asks its shard's index for unused
+weights of a BM25 inverted index, which is built shard by shard. Texts are routed to shards by content: they are
+ranged by two weighted min-hashes of their terms, so that texts with rare terms in common come one after the other, and
+a task closes a shard after SHARD_DOCS of them. A text longer than a window fills whole windows by
+itself; what is left of it is placed by the terms of the whole text. Each seed asks its shard's index, with all its terms, for unused
 neighbours, which fill its window one after the other; the last is cut at the edge
 and becomes the next seed. What a shard cannot complete moves on to the next one, and a task's
 last window is cut into windows of 1, 2, 4 ... tokens, which need no padding.
@@ -31,12 +32,13 @@ shipped(__name__)
 
 WINDOW = 2048
 END_ID = 1
-SHARD_DOCS = 2048
-QUERY_TERMS = 24  # the seed's terms of most weight, which form its query; every term is indexed
+SHARD_DOCS = 1024
 K1, B = 1.2, 0.75
 WORD_END = "</w>"  # fixed value: what a piece at a word's end carries in the vocabulary
-_WORDS_HELD = 1_000_000
-_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")  # letters, then ASCII marks without the apostrophe
+_WORDS_HELD = 1_500_000
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)  # ASCII marks without the apostrophe
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # the letters of ASCII and Latin-1 in UTF-8
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")  # letters, then such marks
 
 
 def load_tokenizer(content: bytes):
@@ -51,26 +53,46 @@ class WordIds(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.tails = tokenizer, tokenizer.model, {}
+        # how the tokenizer writes letters before it looks up pieces, which may be byte by byte
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.pieces = {ord(c): split(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not known. A word of letters with marks behind it is the word, then the marks."""
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encode the words of the texts that are not known. A word of letters with marks behind it is the word, then the marks."""
         if len(self) > _WORDS_HELD:
             self.clear()
-        letters, marks, pairs = set(), set(), {}
+            self.tails.clear()
+        words: set[bytes] = set()
+        for t in texts:
+            words.update([w for w in t if w not in self])
+        letters, marks, pairs, tokenize = set(), set(), {}, self.model.tokenize
         for word in words:
             if word in self:
                 continue
+            base = word.rstrip(_MARKS)
+            # Latin letters, which most words consist of: each has one lower-case letter, and nothing else is normalised in them
+            if base.isalpha() or _LATIN.fullmatch(base):
+                ids = self.get(base)
+                if ids is None:
+                    ids = self[base] = array("I", [t.id for t in tokenize(base.decode("utf-8").lower().translate(self.pieces))]).tobytes()
+                if len(base) < len(word):
+                    tail = word[len(base):]
+                    known = self.tails.get(tail)
+                    if known is None:
+                        known = self.tails[tail] = self._encoded([tail.decode("ascii")])[tail.decode("ascii")]
+                    ids += known
+                self[word] = ids
+                continue
             text = word.decode("utf-8", "surrogatepass")
             m = _LETTERS_MARKS.fullmatch(text)
             # letters must stay letters when the tokenizer normalises them
             if m and unicodedata.normalize("NFC", m[1]).lower().isalpha():
                 pairs[word] = m.groups()
-                if not m[1].isascii():
-                    letters.add(m[1])
+                letters.add(m[1])
                 if m[2]:
                     marks.add(m[2])
             else:
@@ -79,9 +101,7 @@ class WordIds(dict):
         for text in marks:
             self[text.encode("utf-8", "surrogatepass")] = parts[text]
         for word, (first, last) in pairs.items():
-            # nothing is normalised in lower-case ASCII letters, so the model can take the word as it is
-            ids = parts.get(first) or array("I", [t.id for t in self.model.tokenize(first.lower())]).tobytes()
-            self[word] = ids + parts[last] if last else ids
+            self[word] = parts[first] + parts[last] if last else parts[first]
 
     def _encoded(self, texts: list[str]) -> dict[str, bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -104,14 +124,14 @@ class WordIds(dict):
         return out
 
 
-def token_ids(texts: list[str | None], held: WordIds) -> list[np.ndarray]:
+def token_ids(texts: list[bytes | None], held: WordIds) -> list[np.ndarray]:
     """Ids of each text, by its words: no token crosses white space, and letter case does not matter."""
     split = []
     for t in texts:
-        raw = (t or "").encode("utf-8", "surrogatepass")
+        raw = t or b""
         # written in lower case a special token's name would become one
         split.append((raw if b"<|" in raw else raw.lower()).split())
-    held.learn(set().union(*split))
+    held.learn(split)
     return [np.frombuffer(b"".join(map(held.__getitem__, words)), dtype="<u4") for words in split]
 
 
@@ -126,69 +146,92 @@ def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str) -> DataFr
             ids = [x.astype(width).tobytes() for x in token_ids(b.column("text").to_pylist(), held)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
 def id_width(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def document_frequencies(rows: DataFrame, width: str, window: int) -> tuple[int, float, np.ndarray]:
-    """Number of texts, mean length of what is left after whole windows, and texts per id (one number per vocabulary entry)."""
+def document_frequencies(rows: DataFrame, width: str) -> tuple[int, float, np.ndarray]:
+    """Number of texts, their mean length, and texts per id (one number per vocabulary entry)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, left = np.zeros(1 << 16, dtype=np.int64), 0, 0
+        counts, n, length = np.zeros(1 << 16, dtype=np.int64), 0, 0
         for b in batches:
             for x in b.column("ids"):
                 ids = np.frombuffer(x.as_buffer(), dtype=width)
-                n, left = n + 1, left + len(ids) % window
+                n, length = n + 1, length + len(ids)
                 if len(ids):
                     found = np.unique(ids)
                     if found[-1] >= len(counts):
                         counts = np.concatenate([counts, np.zeros(int(found[-1]) + 1 - len(counts), dtype=np.int64)])
                     counts[found] += 1
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], used])), pa.array(np.concatenate([[n, left], counts[used]]))], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], used])), pa.array(np.concatenate([[n, length], counts[used]]))], ["term", "n"])
 
     sums = {r["term"]: r["n"] for r in rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, left = sums.pop(-2, 0), sums.pop(-1, 0)
+    n, length = sums.pop(-2, 0), sums.pop(-1, 0)
     df = np.zeros(max(sums, default=0) + 1, dtype=np.int64)
     df[list(sums)] = list(sums.values())
-    return n, left / max(n, 1), df
+    return n, length / max(n, 1), df
+
+
+def routed(rows: DataFrame, idf, width: str) -> DataFrame:
+    """`rows` ranged by content: texts agree in a route as likely as their sets of terms, weighted by idf, overlap.
+
+    The id's hash comes last, so a large group of like texts is spread over several tasks. Tasks are as many as the data fills.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, _ = idf.value
+        rng = np.random.default_rng(6)
+        with np.errstate(divide="ignore"):
+            draws = [np.where(weights > 0, rng.exponential(size=len(weights)) / weights, np.inf).astype(np.float32) for _ in range(2)]
+        for b in batches:
+            routes = ([], [])
+            for x in b.column("ids"):
+                ids = np.frombuffer(x.as_buffer(), dtype=width)
+                for d, out in zip(draws, routes, strict=True):
+                    out.append(int(ids[d[ids].argmin()]) if len(ids) else -1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(routes[0], pa.int32()), pa.array(routes[1], pa.int32())], ["id", "ids", "r1", "r2"])
+
+    by = ["r1", "r2", F.xxhash64("id"), "id"]
+    return rows.mapInArrow(run, f"id {kind}, ids binary, r1 int, r2 int").repartitionByRange(*by).sortWithinPartitions(*by).select("id", "ids")
 
 
 class Shard:
     """Inverted index of up to SHARD_DOCS pieces and the greedy filling of windows from it."""
 
     def __init__(self, pieces: list[tuple], idf: np.ndarray, mean: float, window: int):
-        # a piece: (document, first id, ids); documents are numbered by the caller
-        self.pieces, self.window = pieces, window
+        # a piece: (document, first id, ids, terms of its document, their frequencies, its length); documents are numbered by the caller
+        self.pieces, self.window = [p[:3] for p in pieces], window
         self.at = [0] * len(pieces)
         self.unused = np.ones(len(pieces), dtype=bool)
-        terms, docs, weights, self.queries = [], [], [], []
-        for i, (_, _, ids) in enumerate(pieces):
-            found, tf = np.unique(ids, return_counts=True)
-            gain = idf[np.minimum(found, len(idf) - 1)]
-            found, tf, gain = found[gain > 0], tf[gain > 0], gain[gain > 0]
-            w = gain * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / max(mean, 1.0)))
-            terms.append(found)
-            docs.append(np.full(len(found), i))
-            weights.append(w)
-            self.queries.append(found[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
-        terms = np.concatenate(terms)
+        sizes = [len(p[3]) for p in pieces]
+        terms = np.concatenate([p[3] for p in pieces])
+        tf = np.concatenate([p[4] for p in pieces]).astype(np.float64)
+        norm = np.repeat([K1 * (1 - B + B * p[5] / max(mean, 1.0)) for p in pieces], sizes)
+        gain = idf[np.minimum(terms, len(idf) - 1)]
+        weights = gain * tf * (K1 + 1) / (tf + norm)
+        docs = np.repeat(np.arange(len(pieces)), sizes)
+        used = gain > 0
+        terms, weights, docs = terms[used], weights[used], docs[used]
+        self.cuts = np.searchsorted(docs, np.arange(len(pieces) + 1))
         order = np.argsort(terms, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
-        self.terms, starts = np.unique(terms[order], return_index=True)
-        self.starts = np.append(starts, len(order))
+        self.docs, self.weights = docs[order], weights[order]
+        _, self.queries, self.sizes = np.unique(terms, return_inverse=True, return_counts=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused pieces by falling BM25 score for the seed's query, ties in order; strangers last."""
-        score = np.zeros(len(self.pieces))
-        for t in np.searchsorted(self.terms, self.queries[seed]):
-            lo, hi = self.starts[t], self.starts[t + 1]
-            score[self.docs[lo:hi]] += self.weights[lo:hi]
-        order = np.argsort(-score, kind="stable")
-        return order[self.unused[order]]
+        """Unused pieces by falling BM25 score for all terms of the seed, ties in order; strangers last."""
+        query = self.queries[self.cuts[seed]:self.cuts[seed + 1]]
+        sizes = self.sizes[query]
+        take = np.repeat(self.starts[query] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        score = np.bincount(self.docs[take], self.weights[take], len(self.pieces))
+        left = np.flatnonzero(self.unused)
+        return left[np.argsort(-score[left], kind="stable")]
 
     def windows(self) -> Iterator[list[tuple]]:
         """Windows as lists of (document, first id, ids); all but the last are full."""
@@ -250,9 +293,10 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
     content = Path(tokenizer_path).read_bytes()  # the driver's file; tasks get its content
     width = id_width(load_tokenizer(content))
     rows = stored(tokenised(docs, content, text, id_col))
-    n, mean, df = document_frequencies(rows, width, window)
+    n, mean, df = document_frequencies(rows, width)
     # texts that contain a term in more than half of the cases say nothing about it: weight 0
-    idf = docs.sparkSession.sparkContext.broadcast((np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0) * (df > 0), mean))
+    idf = docs.sparkSession.sparkContext.broadcast(((np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0) * (df > 0)).astype(np.float32), mean))
+    rows = routed(rows, idf, width)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -278,6 +322,9 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
             rows_out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+        def piece(doc, ids: np.ndarray, first: int) -> tuple:
+            return (doc, len(ids)), first, ids[first:], *np.unique(ids[:-1], return_counts=True), len(ids) - 1
+
         pool: list[tuple] = []
         for b in batches:
             id_type = b.column("id").type
@@ -287,7 +334,7 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
                 for at in range(0, whole, window):
                     emit([((doc, len(ids)), at, ids[at:at + window])])
                 if whole < len(ids):
-                    pool.append(((doc, len(ids)), whole, ids[whole:]))
+                    pool.append(piece(doc, ids, whole))
                 if len(pool) >= shard_docs:
                     last = None
                     for pieces in Shard(pool, weights, average, window).windows():
@@ -295,7 +342,8 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
                             emit(pieces)
                         else:
                             last = pieces
-                    pool = list(last or [])
+                    # a short window's pieces go on as pieces of their own
+                    pool = [((d, total), first, part, *np.unique(part, return_counts=True), len(part)) for (d, total), first, part in last or []]
                 if len(rows_out) >= 5000:
                     yield flushed()
         if pool:
