@@ -4,14 +4,16 @@ A shard holds texts of one language as word numbers, 0 between pieces that no ph
 is bidirectional: the Burrows-Wheeler transforms of the word sequence and of its reverse, sorted by CONTEXT
 words, which is enough for phrases shorter than that. A phrase is an interval in both;
 one backward step extends all intervals of a level to the left, and the
-reversed interval, kept in step, gives the words to the right. Counts of a level are summed across shards, and only phrases
-that are frequent everywhere together are extended at the next. Shards learn which those are from a Bloom filter of bounded
-size, whose false hits cost time but change nothing, since sums decide.
+reversed interval, kept in step, gives the words to the right. Levels are first counted by key: a key has 20 bits and the number of a
+part, so sums across shards are never below a phrase's count, and only phrases whose parts may be frequent everywhere
+together are extended at the next level. A last pass counts what is left by its words. Shards learn which keys are left from a Bloom filter of
+bounded size; its false hits and keys that coincide cost time but change nothing, since the last sums decide.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.llm.common import arrow_batches, shipped, stored
-from memberlens.llm.wordhash import Words
+from memberlens.llm.wordhash import Words, mixed
 
 shipped(__name__)
 
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words of a candidate
 TOP = 2000  # phrases reported per language
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 3 << 18
 CONTEXT = 8  # words that suffixes are sorted by
+KEY_BITS = 20  # bits of a key beside its part; parts are as many as shuffle partitions, so a part's phrases do not grow with the data
 BITS = 16  # bits of the filter per phrase
 BLOCK = 1 << 15  # fixed value: bits of one bitmap of bitmap_construct_agg
 MOST_BLOCKS = 4096  # of a filter: 16 MB
@@ -82,7 +85,7 @@ def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Indexes of all texts: (lang, words, forward, backward); a task closes a shard of about `shard_words` words per language."""
+    """Indexes of all texts: (lang, n, words, forward, backward), n the number of words; a task closes a shard of about `shard_words` words per language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -91,8 +94,8 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words:
         def index(name: str) -> pa.RecordBatch:
             words, sequence = numbered(held.pop(name))
             sizes.pop(name)
-            row = [name], [b"\n".join(words)], [transform(sequence).tobytes()], [transform(sequence[::-1]).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["lang", "words", "forward", "backward"])
+            row = [name], [int(np.count_nonzero(sequence))], [b"\n".join(words)], [transform(sequence).tobytes()], [transform(sequence[::-1]).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.string(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["lang", "n", "words", "forward", "backward"])
 
         for b in batches:
             for name, t in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
@@ -107,7 +110,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words:
             yield index(name)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("_lang"), F.col(text).cast("string").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "lang string, words binary, forward binary, backward binary")
+    return rows.mapInArrow(run, "lang string, n long, words binary, forward binary, backward binary")
 
 
 class Filter:
@@ -208,60 +211,184 @@ def extended(level: Level, forward: Index, hashes: np.ndarray) -> Level:
     return Level(np.concatenate([word[:, None], level.words[owner]], axis=1), lo, size, back, key_of(level.keys[owner], hashes[word]))
 
 
-def level_counts(indexes: DataFrame, size: int, filters: list, sides: bool) -> DataFrame:
-    """Phrases of `size` words per shard: lang, phrase, key, n and, if asked for, the hash of the only word on its left and right.
+def reduced(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A key's part and its lower KEY_BITS bits, as one number."""
+    return (((keys >> np.uint64(32)) % np.uint64(parts)) << np.uint64(KEY_BITS)) | (keys & np.uint64((1 << KEY_BITS) - 1))
 
-    `filters` are the frequent phrases of 1, 2, ... words, broadcast.
-    """
+
+def gaps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as 16-bit steps, 65535 for a step without a number; all low bytes before all high ones."""
+    step = np.diff(numbers, prepend=0)
+    skips = step // 65535
+    out = np.full(int(skips.sum()) + len(step), 65535, np.uint16)
+    out[np.cumsum(skips + 1) - 1] = step % 65535
+    return out.view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def without_gaps(data: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+    return np.cumsum(step, dtype=np.int64)[step != 65535]
+
+
+def levels(words: bytes, forward: bytes, lang: str, filters: list[Filter], parts: int) -> Iterator[tuple[Level, Index, np.ndarray, list[bytes]]]:
+    """Phrases of 1, 2, ... words of a shard: of each level those whose parts pass the filters, one level more than there are filters."""
+    names = words.split(b"\n")
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
+    ahead = Index(forward, len(names))
+    level = single_words(ahead, hashes)
+    for f in filters:
+        level = level.only(f.holds(mixed(reduced(level.keys, parts))))
+        yield level, ahead, hashes, names
+        level = extended(level, ahead, hashes)
+    yield level, ahead, hashes, names
+
+
+def frequent_keys(indexes: DataFrame, filters: list, parts: int, least: int) -> DataFrame:
+    """Keys (mixed) of the next level that come to `least` occurrences across shards. Counts are sent part by part as arrays."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
+        for b in batches:
+            for lang, words, forward in zip(*(b.column(c) for c in ("lang", "words", "forward")), strict=True):
+                level = None
+                for level, *_ in levels(words.as_py(), forward.as_py(), lang.as_py(), known, parts):
+                    pass
+                if not len(level.keys):
+                    continue
+                keys = reduced(level.keys, parts)
+                order = np.argsort(keys)
+                keys, n = keys[order], level.size[order]
+                part, low = (keys >> np.uint64(KEY_BITS)).astype(np.int64), (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+                small = np.minimum(n, 255).astype(np.uint8)
+                used, at = np.unique(part, return_index=True)
+                cut = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+                data = [zlib.compress(gaps(low[x:y]) + small[x:y].tobytes(), 1) for x, y in cut]
+                columns = [used, [y - x for x, y in cut], data, [n[x:y][small[x:y] == 255].tobytes() for x, y in cut]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "size", "data", "large"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        current = None
+
+        def summed() -> pa.RecordBatch:
+            keys, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            often = keys[at][np.add.reduceat(n, at) >= least].astype(np.uint64) | np.uint64(current << KEY_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(mixed(often).view(np.int64))], ["key"])
+
+        for b in batches:
+            for part, size, data, large in zip(*(b.column(c).to_pylist() for c in ("part", "size", "data", "large")), strict=True):
+                if held and part != current:
+                    yield summed()
+                current = part
+                data = zlib.decompress(data)
+                n = np.frombuffer(data[-size:], np.uint8).astype(np.int64)
+                n[n == 255] = np.frombuffer(large, np.int64)
+                held.append((without_gaps(data[:-size]), n))
+        if held:
+            yield summed()
+
+    pieces = indexes.select("lang", "words", "forward").mapInArrow(count, "part int, size int, data binary, large binary")
+    return pieces.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "key long")
+
+
+def words_of_pairs(indexes: DataFrame, filters: list, parts: int) -> DataFrame:
+    """Keys (mixed) of the words that occur in pairs which pass the filters: no other word is part of a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
+        for b in batches:
+            for lang, words, forward in zip(*(b.column(c) for c in ("lang", "words", "forward")), strict=True):
+                for level, _, hashes, _ in levels(words.as_py(), forward.as_py(), lang.as_py(), known, parts):
+                    if level.words.shape[1] == 2:
+                        used = np.unique(level.words)
+                        keys = np.unique(mixed(reduced(key_of(np.zeros(len(used), np.uint64), hashes[used]), parts)))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                        break
+
+    return indexes.select("lang", "words", "forward").mapInArrow(run, "key long").distinct()
+
+
+def phrase_counts(indexes: DataFrame, filters: list, parts: int, least: int) -> DataFrame:
+    """Phrases that pass the filters of their length and occur `least` times: lang, size, phrase, n, inner.
+
+    Shards send their phrases part by part with counts and, where all occurrences have the same word to the left or right, its hash.
+    """
+    longest = len(filters)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
         for b in batches:
             for lang, words, forward, backward in zip(*(b.column(c) for c in ("lang", "words", "forward", "backward")), strict=True):
-                lang, names = lang.as_py(), words.as_py().split(b"\n")
-                seed = xxhash.xxh32_intdigest(lang.encode())
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
-                ahead = Index(forward.as_py(), len(names))
-                level = single_words(ahead, hashes)
-                for f in known:
-                    level = extended(level.only(f.holds(level.keys)), ahead, hashes)
-                if not len(level.lo):
-                    continue
-                left = ahead.only_word(level.lo, level.size) if sides else np.zeros(len(level.lo), np.int64)
-                right = Index(backward.as_py(), len(names)).only_word(level.back, level.size) if sides else left
-                for lo in range(0, len(level.lo), 100_000):
-                    at = slice(lo, lo + 100_000)
-                    phrases = [b" ".join([names[i] for i in p]) for p in level.words[at].tolist()]
-                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(level.keys[at].view(np.int64)), pa.array(level.size[at]),
-                               *[pa.array(hashes[x[at]].view(np.int64), mask=x[at] == 0) for x in (left, right)]]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "key", "n", "left", "right"])
+                lang, backward = lang.as_py(), backward.as_py()
+                behind, phrases, numbers = None, [], []
+                for size, (level, ahead, hashes, names) in zip(range(1, longest + 1), levels(words.as_py(), forward.as_py(), lang, known, parts), strict=False):
+                    behind = behind or Index(backward, len(names))
+                    sides = [np.zeros(len(level.lo), np.int64)] * 2
+                    if 1 < size < longest:
+                        sides = [ahead.only_word(level.lo, level.size), behind.only_word(level.back, level.size)]
+                    phrases += [b" ".join([names[i] for i in p]) for p in level.words.tolist()]
+                    numbers.append(np.stack([level.size, *[np.where(x > 0, hashes[x].view(np.int64), 0) for x in sides]], axis=1))
+                if phrases:
+                    numbers = np.concatenate(numbers)
+                    by_part: dict[int, list[int]] = {}
+                    for i in sorted(range(len(phrases)), key=phrases.__getitem__):
+                        by_part.setdefault(zlib.crc32(phrases[i]) % parts, []).append(i)
+                    rows = [(part, lang, zlib.compress(b"\n".join([phrases[i] for i in of]), 1), zlib.compress(numbers[of].T.tobytes(), 1)) for part, of in by_part.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "lang", "phrases", "numbers"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], list[int]] = {}
+        current = None
+
+        def summed() -> pa.RecordBatch:
+            rows = [(lang, p.count(b" ") + 1, p, n, bool(left or right)) for (lang, p), (n, left, right) in held.items() if n >= least]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()), strict=True)],
+                                              ["lang", "size", "phrase", "n", "inner"])
 
-    read = indexes if sides else indexes.withColumn("backward", F.lit(b""))
-    return read.mapInArrow(run, "lang string, phrase binary, key long, n long, left long, right long")
+        for b in batches:
+            for part, lang, phrases, numbers in zip(*(b.column(c).to_pylist() for c in ("part", "lang", "phrases", "numbers")), strict=True):
+                if held and part != current:
+                    yield summed()
+                current = part
+                for p, n, left, right in zip(zlib.decompress(phrases).split(b"\n"), *np.frombuffer(zlib.decompress(numbers), np.int64).reshape(3, -1).tolist(), strict=True):
+                    seen = held.get((lang, p))
+                    if seen is None:
+                        held[lang, p] = [n, left, right]
+                    else:
+                        seen[0] += n
+                        if seen[1] != left:
+                            seen[1] = 0
+                        if seen[2] != right:
+                            seen[2] = 0
+        if held:
+            yield summed()
+
+    pieces = indexes.select("lang", "words", "forward", "backward").mapInArrow(count, "part int, lang string, phrases binary, numbers binary")
+    dealt = pieces.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "lang string, size int, phrase binary, n long, inner boolean")
 
 
 def frequent_phrases(indexes: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """Phrases of up to `longest` words with `least` occurrences, and the number of words per language (lang, total).
+    """Candidates of up to `longest` words with `least` occurrences and the words they consist of, and the number of words per language (lang, total).
 
     The phrases are (lang, size, phrase, n, inner); inner if every occurrence has the same word before it, or behind it.
     """
     if longest >= CONTEXT:
         raise ValueError(f"phrases have fewer than {CONTEXT} words")
-    spark, filters, out, total = indexes.sparkSession, [], [], None
-    same = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
-    for size in range(1, longest + 1):
-        counts = level_counts(indexes, size, filters, sides=1 < size < longest)
-        if size == 1:
-            found = stored(counts.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n")))
-            total = found.groupBy("lang").agg(F.sum("n").alias("total"))
-            found = found.where(F.col("n") >= least).withColumn("inner", F.lit(False))
-        else:
-            grouped = counts.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n"), F.coalesce(same("left") | same("right"), F.lit(False)).alias("inner"))
-            found = stored(grouped.where(F.col("n") >= least))
-        out.append(found.select("lang", F.lit(size).alias("size"), F.col("phrase").cast("string").alias("phrase"), "n", "inner"))
-        if size < longest:
-            filters.append(spark.sparkContext.broadcast(phrase_filter(found)))
-    return functools.reduce(DataFrame.unionByName, out), total
+    spark, filters = indexes.sparkSession, []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(longest):
+        filters.append(spark.sparkContext.broadcast(phrase_filter(stored(frequent_keys(indexes, filters, parts, least)))))
+    if longest > 1:
+        filters[0] = spark.sparkContext.broadcast(phrase_filter(stored(words_of_pairs(indexes, filters[:2], parts))))
+    phrases = phrase_counts(indexes, filters, parts, least).select("lang", "size", F.col("phrase").cast("string").alias("phrase"), "n", "inner")
+    return phrases, indexes.groupBy("lang").agg(F.sum("n").alias("total"))
 
 
 def scored(phrases: DataFrame, total: DataFrame) -> DataFrame:
@@ -286,12 +413,22 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     candidate. Null texts are empty; a null language is `und`. Ties go by count, then phrase. Repeated rows count each
     time; other columns are not read; an empty table gives an empty result.
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     indexes = stored(shards(docs, text, lang, shard_words))
-    phrases, total = frequent_phrases(indexes, least, longest)
+    arrow_batches(spark, rows=1)  # a shard is some megabytes: one at a time in memory
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(reader)
+    spark.conf.set(reader, "1")
+    try:
+        phrases, total = frequent_phrases(indexes, least, longest)
+        phrases = stored(phrases)
+    finally:
+        spark.conf.set(reader, before)
+        arrow_batches(spark)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the best of each of SALTS parts of a language, then the best of those: no task sees a whole language
     part = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    some = scored(stored(phrases), total).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    some = scored(phrases, total).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
