@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.operators import clean, contact, outputs
+from memberlens.operators import clean, contact, drift, outputs
 from memberlens.operators.features import add_panel_deltas, add_segment_history, add_velocity, behavioural_features, engineer_features, prior_value
-from memberlens.operators.segments import SegmentModel, fit_segments, name_segments, profile_clusters
+from memberlens.operators.segments import SegmentModel, fit_segments, name_segments, profile_clusters, quality
 from memberlens.operators.snapshot import build_snapshots
 from memberlens.operators.states import classify_states
 from memberlens.operators.transitions import TransitionModel, build_pairs, model_columns, train_transition_model, walk_forward
@@ -82,3 +82,17 @@ def score(members: DataFrame, transactions: DataFrame, events: DataFrame, date:
     result["segment_profiles"] = outputs.segment_profiles(combined, segments.columns, segments.names)
     write_json(result["segment_profiles"], f"{path}/segment_profiles")
     return result
+
+
+def check_drift(reference: DataFrame, current: DataFrame, model: SegmentModel, columns: Sequence[str], fail: bool = True) -> DataFrame:
+    """The drift verdict of one month of the panel against another, under the frozen segments, stored.
+
+    Covers features, segment and state mix, and the quality of the clusters. With `fail` the run ends with an error if retraining is recommended.
+    """
+    assigned = [cut_lineage(model.assign(m.drop("segment_id", "segment_name"), keep_point=True).select("segment_id", "state_name", "point")) for m in (reference, current)]
+    ch = [quality(a, "segment_id")["calinski_harabasz"] for a in assigned]
+    mixes = [drift.total_variation(drift.mix_shift(*assigned, c)) for c in ("segment_id", "state_name")]
+    verdict = cut_lineage(drift.drift_verdict(drift.feature_drift(reference, current, columns), *mixes, *ch))
+    if fail:
+        drift.require_healthy(verdict)
+    return verdict

@@ -117,6 +117,11 @@ def test_whole_run(spark, tmp_path):
     assert out["segment_profiles"].count() == 3
     with pytest.raises(AssertionError):
         outputs.require_contract(outputs.contract_check(out["segment_assignments"].limit(3), spine, outputs.segment_rules(["S01", "S02", "S03"])))
+    before = segments.identity()
+    one = panel.where(F.col("observation_date") == F.lit(MONTHS[3]).cast("timestamp"))
+    assert scoring.check_drift(one, one, segments, segments.columns).first().verdict == "HEALTHY" and segments.identity() == before
+    with pytest.raises(RuntimeError):
+        scoring.check_drift(one, one.withColumn("spend_total_30d", F.col("spend_total_30d") * 5 + 100), segments, segments.columns)
     scored = model.predict(transitions.build_pairs(segments.assign(panel), segments.columns))
     explained = attribution.contributions(scored, model, attribution.feature_means(scored, model.columns), F.col("seg_pred"))
     attribution.assert_additive(explained, 1e-6)
