@@ -148,7 +148,8 @@ class BoostedModel:
         """Adds `proba`."""
         out = model_matrix(df, self.columns, "_features")
         for c, model in enumerate(self.classifiers):
-            out = model.transform(out).withColumn(f"_p{c}", vector_to_array("_prob")[1]).drop("_raw", "_prob", "_pred")
+            margin, probability = model.getRawPredictionCol(), model.getProbabilityCol()
+            out = model.transform(out).withColumn(f"_p{c}", vector_to_array(probability)[1]).drop(margin, probability, "_pred")
         parts = [f"_p{c}" for c in range(len(self.classifiers))]
         return out.withColumn("proba", renormalised(F.array(*[F.col(p) for p in parts]))).drop("_features", *parts)
 
@@ -165,7 +166,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame, columns: Sequence[str],
     matrix = cut_lineage(model_matrix(both, columns, "_features", keep=["seg_next", "weight", "_validation"]), spread=True)
 
     def fit(c: int) -> GBTClassificationModel:
-        estimator = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred",
+        estimator = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", predictionCol="_pred",
                                   validationIndicatorCol="_validation", validationTol=tolerance, maxIter=max_trees, maxDepth=depth, stepSize=rate, seed=42)
         return estimator.fit(matrix.withColumn("_label", (F.col("seg_next") == c).cast("double")))
 

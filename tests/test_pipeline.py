@@ -214,3 +214,14 @@ def test_contract_is_checked_in_the_write(frame, spark, tmp_path):
     assert sorted(r.member_id for r in spark.read.option("header", True).csv(path).collect()) == ["A", "B"]
     outputs.write_checked(frame([("C", "S01", 0.1)], schema), path, 1, rules)
     assert [r.member_id for r in spark.read.option("header", True).csv(path).collect()] == ["C"]
+
+
+def test_boosting_stops_when_validation_no_longer_improves(spark):
+    rows = spark.range(300).selectExpr("concat('M', id) AS member_id", "cast((id * 37) % 101 as double) AS a", "cast(xxhash64(id) % 1000 as double) AS noise",
+                                       "cast((id * 37) % 101 > 50 as int) AS seg_next", "cast(pmod(xxhash64(id, 5), 2) as int) AS chance")
+    train, validation = rows.where("member_id < 'M2'"), rows.where("member_id >= 'M2'")
+    model = transitions.fit_boosted(train, validation, ["a", "noise"], 2, max_trees=8)
+    scored = model.predict(validation).collect()
+    assert all(abs(sum(r.proba) - 1) < 1e-9 for r in scored) and sum((r.proba[1] > 0.5) == (r.seg_next == 1) for r in scored) > 0.9 * len(scored)
+    useless = transitions.fit_boosted(train.drop("seg_next").withColumnRenamed("chance", "seg_next"), validation.drop("seg_next").withColumnRenamed("chance", "seg_next"), ["a", "noise"], 2, max_trees=8)
+    assert all(kept < 8 and most == 8 for kept, most in useless.stops)
