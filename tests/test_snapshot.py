@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -157,3 +158,15 @@ def test_plan_needs_no_wide_member_shuffle_for_snapshots(frame):
     plan = snapshot.build_snapshots(members.select("member_id", "account_open_date"), txns, events, members, ["2025-11-30", OBS])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "partial_sum" in text and "partial_min" in text
+
+
+def test_spend_limits_do_not_depend_on_the_order_of_rows(frame):
+    """Amounts of the same total reach a limit in any order; plain sums of doubles differ in the last bits."""
+    amounts = (174.55, 472.87, 252.58)
+    orders = list(permutations(amounts))
+    assert len({a + b + c for a, b, c in orders}) > 1 and max(a + b + c for a, b, c in orders) > 900
+    members = _members(frame, [(f"M{i}", D(2020, 1, 1), None) for i in range(len(orders))])
+    txns = _txn(frame, [(f"{i}-{j}", f"M{i}", D(2025, 12, 1), a, "purchase", "web", "c1", 5, 0) for i, o in enumerate(orders) for j, a in enumerate(o)])
+    events = _evt(frame, [("M0", D(2025, 12, 24), "app_open", 30.0)])
+    out = snapshot.build_snapshots(members.select("member_id", "account_open_date"), txns.coalesce(1), events, members, [OBS])
+    assert {r.spend_total_90d for r in out.collect()} == {900.0}
