@@ -163,7 +163,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame, columns: Sequence[str],
     """
     both = (balanced_weights(train, "seg_next").withColumn("_validation", F.lit(False))
             .unionByName(balanced_weights(validation, "seg_next").withColumn("_validation", F.lit(True))))
-    matrix = cut_lineage(model_matrix(both, columns, "_features", keep=["seg_next", "weight", "_validation"]), spread=True)
+    matrix = cut_lineage(model_matrix(both, columns, "_features", keep=["seg_next", "weight", "_validation"]), fine=True)
 
     def fit(c: int) -> GBTClassificationModel:
         estimator = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", predictionCol="_pred",
@@ -210,8 +210,8 @@ def boost_report(train: DataFrame, validation: DataFrame, columns: Sequence[str]
 def train_transition_model(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int,
                            kind: str = "linear", **params) -> TransitionModel:
     """Balanced weights, a boost of weak classes kept only if validation improves, and the rule picked on validation."""
-    validation = cut_lineage(validation, spread=True)
-    fits = weak_class_fits(cut_lineage(train, spread=True), validation, columns, n_classes, kind, **params)
+    validation = cut_lineage(validation, fine=True)
+    fits = weak_class_fits(cut_lineage(train, fine=True), validation, columns, n_classes, kind, **params)
     model = next(m for m, _, kept in fits if kept)
     scored = cut_lineage(model.predict(validation).select("member_id", "seg_next", "proba"))
     limits = {int(r.label): float(r.threshold) for r in best_thresholds(threshold_curves(scored, n_classes)).collect()}
@@ -224,7 +224,7 @@ def train_transition_model(train: DataFrame, validation: DataFrame, columns: Seq
 def parameter_search(train: DataFrame, validation: DataFrame, columns: Sequence[str], n_classes: int, grid: dict[str, Sequence],
                      sample_size: int = 200_000, kind: str = "linear") -> tuple[DataFrame, dict]:
     """Search on a stratified sample of at most about `sample_size` labelled rows, then refit baseline and best on all rows and compare them by the same rule."""
-    small = cut_lineage(stratified_sample(train, "seg_next", sample_size), spread=True)
+    small = cut_lineage(stratified_sample(train, "seg_next", sample_size), fine=True)
     rows, best = [], None
     for values in product(*grid.values()):
         params = dict(zip(grid, values))
@@ -245,7 +245,7 @@ def downstream_check(panel: DataFrame, candidates: dict, feature_columns: Sequen
     for name, model in candidates.items():
         labelled = model.assign(panel.drop("segment_id", "segment_name")).select(*[c for c in panel.columns if c != "segment_name"]
                                                                                   if "segment_id" in panel.columns else [*panel.columns, "segment_id"])
-        pairs = cut_lineage(walk_forward(build_pairs(labelled, feature_columns)), spread=True)
+        pairs = cut_lineage(walk_forward(build_pairs(labelled, feature_columns)), fine=True)
         train, validation = pairs.where("split = 'train'"), pairs.where("split = 'validation'")
         k = len(model.centroids)
         fitted = _fit(train, model_columns(feature_columns), k, (), "linear")

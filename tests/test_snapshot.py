@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 from itertools import permutations
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memberlens.operators import features, snapshot, tier
+from memberlens.session import cut_lineage
 
 OBS = "2025-12-31"
 D = dt.datetime
@@ -170,3 +172,20 @@ def test_spend_limits_do_not_depend_on_the_order_of_rows(frame):
     events = _evt(frame, [("M0", D(2025, 12, 24), "app_open", 30.0)])
     out = snapshot.build_snapshots(members.select("member_id", "account_open_date"), txns.coalesce(1), events, members, [OBS])
     assert {r.spend_total_90d for r in out.collect()} == {900.0}
+
+
+def test_rows_per_member_and_date_are_not_dealt_again(frame):
+    """Facts meet the spine dealt by member; aggregates, joins and neighbouring months need no exchange by member and date."""
+    members = _members(frame, [("A", D(2020, 1, 1), None)])
+    txns = _txn(frame, [("1", "A", D(2025, 12, 1), 10.0, "purchase", "web", "c1", 5, 0)])
+    events = _evt(frame, [("A", D(2025, 12, 24), "app_open", 30.0)])
+    panel = features.engineer_features(snapshot.build_snapshots(members.select("member_id", "account_open_date"), txns, events, members, ["2025-11-30", OBS]))
+    text = panel._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", text)
+    assert dealt and not [keys for keys in dealt if "observation_date" in keys or "kind" in keys or "step" in keys]
+
+
+def test_stored_stages_are_not_dealt_round_robin(frame):
+    df = frame([(i, float(i)) for i in range(1000)], "k long, v double").coalesce(1)
+    kept = cut_lineage(df, fine=True)
+    assert len(kept.inputFiles()) == 1 and kept.count() == 1000
