@@ -52,6 +52,17 @@ def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
 
 
+def widened(x: np.ndarray) -> np.ndarray:
+    """Columns that a cluster adds up: 1, squared norm, coordinates."""
+    return np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])
+
+
+def assigned_sums(wide: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per cluster the sums of the nearest rows' columns: two products of matrices, none per row and cluster."""
+    nearest = ((centres * centres).sum(axis=1)[:, None] - 2.0 * (centres @ wide[:, 2:].T)).argmin(axis=0)
+    return (nearest == np.arange(len(centres))[:, None]).astype(float) @ wide
+
+
 def moved(sums: np.ndarray, counts: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Means of the clusters; an empty cluster keeps its centre."""
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
@@ -68,11 +79,10 @@ def start(sample: np.ndarray, spec: Spec, number: int, max_iter: int) -> np.ndar
         pick = rng.integers(len(x)) if total <= 0 else min(int(np.searchsorted(np.cumsum(nearest), rng.random() * total)), len(x) - 1)
         centres = np.concatenate([centres, x[pick][None, :]])
         nearest = np.minimum(nearest, ((x - x[pick]) ** 2).sum(axis=1))
+    wide = widened(x)
     for _ in range(max_iter):
-        label = squared_distances(x, centres).argmin(axis=1)
-        counts = np.bincount(label, minlength=spec.k)
-        sums = np.stack([np.bincount(label, x[:, d], spec.k) for d in range(x.shape[1])], axis=1)
-        new = moved(sums, counts, centres)
+        sums = assigned_sums(wide, centres)
+        new = moved(sums[:, 2:], sums[:, 0], centres)
         shift = np.sqrt(((new - centres) ** 2).sum(axis=1)).max()
         centres = new
         if shift <= TOLERANCE:
@@ -124,24 +134,24 @@ def _added(points: DataFrame, models: list[np.ndarray]) -> dict[tuple[int, int],
         total = [np.zeros((len(c), 3 + c.shape[1])) for c in centres]
         for b in batches:
             whole = _matrix(b)
+            wide = {d: widened(whole[:, :d]) for d in {c.shape[1] for c in centres}}
             for c, t in zip(centres, total, strict=True):
-                x = whole[:, :c.shape[1]]
-                d = squared_distances(x, c)
-                label = d.argmin(axis=1)
-                t[:, 0] += np.bincount(label, minlength=len(c))
-                t[:, 1] += np.bincount(label, d[np.arange(len(x)), label], len(c))
-                t[:, 2] += np.bincount(label, (x * x).sum(axis=1), len(c))
-                for j in range(x.shape[1]):
-                    t[:, 3 + j] += np.bincount(label, x[:, j], len(c))
-        for m, t in enumerate(total):
-            used = np.flatnonzero(t[:, 0])
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(list(t[used]), pa.list_(pa.float64()))], ["model", "cluster", "sums"])
+                sums = assigned_sums(wide[c.shape[1]], c)
+                t[:, 0] += sums[:, 0]
+                t[:, 1] += sums[:, 1] - 2.0 * (c * sums[:, 2:]).sum(axis=1) + (c * c).sum(axis=1) * sums[:, 0]
+                t[:, 2:] += sums[:, 1:]
+        # one batch a task: a batch for every model would cost more than its sums
+        rows = np.concatenate([np.column_stack([t, np.zeros((len(t), width - t.shape[1]))]) for t in total])
+        used = np.flatnonzero(rows[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(place[used, 0]), pa.array(place[used, 1]), *[pa.array(np.ascontiguousarray(rows[used, i])) for i in range(width)]], names)
 
     width = 3 + max(c.shape[1] for c in models)
-    parts = points.select("point").mapInArrow(run, "model int, cluster int, sums array<double>")
-    sums = parts.groupBy("model", "cluster").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(width)])
-    return {(r.model, r.cluster): np.array([x for x in r[2:] if x is not None]) for r in sums.collect()}
+    place = np.array([(m, c) for m, centres in enumerate(models) for c in range(len(centres))], dtype=np.int32)
+    names = ["model", "cluster", *[f"_{i}" for i in range(width)]]
+    parts = points.select("point").mapInArrow(run, "model int, cluster int, " + ", ".join(f"_{i} double" for i in range(width)))
+    sums = parts.groupBy("model", "cluster").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)]).toArrow()
+    found = np.column_stack([sums.column(n).to_numpy() for n in names])
+    return {(int(r[0]), int(r[1])): r[2:5 + models[int(r[0])].shape[1]] for r in found}
 
 
 def _table(sums: dict[tuple[int, int], np.ndarray], model: int, centres: np.ndarray) -> np.ndarray:
@@ -152,14 +162,27 @@ def _table(sums: dict[tuple[int, int], np.ndarray], model: int, centres: np.ndar
     return out
 
 
+def distinct(models: list[np.ndarray], among: Sequence[int], n_init: int) -> list[int]:
+    """Those of `among` that are the first start of their setting with these centres, in any order. Equal centres move alike."""
+    seen, out = set(), []
+    for m in among:
+        c = np.round(models[m], 9) + 0.0
+        key = m // n_init, c[np.lexsort(c.T[::-1])].tobytes()
+        if key not in seen:
+            seen.add(key)
+            out.append(m)
+    return out
+
+
 def fit_many(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: int = 300) -> list[Fit]:
     """The best of n_init fits of every spec on `point`. `points` should be stored: every pass reads it.
 
-    Passes end when no centre moves by more than TOLERANCE, or after max_iter of them.
+    Passes end when no centre moves by more than TOLERANCE, or after max_iter of them. Starts that have come to the same
+    centres go on as one.
     """
     models = starts(points, specs, n_init, max_iter)
     inertia = np.full(len(models), np.inf)
-    moving = list(range(len(models)))
+    moving = distinct(models, range(len(models)), n_init)
     for _ in range(max_iter):
         sums = _added(points, [models[m] for m in moving])
         still = []
@@ -170,7 +193,9 @@ def fit_many(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: in
             if np.sqrt(((new - models[m]) ** 2).sum(axis=1)).max() > TOLERANCE:
                 models[m] = new
                 still.append(m)
-        moving = still
+        moving = distinct(models, still, n_init)
+        for m in set(still) - set(moving):
+            inertia[m] = np.inf  # another start has these centres and goes on
         if not moving:
             break
     out = []
