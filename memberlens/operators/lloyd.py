@@ -4,6 +4,9 @@ All starts of all settings are updated by the same pass: a task assigns its rows
 and passes on one array of sums per model and cluster, which are added up in Spark. Starts come from
 a bounded sample, on which each is refined first; the passes over all rows then decide, and end
 when no centre moves any more. The quality figures of all models take two further passes.
+
+Points are stored as blocks of many rows, which tasks read as matrices. Points may belong to several populations
+(`part`) and to draws from them (bits of `draws`); models of different populations then share their passes.
 """
 
 from __future__ import annotations
@@ -11,27 +14,39 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.session import shipped
+from memberlens.session import cut_lineage, shipped
 
 shipped(__name__)
 
 SAMPLE_ROWS = 10_000  # rows that starts are taken from, at most
 TOLERANCE = 1e-4  # distance that a centre may still move when a fit ends
+BLOCK_ROWS = 8192
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What to fit: number of clusters, leading dimensions (None: all) and the seed of its starts."""
+    """What to fit: number of clusters, leading dimensions (None: all), the seed of its starts, the population and the draw (None: all of it)."""
 
     k: int
     dims: int | None = None
     seed: int = 42
+    part: int = 0
+    draw: int | None = None
+
+
+class Model(NamedTuple):
+    """Centres and the rows they are for."""
+
+    centres: np.ndarray
+    part: int = 0
+    draw: int | None = None
 
 
 @dataclass
@@ -90,29 +105,99 @@ def start(sample: np.ndarray, spec: Spec, number: int, max_iter: int) -> np.ndar
     return centres
 
 
-def _matrix(b: pa.RecordBatch, column: str = "point") -> np.ndarray:
-    values = b.column(column)
+def _matrix(values: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def _sample(points: DataFrame, seed: int) -> np.ndarray:
-    n = points.count()
-    share = 1.0 if n <= SAMPLE_ROWS else 1.1 * SAMPLE_ROWS / n
-    rows = (points if share >= 1 else points.where(F.rand(seed) < share)).select("point").limit(SAMPLE_ROWS).collect()  # SAMPLE_ROWS rows at most
-    return np.array([r.point for r in rows], dtype=float)
+def blocks(points: DataFrame) -> DataFrame:
+    """Points (`point`, perhaps `part` and `draws`) as matrices of at most BLOCK_ROWS rows of one population; blocks stay what they are."""
+    if "values" in points.columns:
+        return points
+    columns = {"part": F.lit(0), "draws": F.lit(0).cast("long")}
+    rows = points.select("point", *[(F.col(c) if c in points.columns else other).alias(c) for c, other in columns.items()])
+
+    def block(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        values, draws = (np.concatenate(a) for a in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(values)], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([draws.tobytes()], pa.binary())],
+                                          ["part", "n", "values", "draws"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            parts, draws = b.column("part").to_numpy(), b.column("draws").to_numpy()
+            for part in np.unique(parts).tolist():
+                mine = np.flatnonzero(parts == part)
+                x, d = _matrix(b.column("point").take(pa.array(mine))), draws[mine]
+                while len(x):
+                    room = BLOCK_ROWS - sum(len(v) for v, _ in held.setdefault(part, []))
+                    held[part].append((x[:room], d[:room]))
+                    x, d = x[room:], d[room:]
+                    if len(held[part][-1][0]) == room:
+                        yield block(part, held.pop(part))
+        for part, rest in held.items():
+            if rest:
+                yield block(part, rest)
+
+    return rows.mapInArrow(run, "part int, n int, values binary, draws binary")
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """The points stored as blocks, dealt evenly: a pass spends seconds of arithmetic on a megabyte."""
+    if "values" in points.columns:
+        return points
+    dealt = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(blocks(dealt.sortWithinPartitions("part") if "part" in points.columns else dealt), fine=True)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Population, points and draws of every block."""
+    for b in batches:
+        for part, n, values, draws in zip(*[b.column(c) for c in ("part", "n", "values", "draws")], strict=True):
+            yield part.as_py(), np.frombuffer(values.as_buffer(), float).reshape(n.as_py(), -1), np.frombuffer(draws.as_buffer(), np.int64)
+
+
+def _drawn(x: np.ndarray, draws: np.ndarray, draw: int | None) -> np.ndarray:
+    return x if draw is None else x[(draws >> draw) & 1 == 1]
+
+
+def _sample(points: DataFrame, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per population SAMPLE_ROWS of its rows at most, and the draws they are in."""
+    sizes = {r.part: r.n for r in points.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per population
+    shares = {part: 1.0 if n <= SAMPLE_ROWS else 1.1 * SAMPLE_ROWS / n for part, n in sizes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, draws in _opened(batches):
+            if shares[part] < 1:
+                mine = np.random.default_rng([seed, zlib.crc32(x)]).random(len(x)) < shares[part]
+                x, draws = x[mine], draws[mine]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([draws.tobytes()], pa.binary())],
+                                                 ["part", "n", "values", "draws"])
+
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in points.mapInArrow(run, "part int, n int, values binary, draws binary").collect():  # about SAMPLE_ROWS rows of each population
+        found.setdefault(r.part, []).append((np.frombuffer(r["values"], float).reshape(r.n, -1), np.frombuffer(r.draws, np.int64)))
+    out = {}
+    for part, held in found.items():
+        x, draws = (np.concatenate(a)[:SAMPLE_ROWS] for a in zip(*held, strict=True))
+        order = np.lexsort(x.T)  # starts of a whole population do not depend on how it is partitioned
+        out[part] = x[order], draws[order]
+    return out
 
 
 def starts(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: int) -> list[np.ndarray]:
     """n_init starts of every spec, refined side by side by the executors."""
     spark = points.sparkSession
-    sample = spark.sparkContext.broadcast(_sample(points, specs[0].seed))
-    if not len(sample.value):
+    rows = _sample(points, specs[0].seed)
+    if any(s.part not in rows or not len(_drawn(*rows[s.part], s.draw)) for s in specs):
         raise ValueError("there are no points to cluster")
+    sample = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for m in b.column("model").to_pylist():
-                centres = start(sample.value, specs[m // n_init], m % n_init, max_iter)
+                spec = specs[m // n_init]
+                centres = start(_drawn(*sample.value[spec.part], spec.draw), spec, m % n_init, max_iter)
                 yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([centres.ravel()], pa.list_(pa.float64()))], ["model", "centres"])
 
     count = len(specs) * n_init
@@ -121,22 +206,26 @@ def starts(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: int)
     return [found[m] for m in range(count)]
 
 
-def _added(points: DataFrame, models: list[np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+def _added(points: DataFrame, models: Sequence[Model | np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
     """Per model and cluster the sums of one pass: rows, squared distances, squared norms, coordinates.
 
-    The rows that come back are as many as there are centres, whatever the input.
+    The rows that come back are as many as there are centres, whatever the input. Only populations that have a model are read.
     """
     spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    models = [m if isinstance(m, Model) else Model(m) for m in models]
+    shared = spark.sparkContext.broadcast([tuple(m) for m in models])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        total = [np.zeros((len(c), 3 + c.shape[1])) for c in centres]
-        for b in batches:
-            whole = _matrix(b)
-            wide = {d: widened(whole[:, :d]) for d in {c.shape[1] for c in centres}}
-            for c, t in zip(centres, total, strict=True):
-                sums = assigned_sums(wide[c.shape[1]], c)
+        total = [np.zeros((len(c), 3 + c.shape[1])) for c, _, _ in shared.value]
+        for part, whole, draws in _opened(batches):
+            wide: dict[tuple[int, int | None], np.ndarray] = {}
+            for (c, own, draw), t in zip(shared.value, total, strict=True):
+                if own != part:
+                    continue
+                key = c.shape[1], draw
+                if key not in wide:
+                    wide[key] = widened(_drawn(whole, draws, draw)[:, :c.shape[1]])
+                sums = assigned_sums(wide[key], c)
                 t[:, 0] += sums[:, 0]
                 t[:, 1] += sums[:, 1] - 2.0 * (c * sums[:, 2:]).sum(axis=1) + (c * c).sum(axis=1) * sums[:, 0]
                 t[:, 2:] += sums[:, 1:]
@@ -145,13 +234,14 @@ def _added(points: DataFrame, models: list[np.ndarray]) -> dict[tuple[int, int],
         used = np.flatnonzero(rows[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(place[used, 0]), pa.array(place[used, 1]), *[pa.array(np.ascontiguousarray(rows[used, i])) for i in range(width)]], names)
 
-    width = 3 + max(c.shape[1] for c in models)
-    place = np.array([(m, c) for m, centres in enumerate(models) for c in range(len(centres))], dtype=np.int32)
+    width = 3 + max(m.centres.shape[1] for m in models)
+    place = np.array([(m, c) for m, model in enumerate(models) for c in range(len(model.centres))], dtype=np.int32)
     names = ["model", "cluster", *[f"_{i}" for i in range(width)]]
-    parts = points.select("point").mapInArrow(run, "model int, cluster int, " + ", ".join(f"_{i} double" for i in range(width)))
+    read = blocks(points).where(F.col("part").isin(sorted({m.part for m in models})))
+    parts = read.mapInArrow(run, "model int, cluster int, " + ", ".join(f"_{i} double" for i in range(width)))
     sums = parts.groupBy("model", "cluster").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)]).toArrow()
     found = np.column_stack([sums.column(n).to_numpy() for n in names])
-    return {(int(r[0]), int(r[1])): r[2:5 + models[int(r[0])].shape[1]] for r in found}
+    return {(int(r[0]), int(r[1])): r[2:5 + models[int(r[0])].centres.shape[1]] for r in found}
 
 
 def _table(sums: dict[tuple[int, int], np.ndarray], model: int, centres: np.ndarray) -> np.ndarray:
@@ -175,16 +265,17 @@ def distinct(models: list[np.ndarray], among: Sequence[int], n_init: int) -> lis
 
 
 def fit_many(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: int = 300) -> list[Fit]:
-    """The best of n_init fits of every spec on `point`. `points` should be stored: every pass reads it.
+    """The best of n_init fits of every spec on `point`. Every pass reads all points: they are packed once, unless they are.
 
     Passes end when no centre moves by more than TOLERANCE, or after max_iter of them. Starts that have come to the same
     centres go on as one.
     """
+    points = packed(points)
     models = starts(points, specs, n_init, max_iter)
     inertia = np.full(len(models), np.inf)
     moving = distinct(models, range(len(models)), n_init)
     for _ in range(max_iter):
-        sums = _added(points, [models[m] for m in moving])
+        sums = _added(points, [Model(models[m], specs[m // n_init].part, specs[m // n_init].draw) for m in moving])
         still = []
         for at, m in enumerate(moving):
             t = _table(sums, at, models[m])
@@ -207,7 +298,7 @@ def fit_many(points: DataFrame, specs: Sequence[Spec], n_init: int, max_iter: in
 
 def measure_many(points: DataFrame, models: Sequence[np.ndarray]) -> list[dict[str, float]]:
     """Davies-Bouldin, Calinski-Harabasz, silhouette on squared distances, sizes: of every model over all rows, in two passes."""
-    models = list(models)
+    models, points = list(models), blocks(points)
     sums = _added(points, models)
     tables = [_table(sums, m, c) for m, c in enumerate(models)]
     spark = points.sparkSession
@@ -216,8 +307,7 @@ def measure_many(points: DataFrame, models: Sequence[np.ndarray]) -> list[dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, known = shared.value
         spread = [np.zeros((len(c), 3)) for c in centres]
-        for b in batches:
-            whole = _matrix(b)
+        for _, whole, _ in _opened(batches):
             for c, t, s in zip(centres, known, spread, strict=True):
                 x = whole[:, :c.shape[1]]
                 label = squared_distances(x, c).argmin(axis=1)
@@ -239,7 +329,7 @@ def measure_many(points: DataFrame, models: Sequence[np.ndarray]) -> list[dict[s
         for m, s in enumerate(spread):
             yield pa.RecordBatch.from_arrays([pa.array([m] * len(s), pa.int32()), pa.array(np.arange(len(s)), pa.int32()), *[pa.array(s[:, i]) for i in range(3)]], ["model", "cluster", "distance", "within", "silhouette"])
 
-    parts = points.select("point").mapInArrow(run, "model int, cluster int, distance double, within double, silhouette double")
+    parts = points.mapInArrow(run, "model int, cluster int, distance double, within double, silhouette double")
     spread = {(r.model, r.cluster): r for r in parts.groupBy("model", "cluster").agg(F.sum("distance").alias("distance"), F.sum("within").alias("within"), F.sum("silhouette").alias("silhouette")).collect()}
     return [_figures(t, [spread[m, c] for c in range(len(t))]) for m, t in enumerate(tables)]
 
