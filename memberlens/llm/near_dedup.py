@@ -7,8 +7,8 @@ Each bucket has a star: its centre is the member that meets most others in all i
 group of copies the original. A member is first compared with the best centre it meets. Then, in
 buckets whose members are still in several components, further centres are taken, eight times
 as many each time and those of small components first, and compared with the members outside
-their component. A bit sketch rules out most such pairs without losing any that is similar enough. So a
-bucket of copies costs an edge per member, no link between bucket members is lost, and edges
+their component. Two bit sketches rule out most such pairs without losing any that is similar enough. Only the
+new links between components are then joined up. So a bucket of copies costs an edge per member, no link between bucket members is lost, and edges
 are confirmed on whole sets.
 """
 
@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.llm.common import arrow_batches, shipped, stored, without
@@ -32,8 +33,11 @@ PERCENT = 80  # least similarity: shared shingles in a hundred of all
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^25 = 5e-5
 PROBES = 2048  # places an empty range tries before it takes the next filled one
 SKETCH_BITS = 4096  # of the sketch that rules out pairs without loss
+PARITY_WORDS = 8  # of 64 bits each, of the smaller sketch that is looked at first
+LOCAL_EDGES = 200_000  # edges that a task joins up by itself
 BROADCAST_ROWS = 1_000_000  # ids sent to every executor, at most; beyond, the join shuffles
 _WORDS_HELD = 300_000
+_ODD = [f"odd{i}" for i in range(PARITY_WORDS)]
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -105,6 +109,12 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Per bit whether the number of shingles with that bit is odd. Bits that differ are no more than the shingles only one set has."""
+    bits = np.bincount((found % _U(SKETCH_BITS)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) % 2
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _places(bands: int, rows: int) -> np.ndarray:
     return np.random.RandomState(97).randint(0, bands * rows, (PROBES, bands * rows))
 
@@ -143,16 +153,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, size: int)
             sets = [shingles(t, size, hashes) for t in b.column("text").to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             bits = [sketch(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["key", "set", "bits"])
+            odd = np.array([parity(s) for s in sets], dtype=np.int64).reshape(-1, PARITY_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64())),
+                                              *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY_WORDS)]], ["key", "set", "bits", *_ODD])
 
-    return found.mapInArrow(run, "key binary, set binary, bits array<long>").groupBy("key").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
+    described = found.mapInArrow(run, "key binary, set binary, bits array<long>, " + ", ".join(f"{c} long" for c in _ODD))
+    return described.groupBy("key").agg(*[F.first(c).alias(c) for c in ("set", "bits", *_ODD)])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose whole sets are similar enough."""
+    """The edges (a, b and others) whose whole sets are similar enough."""
     left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    pairs = edges.join(left, "a").join(right, "b").select(*edges.columns, "set_a", "set_b")
+    names = edges.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,17 +175,55 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, edges.schema)
+
+
+def forest(edges: list[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
+    """Every key of the edges with the least key it reaches through them."""
+    above: dict[bytes, bytes] = {}
+
+    def top(key: bytes) -> bytes:
+        path = []
+        while (up := above.setdefault(key, key)) != key:
+            path.append(key)
+            key = up
+        for k in path:
+            above[k] = key
+        return key
+
+    for u, v in edges:
+        u, v = top(u), top(v)
+        above[max(u, v)] = min(u, v)
+    return {key: top(key) for key in list(above)}
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: each task replaces up to LOCAL_EDGES of its own by links to least keys."""
+    def rows(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        links = [(u, v) for u, v in forest(held).items() if u != v]
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        for b in batches:
+            held += zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)
+            if len(held) >= LOCAL_EDGES:
+                yield rows(held)
+                held = []
+        yield rows(held)
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return edges.coalesce(edges.count() // LOCAL_EDGES + 1).mapInArrow(run, "u binary, v binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for every key of the undirected links (a, b): root is the component's least key.
 
-    Alternates large-star and small-star steps until every key points to a root that points to nothing.
+    Tasks join up what they hold; large-star and small-star steps then alternate until every key points to a root that points to nothing.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = stored(_joined_up(edges))
     while True:
         ends = edges.select(F.col("u").alias("key"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
             edges.select(F.col("v").alias("key"), F.lit(0).alias("below"), F.lit(1).alias("above")))
@@ -188,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, classes: DataFrame, text: str, id_col: str, size: int, percent: int) -> DataFrame:
-    """Components (key, root) of the classes (key, id, text_hash, n, buckets) that have links."""
+    """Components (key, root) of the classes (key, id, text_hash, n, buckets) that share a bucket with another."""
     members = classes.select("key", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(members.join(shared, "bucket"))
@@ -202,11 +254,13 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, id_col: str, size
     edges = stored(star.distinct())
     wanted = stored(classes.join(members.select("key").distinct(), "key", "left_semi").select("id", "text_hash"))
     sets = stored(_sets(docs, wanted, text, id_col, size))
-    tried, links = edges, stored(_confirmed(edges, sets, percent))
-    roots, width, rest = components(links), 8, members.select("bucket", "key", "n")
+    tried = edges
+    linked = components(_confirmed(edges, sets, percent))
+    roots = stored(members.select("key").distinct().join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
+    width, rest = 8, members.select("bucket", "key", "n")
     while True:
         # members that have not been a centre, of buckets in which such members still have several roots
-        rooted = rest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = rest.join(roots, "key")
         mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         rooted = stored(rooted.join(mixed.select("bucket"), "bucket", "left_semi"))
         if rooted.isEmpty():
@@ -214,21 +268,26 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, id_col: str, size
         # small components first: the bucket is done when only members of its largest one are left
         alike = F.count(F.lit(1)).over(Window.partitionBy("bucket", "root"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("alike", "root", "key"))
-        ranked = stored(rooted.withColumn("alike", alike).withColumn("rank", rank).drop("alike").join(sets.select("key", "bits"), "key"))
-        first = ranked.where(F.col("rank") <= width).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "rank", "root", "bits")])
+        ranked = stored(rooted.withColumn("alike", alike).withColumn("rank", rank).drop("alike").join(sets.select("key", "bits", *_ODD), "key"))
+        first = ranked.where(F.col("rank") <= width).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "rank", "root", "bits", *_ODD)])
         # each bit in which two sketches differ stands for a shingle that only one text has: no pair above the limit fails this
         differ = F.aggregate(F.zip_with("bits", "bits_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+        odd = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in _ODD])
         both = F.col("n") + F.col("n_a")
-        possible = (both - differ) * 100 >= (both + differ) * percent
+        # each sketch stands once here: what stands twice is computed beforehand for every pair
+        most = both * (100 - percent)
+        possible = (odd * (100 + percent) <= most) & (differ * (100 + percent) <= most)
         pairs = (ranked.join(first, "bucket").where((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & near(F.col("n"), F.col("n_a")) & possible)
-                 .select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+                 .select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b"), F.least("root_a", "root").alias("low"), F.greatest("root_a", "root").alias("high"))
+                 .distinct().join(tried, ["a", "b"], "left_anti"))
         edges = stored(pairs)
         if not edges.isEmpty():
-            tried = tried.unionByName(edges)
-            found = stored(_confirmed(edges, sets, percent))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = components(links)
+            tried = tried.unionByName(edges.select("a", "b"))
+            joined = components(_confirmed(edges, sets, percent).select(F.col("low").alias("a"), F.col("high").alias("b"))).select(F.col("key").alias("root"), F.col("root").alias("least"))
+            count = joined.count()
+            if count:
+                joined = F.broadcast(joined) if count <= BROADCAST_ROWS else joined
+                roots = stored(roots.join(joined, "root", "left").select("key", F.coalesce("least", "root").alias("root")))
         rest, width = ranked.where(F.col("rank") > width).select("bucket", "key", "n"), width * 8
 
 

@@ -222,6 +222,25 @@ def test_near_dedup_chain_in_one_bucket(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(docs, size=2).collect()} == expected
 
 
+def test_near_dedup_parity_never_passes_the_difference():
+    rng = np.random.default_rng(8)
+    for size, own in [(40, 3), (300, 60), (3000, 500)]:
+        x, y = (np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for _ in range(2))
+        x, y = np.union1d(x, y[own:]), y
+        odd = sum(int(v).bit_count() for v in (near_dedup.parity(x) ^ near_dedup.parity(y)).view(np.uint64))
+        assert 0 < odd <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("held", [3, 1000])
+def test_near_dedup_components_are_joined_up_by_tasks(spark, monkeypatch, held):
+    monkeypatch.setattr(near_dedup, "LOCAL_EDGES", held)
+    edges = [(i, i + 1) for i in range(0, 30) if i % 10 != 9] + [(40, 2), (41, 40), (50, 51)]
+    links = spark.createDataFrame([(f"{a:03d}".encode(), f"{b:03d}".encode()) for a, b in edges], "a binary, b binary").repartition(5)
+    found = {int(r.key): int(r.root) for r in near_dedup.components(links).collect()}
+    expected = {i: i // 10 * 10 for i in range(30)} | {40: 0, 41: 0, 50: 50, 51: 50}
+    assert found == expected
+
+
 def test_near_dedup_null_ids_and_drop(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "en", "a", 1), (4, "A b c d e f", "en", "a", 1), (3, "a  b c d e F", "en", "a", 1), (None, "", "en", "a", 1)], SCHEMA)
     found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.grouped(docs).collect()}
