@@ -156,6 +156,16 @@ def test_importance_does_not_depend_on_units(spark):
     assert importance[1.0] == pytest.approx(importance[100.0], rel=0.02)
 
 
+def test_fits_with_several_penalties_assemble_their_rows_once(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("concat('M', id) AS member_id", "cast((id * 37) % 101 as double) AS a", "cast((id * 53) % 17 as double) AS b",
+                                       "cast((id * 29) % 100 > 70 as int) AS seg_next")
+    assembled, made = transitions.model_matrix, []
+    monkeypatch.setattr(transitions, "model_matrix", lambda *args, **kwargs: made.append(kwargs.get("keep")) or assembled(*args, **kwargs))
+    monkeypatch.setattr(transitions, "ROWS_HELD", 300)
+    fits = transitions.weak_class_fits(rows, rows, ["a", "b"], 2)
+    assert len(fits) == 2 and sum(keep is not None for keep in made) == 1
+
+
 def test_score_and_training_panel_agree_on_the_previous_month(spark):
     members, txns, events = raw_members(spark, SMALL), raw_transactions(spark, SMALL), raw_events(spark, SMALL)
     spine, txns, events = scoring.conformed(members, txns, events, ["event_no"])
