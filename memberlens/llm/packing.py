@@ -12,6 +12,7 @@ last window is cut into windows of 1, 2, 4 ... tokens, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -22,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,128 +51,137 @@ def load_tokenizer(content: bytes):
 
 
 class WordIds(dict):
-    """Ids of words as bytes; words are encoded once per Python worker and remembered, up to _WORDS_HELD of them."""
+    """Ids of words as bytes; a word is encoded when first looked up in a Python worker and remembered, up to _WORDS_HELD of them."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.tails = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.tokenize, self.tails = tokenizer, tokenizer.model.tokenize, {}
         # how the tokenizer writes letters before it looks up pieces, which may be byte by byte
         split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.pieces = {ord(c): split(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
-        vocabulary = tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the words of the texts that are not known. A word of letters with marks behind it is the word, then the marks."""
-        if len(self) > _WORDS_HELD:
-            self.clear()
-            self.tails.clear()
-        words: set[bytes] = set()
-        for t in texts:
-            words.update([w for w in t if w not in self])
-        letters, marks, pairs, tokenize = set(), set(), {}, self.model.tokenize
-        for word in words:
-            if word in self:
-                continue
-            base = word.rstrip(_MARKS)
-            # Latin letters, which most words consist of: each has one lower-case letter, and nothing else is normalised in them
-            if base.isalpha() or _LATIN.fullmatch(base):
-                ids = self.get(base)
-                if ids is None:
-                    ids = self[base] = array("I", [t.id for t in tokenize(base.decode("utf-8").lower().translate(self.pieces))]).tobytes()
-                if len(base) < len(word):
-                    tail = word[len(base):]
-                    known = self.tails.get(tail)
-                    if known is None:
-                        known = self.tails[tail] = self._encoded([tail.decode("ascii")])[tail.decode("ascii")]
-                    ids += known
-                self[word] = ids
-                continue
-            text = word.decode("utf-8", "surrogatepass")
-            m = _LETTERS_MARKS.fullmatch(text)
-            # letters must stay letters when the tokenizer normalises them
-            if m and unicodedata.normalize("NFC", m[1]).lower().isalpha():
-                pairs[word] = m.groups()
-                letters.add(m[1])
-                if m[2]:
-                    marks.add(m[2])
-            else:
-                marks.add(text)
-        parts = self._encoded(sorted(marks)) | self._joined(sorted(letters))
-        for text in marks:
-            self[text.encode("utf-8", "surrogatepass")] = parts[text]
-        for word, (first, last) in pairs.items():
-            self[word] = parts[first] + parts[last] if last else parts[first]
-
-    def _encoded(self, texts: list[str]) -> dict[str, bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return {t: np.array(e.ids, dtype="<u4").tobytes() for t, e in zip(texts, encode(texts, add_special_tokens=False), strict=True)} if texts else {}
-
-    def _joined(self, texts: list[str]) -> dict[str, bytes]:
-        """Words of letters encoded many at a time and told apart by the pieces that end a word."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(texts), 1000):
-            part = texts[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):  # a letter that the tokenizer sees otherwise than Unicode's classes
-                out |= self._encoded(part)
-                continue
-            data, start = ids.tobytes(), 0
-            for text, end in zip(part, (4 * cuts).tolist(), strict=True):
-                out[text] = data[start:end]
-                start = end
-        return out
-
-
-def token_ids(texts: list[bytes | None], held: WordIds) -> list[np.ndarray]:
-    """Ids of each text, by its words: no token crosses white space, and letter case does not matter."""
-    split = []
-    for t in texts:
-        raw = t or b""
-        # written in lower case a special token's name would become one
-        split.append((raw if b"<|" in raw else raw.lower()).split())
-    held.learn(split)
-    return [np.frombuffer(b"".join(map(held.__getitem__, words)), dtype="<u4") for words in split]
+        self.latin = {ord(c): self.pieces.get(ord(c.lower()), c.lower()) for c in map(chr, range(0x100)) if c.isalpha()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A word of letters with marks behind it is the word, then the marks."""
+        base = word.rstrip(_MARKS)
+        # Latin letters, which most words consist of: each has one lower-case letter, and nothing else is normalised in them
+        if base.isalpha():
+            letters = base.lower().decode("ascii")
+        elif _LATIN.fullmatch(base):
+            letters = base.decode("utf-8").translate(self.latin)
+        else:
+            ids = self[word] = self._other(word.decode("utf-8", "surrogatepass"))
+            return ids
+        if len(base) == len(word):
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        else:
+            ids = self[base] + self._tail(word[len(base):].decode("ascii"))
+        self[word] = ids
+        return ids
+
+    def _other(self, text: str) -> bytes:
+        m = _LETTERS_MARKS.fullmatch(text)
+        # letters must stay letters when the tokenizer normalises them
+        if m and m[2] and unicodedata.normalize("NFC", m[1]).lower().isalpha():
+            return self[m[1].encode("utf-8", "surrogatepass")] + self._tail(m[2])
+        return self._encoded(text)
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self.tails[marks] = self._encoded(marks)
+        return ids
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def token_ids(texts: pa.Array, held: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (binary) one after the other, and where each text begins: no token crosses white space, and letter case does not matter."""
+    if len(held) > _WORDS_HELD:
+        held.clear()
+        held.tails.clear()
+    raw = texts.fill_null(b"").view(pa.string())
+    # written in lower case a special token's name would become one
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw)))
+    words = split.flatten().dictionary_encode()  # there are empty words at the ends of texts
+    distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")
+    found = [held[w] for w in distinct[0].as_buffer().to_pybytes().split(b"\n")]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    number = words.indices.to_numpy()
+    size = sizes[number]
+    ends = np.cumsum(size)
+    at = np.repeat((np.cumsum(sizes) - sizes)[number] - ends + size, size)
+    at += np.arange(len(at))
+    offsets = split.offsets.to_numpy()
+    return np.frombuffer(b"".join(found), dtype="<u4")[at], np.concatenate([[0], ends])[offsets - offsets[0]]
 
 
 def tokenised(docs: DataFrame, content: bytes, text: str, id_col: str) -> DataFrame:
-    """(id, ids) per row; ids as little-endian 16-bit numbers where the vocabulary permits, else 32-bit, without the end."""
+    """(id, ids, sums) per row; ids as little-endian 16-bit numbers where the vocabulary permits, else 32-bit, without the end.
+
+    A task's last row has, instead, `sums`: the number of its texts, of their ids, and of the texts that contain each id.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker_cache(f"words-{zlib.crc32(content)}", lambda: WordIds(load_tokenizer(content)))
-        width = id_width(held.tokenizer)
+        width = np.dtype(id_width(held.tokenizer))
+        n, length, id_type, counts = 0, 0, None, np.zeros(held.tokenizer.get_vocab_size(), dtype=np.int64)
+        terms = Terms(len(counts))
         for b in batches:
-            ids = [x.astype(width).tobytes() for x in token_ids(b.column("text").to_pylist(), held)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+            id_type = b.column("id").type
+            ids, starts = token_ids(b.column("text"), held)
+            n, length = n + len(starts) - 1, length + len(ids)
+            for lo, hi in itertools.pairwise(starts.tolist()):
+                found, _ = terms.counted(ids[lo:hi])
+                if len(terms.place) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(terms.place) - len(counts), dtype=np.int64)])
+                counts[found] += 1
+            data = [None, pa.py_buffer((starts * width.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(width))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.Array.from_buffers(pa.binary(), len(starts) - 1, data), pa.nulls(len(starts) - 1, pa.binary())], ["id", "ids", "sums"])
+        if n:
+            sums = np.concatenate([[n, length], counts]).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sums.tobytes(), 1)])], ["id", "ids", "sums"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, ids binary, sums binary")
 
 
 def id_width(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def document_frequencies(rows: DataFrame, width: str) -> tuple[int, float, np.ndarray]:
-    """Number of texts, their mean length, and texts per id (one number per vocabulary entry)."""
+class Terms:
+    """Distinct ids of a text and their frequencies, in no order: every id points to one of its places, where it is counted."""
+
+    def __init__(self, size: int):
+        self.place = np.zeros(size, dtype=np.int64)
+
+    def counted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ids):
+            return ids, np.zeros(0, dtype=np.int64)
+        if (most := int(ids.max())) >= len(self.place):
+            self.place = np.zeros(2 * most, dtype=np.int64)
+        self.place[ids] = np.arange(len(ids))
+        counts = np.bincount(self.place[ids])
+        at = np.flatnonzero(counts)
+        return ids[at], counts[at]
+
+
+def document_frequencies(rows: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Number of texts, their mean length, and texts per id (one number per vocabulary entry), from the tasks' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, length = np.zeros(1 << 16, dtype=np.int64), 0, 0
+        out = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), dtype=width)
-                n, length = n + 1, length + len(ids)
-                if len(ids):
-                    found = np.unique(ids)
-                    if found[-1] >= len(counts):
-                        counts = np.concatenate([counts, np.zeros(int(found[-1]) + 1 - len(counts), dtype=np.int64)])
-                    counts[found] += 1
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], used])), pa.array(np.concatenate([[n, length], counts[used]]))], ["term", "n"])
-
-    sums = {r["term"]: r["n"] for r in rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+            for x in b.column("sums"):
+                sums = np.frombuffer(zlib.decompress(x.as_buffer()), dtype="<i8")
+                out = np.concatenate([out, np.zeros(max(0, len(sums) - len(out)), dtype=np.int64)])
+                out[:len(sums)] += sums
+        used = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(used - 2), pa.array(out[used])], ["term", "n"])
+
+    sums = {r["term"]: r["n"] for r in rows.where("sums is not null").select("sums").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, length = sums.pop(-2, 0), sums.pop(-1, 0)
     df = np.zeros(max(sums, default=0) + 1, dtype=np.int64)
     df[list(sums)] = list(sums.values())
@@ -223,16 +234,27 @@ class Shard:
         self.docs, self.weights = docs[order], weights[order]
         _, self.queries, self.sizes = np.unique(terms, return_inverse=True, return_counts=True)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.indexed = len(pieces)
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused pieces by falling BM25 score for all terms of the seed, ties in order; strangers last."""
+        left = np.flatnonzero(self.unused)
+        if 5 * len(left) < 4 * self.indexed:
+            self._forget_used(len(left))
         query = self.queries[self.cuts[seed]:self.cuts[seed + 1]]
         sizes = self.sizes[query]
         take = np.repeat(self.starts[query] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         score = np.bincount(self.docs[take], self.weights[take], len(self.pieces))
-        left = np.flatnonzero(self.unused)
         return left[np.argsort(-score[left], kind="stable")]
 
+    def _forget_used(self, left: int) -> None:
+        """The postings of used pieces go; nobody asks for them any more."""
+        kept = self.unused[self.docs]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.sizes = before[self.starts + self.sizes] - before[self.starts]
+        self.starts = before[self.starts]
+        self.docs, self.weights, self.indexed = self.docs[kept], self.weights[kept], left
+
     def windows(self) -> Iterator[list[tuple]]:
         """Windows as lists of (document, first id, ids); all but the last are full."""
         seed, cut = 0, None
@@ -293,10 +315,10 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
     content = Path(tokenizer_path).read_bytes()  # the driver's file; tasks get its content
     width = id_width(load_tokenizer(content))
     rows = stored(tokenised(docs, content, text, id_col))
-    n, mean, df = document_frequencies(rows, width)
+    n, mean, df = document_frequencies(rows)
     # texts that contain a term in more than half of the cases say nothing about it: weight 0
     idf = docs.sparkSession.sparkContext.broadcast(((np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0) * (df > 0)).astype(np.float32), mean))
-    rows = routed(rows, idf, width)
+    rows = routed(rows.where("sums is null").select("id", "ids"), idf, width)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -305,6 +327,7 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         rows_out: list[tuple] = []
+        terms = Terms(len(weights))
         id_type = None
 
         def emit(pieces: list[tuple]) -> None:
@@ -323,7 +346,7 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         def piece(doc, ids: np.ndarray, first: int) -> tuple:
-            return (doc, len(ids)), first, ids[first:], *np.unique(ids[:-1], return_counts=True), len(ids) - 1
+            return (doc, len(ids)), first, ids[first:], *terms.counted(ids[:-1]), len(ids) - 1
 
         pool: list[tuple] = []
         for b in batches:
@@ -343,7 +366,7 @@ def packed(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str
                         else:
                             last = pieces
                     # a short window's pieces go on as pieces of their own
-                    pool = [((d, total), first, part, *np.unique(part, return_counts=True), len(part)) for (d, total), first, part in last or []]
+                    pool = [((d, total), first, part, *terms.counted(part), len(part)) for (d, total), first, part in last or []]
                 if len(rows_out) >= 5000:
                     yield flushed()
         if pool:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,6 +464,34 @@ def test_packing_routes_like_texts_together(spark):
     assert sum(max(w.values()) for w in windows.values()) > 0.6 * sum(p.length for p in pieces)  # in reading order a twelfth
 
 
+def test_packing_looks_words_up_once_a_batch_and_forgets_used_pieces():
+    from tokenizers import Tokenizer
+
+    path, asked = public_tokenizers.path("word_bpe_49k.json"), Counter()
+
+    class Asked(packing.WordIds):
+        def __getitem__(self, word):
+            asked[word] += 1
+            return super().__getitem__(word)
+
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = [*" \n\tabC.,;()²½ß▁é日0123_-😀\r\xa0'\"", "  ", "<|endoftext|>", "<|", "Die", "ÀÉ", "x.y", "МИР,", "Straße!", "\x1c", "İ"]
+    texts = [None, "", " ", "\n", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)]]
+    column = pa.array(["not seen", *texts]).cast(pa.binary())[1:]
+    ids, starts = packing.token_ids(column, Asked(tokenizer))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    asked.clear()
+    packing.token_ids(pa.array([b"the same words and the same words"] * 50), Asked(tokenizer))
+    assert set(asked.values()) == {1} and len(asked) == 4
+    shard = packing.Shard([as_piece(i, np.arange(i, i + 20)) for i in range(100)], np.ones(200, np.float32), 20.0, 40)
+    assert len(shard.docs) == 2000
+    shard.unused[10:] = False
+    assert shard.neighbours(0).tolist() == [*range(10)] and len(shard.docs) == 200
+    with_counts = packing.Terms(4).counted(np.array([7, 7, 2, 7, 3], dtype="<u2"))
+    assert sorted(zip(*map(list, with_counts))) == [(2, 1), (3, 1), (7, 3)]
+
+
 def test_chats(spark):
     turns = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     rows = [(c, t, *turns[t]) for c, n in ((1, 1), (2, 3), (3, 4), (7, 4), (5, 2)) for t in range(n)]
