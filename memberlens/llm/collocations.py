@@ -33,6 +33,7 @@ TOP = 2000  # phrases reported per language
 SHARD_WORDS = 3 << 18
 CONTEXT = 8  # words that suffixes are sorted by
 KEY_BITS = 20  # bits of a key beside its part; parts are as many as shuffle partitions, so a part's phrases do not grow with the data
+HELD_KEYS = 1 << 21  # keys that a task gathers before it sends them
 BITS = 16  # bits of the filter per phrase
 BLOCK = 1 << 15  # fixed value: bits of one bitmap of bitmap_construct_agg
 MOST_BLOCKS = 4096  # of a filter: 16 MB
@@ -66,7 +67,7 @@ def context_order(sequence: np.ndarray) -> np.ndarray:
 
 def transform(sequence: np.ndarray) -> np.ndarray:
     """The word before each suffix, in the order of suffixes."""
-    return np.roll(sequence, 1)[context_order(sequence)].astype("<u4")
+    return np.roll(sequence, 1)[context_order(sequence)]
 
 
 def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -78,10 +79,22 @@ def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         found, first, number = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
         number = number.ravel()
     edge = int(number[0])
-    swap = np.arange(len(found))
-    swap[[0, edge]] = edge, 0
-    first = first[swap]
-    return [words.buffer[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], swap[number]
+    often = np.bincount(number)
+    often[edge] = len(number)
+    order = np.argsort(-often, kind="stable")  # frequent words have small numbers, which take less room
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    first = first[order]
+    return [words.buffer[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], place[number]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes of 32-bit numbers, then all second ones and so on: most high bytes are 0 and compress to nothing."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def without_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -94,7 +107,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words:
         def index(name: str) -> pa.RecordBatch:
             words, sequence = numbered(held.pop(name))
             sizes.pop(name)
-            row = [name], [int(np.count_nonzero(sequence))], [b"\n".join(words)], [transform(sequence).tobytes()], [transform(sequence[::-1]).tobytes()]
+            row = [name], [int(np.count_nonzero(sequence))], [b"\n".join(words)], [planes(transform(sequence))], [planes(transform(sequence[::-1]))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.string(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["lang", "n", "words", "forward", "backward"])
 
         for b in batches:
@@ -144,7 +157,7 @@ class Index:
     """One direction of a shard's index: the transform and where the suffixes of each word begin."""
 
     def __init__(self, data: bytes, n_words: int):
-        self.before = np.frombuffer(data, "<u4").astype(np.int64)
+        self.before = without_planes(data).astype(np.int64)
         self.counts = np.bincount(self.before, minlength=n_words)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
@@ -249,6 +262,23 @@ def frequent_keys(indexes: DataFrame, filters: list, parts: int, least: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of several shards, whatever their language: keys that lie closer take less room
+
+        def pieces() -> pa.RecordBatch:
+            keys, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[at], np.add.reduceat(n, at)
+            part, low = (keys >> np.uint64(KEY_BITS)).astype(np.int64), (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+            small = np.minimum(n, 255).astype(np.uint8)
+            used, at = np.unique(part, return_index=True)
+            cut = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+            data = [zlib.compress(gaps(low[x:y]) + small[x:y].tobytes(), 1) for x, y in cut]
+            columns = [used, [y - x for x, y in cut], data, [n[x:y][small[x:y] == 255].tobytes() for x, y in cut]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "size", "data", "large"])
+
         for b in batches:
             for lang, words, forward in zip(*(b.column(c) for c in ("lang", "words", "forward")), strict=True):
                 level = None
@@ -256,16 +286,11 @@ def frequent_keys(indexes: DataFrame, filters: list, parts: int, least: int) ->
                     pass
                 if not len(level.keys):
                     continue
-                keys = reduced(level.keys, parts)
-                order = np.argsort(keys)
-                keys, n = keys[order], level.size[order]
-                part, low = (keys >> np.uint64(KEY_BITS)).astype(np.int64), (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
-                small = np.minimum(n, 255).astype(np.uint8)
-                used, at = np.unique(part, return_index=True)
-                cut = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
-                data = [zlib.compress(gaps(low[x:y]) + small[x:y].tobytes(), 1) for x, y in cut]
-                columns = [used, [y - x for x, y in cut], data, [n[x:y][small[x:y] == 255].tobytes() for x, y in cut]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "size", "data", "large"])
+                held.append((reduced(level.keys, parts), level.size))
+                if sum(len(k) for k, _ in held) >= HELD_KEYS:
+                    yield pieces()
+        if held:
+            yield pieces()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -316,7 +341,8 @@ def words_of_pairs(indexes: DataFrame, filters: list, parts: int) -> DataFrame:
 def phrase_counts(indexes: DataFrame, filters: list, parts: int, least: int) -> DataFrame:
     """Phrases that pass the filters of their length and occur `least` times: lang, size, phrase, n, inner.
 
-    Shards send their phrases part by part with counts and, where all occurrences have the same word to the left or right, its hash.
+    Shards send their phrases part by part with counts and, where all occurrences have the same word to the left or right, a byte
+    of its hash. So `inner` may be set wrongly where words differ but their bytes do not; `confirmed` decides.
     """
     longest = len(filters)
 
@@ -325,20 +351,22 @@ def phrase_counts(indexes: DataFrame, filters: list, parts: int, least: int) ->
         for b in batches:
             for lang, words, forward, backward in zip(*(b.column(c) for c in ("lang", "words", "forward", "backward")), strict=True):
                 lang, backward = lang.as_py(), backward.as_py()
-                behind, phrases, numbers = None, [], []
+                behind, phrases, numbers, sides = None, [], [], []
                 for size, (level, ahead, hashes, names) in zip(range(1, longest + 1), levels(words.as_py(), forward.as_py(), lang, known, parts), strict=False):
                     behind = behind or Index(backward, len(names))
-                    sides = [np.zeros(len(level.lo), np.int64)] * 2
+                    only = [np.zeros(len(level.lo), np.int64)] * 2
                     if 1 < size < longest:
-                        sides = [ahead.only_word(level.lo, level.size), behind.only_word(level.back, level.size)]
+                        only = [ahead.only_word(level.lo, level.size), behind.only_word(level.back, level.size)]
                     phrases += [b" ".join([names[i] for i in p]) for p in level.words.tolist()]
-                    numbers.append(np.stack([level.size, *[np.where(x > 0, hashes[x].view(np.int64), 0) for x in sides]], axis=1))
+                    numbers.append(level.size)
+                    # a byte of the word's hash, never 0: who has no longer phrase around it will mostly have two of them
+                    sides.append(np.stack([np.where(x > 0, hashes[x] % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8) for x in only]))
                 if phrases:
-                    numbers = np.concatenate(numbers)
+                    numbers, sides = np.concatenate(numbers).astype("<u4"), np.concatenate(sides, axis=1)
                     by_part: dict[int, list[int]] = {}
                     for i in sorted(range(len(phrases)), key=phrases.__getitem__):
                         by_part.setdefault(zlib.crc32(phrases[i]) % parts, []).append(i)
-                    rows = [(part, lang, zlib.compress(b"\n".join([phrases[i] for i in of]), 1), zlib.compress(numbers[of].T.tobytes(), 1)) for part, of in by_part.items()]
+                    rows = [(part, lang, zlib.compress(b"\n".join([phrases[i] for i in of]), 1), zlib.compress(planes(numbers[of]) + sides[:, of].tobytes(), 1)) for part, of in by_part.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "lang", "phrases", "numbers"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +384,10 @@ def phrase_counts(indexes: DataFrame, filters: list, parts: int, least: int) ->
                 if held and part != current:
                     yield summed()
                 current = part
-                for p, n, left, right in zip(zlib.decompress(phrases).split(b"\n"), *np.frombuffer(zlib.decompress(numbers), np.int64).reshape(3, -1).tolist(), strict=True):
+                numbers = zlib.decompress(numbers)
+                cut = len(numbers) // 6 * 4
+                columns = without_planes(numbers[:cut]).tolist(), *np.frombuffer(numbers[cut:], np.uint8).reshape(2, -1).tolist()
+                for p, n, left, right in zip(zlib.decompress(phrases).split(b"\n"), *columns, strict=True):
                     seen = held.get((lang, p))
                     if seen is None:
                         held[lang, p] = [n, left, right]
@@ -374,10 +405,19 @@ def phrase_counts(indexes: DataFrame, filters: list, parts: int, least: int) ->
     return dealt.mapInArrow(add, "lang string, size int, phrase binary, n long, inner boolean")
 
 
+def confirmed(phrases: DataFrame) -> DataFrame:
+    """`inner` as it is: a phrase one word longer that contains this one occurs as often."""
+    words = F.split("phrase", " ")
+    parts = F.array(F.slice(words, F.lit(1), F.col("size") - 1), F.slice(words, F.lit(2), F.col("size") - 1))
+    longer = phrases.where(F.col("size") > 2).select("lang", "n", F.explode(parts).alias("w")).select("lang", "n", F.array_join("w", " ").alias("phrase")).distinct()
+    some = phrases.where("inner").select("lang", "phrase", "n").join(longer, ["lang", "phrase", "n"], "left_semi").withColumn("_inner", F.lit(True))
+    return phrases.join(some, ["lang", "phrase", "n"], "left").select("lang", "size", "phrase", "n", F.col("_inner").isNotNull().alias("inner"))
+
+
 def frequent_phrases(indexes: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Candidates of up to `longest` words with `least` occurrences and the words they consist of, and the number of words per language (lang, total).
 
-    The phrases are (lang, size, phrase, n, inner); inner if every occurrence has the same word before it, or behind it.
+    The phrases are (lang, size, phrase, n, inner); inner if every occurrence may have the same word before it, or behind it.
     """
     if longest >= CONTEXT:
         raise ValueError(f"phrases have fewer than {CONTEXT} words")
@@ -415,14 +455,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    indexes = stored(shards(docs, text, lang, shard_words))
+    indexes = stored(shards(docs, text, lang, shard_words), compression="zstd")
     arrow_batches(spark, rows=1)  # a shard is some megabytes: one at a time in memory
     reader = "spark.sql.parquet.columnarReaderBatchSize"
     before = spark.conf.get(reader)
     spark.conf.set(reader, "1")
     try:
         phrases, total = frequent_phrases(indexes, least, longest)
-        phrases = stored(phrases)
+        phrases = confirmed(stored(phrases))
     finally:
         spark.conf.set(reader, before)
         arrow_batches(spark)

@@ -202,6 +202,27 @@ def test_scores_beyond_64_bits(spark):
     assert math.log2(1000 * big * 9 * 10**13) > 64
 
 
+def test_inner_phrases_are_confirmed_by_counts(spark):
+    rows = [("en", 1, "a", 9, False), ("en", 2, "a b", 5, True), ("en", 2, "b c", 6, True), ("en", 3, "a b c", 5, False), ("de", 2, "b c", 5, True), ("en", 2, "x y", 7, False)]
+    found = collocations.confirmed(spark.createDataFrame(rows, "lang string, size int, phrase string, n long, inner boolean")).collect()
+    assert {(r.lang, r.phrase): r.inner for r in found} == {("en", "a"): False, ("en", "a b"): True, ("en", "b c"): False, ("en", "a b c"): False, ("de", "b c"): False, ("en", "x y"): False}
+    assert len(found) == len(rows)
+
+
+def test_shards_of_a_task_send_their_keys_together(spark):
+    rng = random.Random(5)
+    texts = [(" ".join(f"w{rng.randint(0, 300)}" for _ in range(400)), "en") for _ in range(60)]
+    docs = spark.createDataFrame(texts, "text string, lang string").coalesce(1)
+    sent = {}
+    for words in (800, 1 << 20):
+        indexes = collocations.stored(collocations.shards(docs, shard_words=words)).coalesce(1)
+        sent[words] = indexes.count(), [r.key for r in collocations.frequent_keys(indexes, [], 1, 50).collect()]
+    assert sent[800][0] > 20 and sent[1 << 20][0] == 1 and sorted(sent[800][1]) == sorted(sent[1 << 20][1])
+    (row,) = indexes.collect()
+    assert sum(len(zlib.compress(row[c])) for c in ("forward", "backward")) < 0.5 * sum(len(row[c]) for c in ("forward", "backward"))
+    assert (collocations.without_planes(row.forward) < len(row.words.split(b"\n"))).all()
+
+
 OPERATORS = {"runs": runs.periodic_runs, "collocations": lambda d: collocations.collocations(d, least=3), "substrings": substrings.without_repeats}
 
 
