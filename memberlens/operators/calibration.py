@@ -55,10 +55,14 @@ def brier_scores(outcomes: DataFrame) -> DataFrame:
                                          F.avg("y").alias("base_rate"))
 
 
-def log_loss(scored: DataFrame, actual: str = "seg_next", proba: str = "proba") -> DataFrame:
+def mean_log_loss(actual: str = "seg_next", proba: str = "proba") -> Column:
     """Mean negative log of the probability given to what happened, at least 1e-9 and at most 1."""
     given = element(F.col(proba), F.col(actual))
-    return scored.agg(F.avg(-F.log(F.least(F.lit(1.0), F.greatest(F.lit(1e-9), given)))).alias("log_loss"))
+    return F.avg(-F.log(F.least(F.lit(1.0), F.greatest(F.lit(1e-9), given))))
+
+
+def log_loss(scored: DataFrame, actual: str = "seg_next", proba: str = "proba") -> DataFrame:
+    return scored.agg(mean_log_loss(actual, proba).alias("log_loss"))
 
 
 def calibration_summary(scored: DataFrame, bins: int = BINS, actual: str = "seg_next", proba: str = "proba") -> DataFrame:

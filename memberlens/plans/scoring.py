@@ -43,7 +43,7 @@ def train(panel: DataFrame, fit_date: str, k: int = 5, n_init: int = 10) -> tupl
     profiled = name_segments(profile_clusters(segments.assign(at_fit)))
     names = {r.segment_id: r.segment_name for r in profiled.collect()}  # k rows
     segments.names = [names.get(i, "Unknown") for i in range(k)]
-    pairs = cut_lineage(walk_forward(build_pairs(segments.assign(panel), columns)), fine=True)
+    pairs = walk_forward(cut_lineage(build_pairs(segments.assign(panel), columns), fine=True))
     model = train_transition_model(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), model_columns(columns), k)
     return segments, model
 

@@ -235,3 +235,34 @@ def test_boosting_stops_when_validation_no_longer_improves(spark):
     assert all(abs(sum(r.proba) - 1) < 1e-9 for r in scored) and sum((r.proba[1] > 0.5) == (r.seg_next == 1) for r in scored) > 0.9 * len(scored)
     useless = transitions.fit_boosted(train.drop("seg_next").withColumnRenamed("chance", "seg_next"), validation.drop("seg_next").withColumnRenamed("chance", "seg_next"), ["a", "noise"], 2, max_trees=8)
     assert all(kept < 8 and most == 8 for kept, most in useless.stops)
+
+
+def test_penalties_share_passes_and_reach_the_minimum(spark, monkeypatch):
+    """Three penalties and other class weights: as many passes as the slowest fit needs, and Spark's coefficients at the minimum."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+
+    from memberlens.operators import softmax
+    from memberlens.operators.metrics import balanced_weights
+
+    # a feature far from 0, a constant one, and a class (1) without rows
+    rows = spark.range(1500).selectExpr(
+        "concat('M', id) AS member_id", "cast((id * 37) % 101 as double) AS a", "cast((id * 53) % 17 as double) * 1000 + 5e5 AS b", "7.0D AS c", "cast(pmod(xxhash64(id), 1000) as double) AS d",
+        "cast(case when (id * 37) % 101 > 70 then 2 when pmod(xxhash64(id), 1000) > 600 then 0 else 3 end as int) AS seg_next")
+    columns, strengths, passes, summed = ["a", "b", "c", "d"], (1e-3, 1e-2, 1e-1), [], softmax._summed
+    monkeypatch.setattr(softmax, "_summed", lambda *args: passes.append(args[1]) or summed(*args))
+    held = transitions.fit_rows(rows, columns, 4)
+    for boost, most in (((), 20), ((2,), 15)):
+        passes.clear()
+        models = transitions._linear(held, columns, boost, strengths)
+        assert len(passes) <= most
+        weighted = balanced_weights(held.vectors, "seg_next", boost).withColumn("seg_next", F.col("seg_next").cast("double"))
+        spark_model = LogisticRegression(featuresCol="_features", labelCol="seg_next", weightCol="weight", family="multinomial", maxIter=2000, tol=1e-13, regParam=strengths[1]).fit(weighted)
+        present = [0, 2, 3]
+        assert models[1].classifier.coefficientMatrix.toArray()[present] == pytest.approx(spark_model.coefficientMatrix.toArray()[present], abs=1e-5)
+        intercepts = spark_model.interceptVector.toArray()[present]
+        assert models[1].classifier.interceptVector.toArray()[present] == pytest.approx(intercepts - intercepts.mean(), abs=1e-2)
+    scored = models[1].predict(rows).collect()
+    assert all(abs(sum(r.proba) - 1) < 1e-9 and r.proba[1] < 1e-9 and r.seg_pred == int(np.argmax(r.proba)) for r in scored)
+    with pytest.raises(KeyError):
+        models[1].predict(rows.drop("d"))

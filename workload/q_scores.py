@@ -67,16 +67,20 @@ def _(spark, sf):
 # --- model -----------------------------------------------------------------------------------------
 
 def _labelled(spark, sf):
-    """The panel with the segments of the frozen model; its pairs are stored once."""
+    """The panel with the segments of the frozen model; its pairs are stored once, then split by the months they have."""
     def build():
         model = segment_model(spark, sf)
         panel = stages.panel(spark, sf).drop("segment_id", "segment_name")
         assigned = model.assign(panel).select(*panel.columns, "segment_id")
-        return transitions.walk_forward(transitions.build_pairs(assigned, fit_columns(panel)))
+        return transitions.build_pairs(assigned, fit_columns(panel))
 
-    return stages.stored(spark, sf, "pairs", build)
+    key = (spark.sparkContext.applicationId, str(sf))
+    if key not in _split:
+        _split[key] = transitions.walk_forward(stages.stored(spark, sf, "pairs", build))
+    return _split[key]
 
 
+_split: dict = {}
 _trained: dict = {}
 
 
